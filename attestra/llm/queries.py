@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestra.llm import quality_rules
+from attestra.llm import quality_rules, secrets
 
-QUERIES = {"op1_quality_rules": quality_rules.op1_quality_rules}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE}
+QUERIES = {"op1_quality_rules": quality_rules.op1_quality_rules, "op9_secrets": secrets.op9_secrets}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op9_secrets": secrets.ORACLE}
