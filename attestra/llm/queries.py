@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestra.llm import quality_rules, secrets
+from attestra.llm import quality_rules, secrets, url_filters
 
-QUERIES = {"op1_quality_rules": quality_rules.op1_quality_rules, "op9_secrets": secrets.op9_secrets}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op9_secrets": secrets.ORACLE}
+QUERIES = {"op1_quality_rules": quality_rules.op1_quality_rules, "op4_url_filters": url_filters.op4_url_filters, "op9_secrets": secrets.op9_secrets}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op4_url_filters": url_filters.ORACLE, "op9_secrets": secrets.ORACLE}
