@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from attestra.llm import quality_rules, secrets, simhash, url_filters
+from attestra.llm import packing, quality_rules, secrets, simhash, url_filters
 
-QUERIES = {"op1_quality_rules": quality_rules.op1_quality_rules, "op4_url_filters": url_filters.op4_url_filters, "op9_secrets": secrets.op9_secrets, "op10_simhash": simhash.op10_simhash}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op4_url_filters": url_filters.ORACLE, "op9_secrets": secrets.ORACLE}
+QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_url_filters": url_filters.op4_url_filters,
+    "op7_packing": packing.op7_packing,
+    "op9_secrets": secrets.op9_secrets,
+    "op10_simhash": simhash.op10_simhash,
+}
+ORACLES = {
+    "op1_quality_rules": quality_rules.ORACLE,
+    "op4_url_filters": url_filters.ORACLE,
+    "op9_secrets": secrets.ORACLE,
+}
