@@ -1,6 +1,6 @@
 """Quality rules: base statistics of a text and line frequency across documents.
 
-Lines are normalised (lower case, one blank between words, digit runs as 0), hashed,
+Lines are normalised (lower case, one blank between words, every digit as 0), hashed,
 and counted per host by the distinct documents that hold them. Lines above the
 host's limit are removed; a document left with too little of its words is rejected.
 
@@ -37,79 +37,91 @@ class Limits:
     min_left_percent: int = 20  # of a document's words
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words covered by 3-word windows that occur at least twice, by window hash."""
-    n = F.size(words)
-    windows = F.when(
-        n >= 4,
-        F.transform(
-            F.sequence(F.lit(1), n - 2),
-            lambda i: F.struct(F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)).alias("h"), i.alias("i")),
-        ),
-    )
-    return F.array_sort(windows)
+#: Window positions take the low bits of a sortable key, their hashes the others.
+_PLACE = 28
 
 
-def _covered(windows: str) -> Column:
-    """From sorted (hash, position) pairs to the number of words under repeated windows."""
-    return F.expr(f"""
-        CASE WHEN {windows} IS NULL THEN 0L ELSE
-        aggregate(
-            array_sort(transform(filter({windows}, (w, k) ->
-                (k > 0 AND element_at({windows}, k).h = w.h) OR
-                (k + 1 < size({windows}) AND element_at({windows}, k + 2).h = w.h)), w -> w.i)),
-            named_struct('end', 0, 'n', 0L),
-            (a, i) -> named_struct('end', i + 3, 'n', a.n + i + 3 - greatest(i, a.end)),
-            a -> a.n) END""")
+def _window_hash(words: str, i: str) -> str:
+    return f"xxhash64(element_at({words}, {i}), element_at({words}, {i} + 1), element_at({words}, {i} + 2))"
 
 
-def _normal(line: Column) -> Column:
-    spaced = F.trim(F.regexp_replace(F.lower(line), f"{C.SPACE}+", " "))
-    return F.regexp_replace(spaced, "[0-9]+", "0")
+def _repeat_words(words: str) -> list[tuple[str, Column]]:
+    """Steps to the words covered by 3-word windows that occur at least twice.
 
+    Windows whose hashes agree in their high bits are found by sorting plain longs;
+    only those are then grouped by their whole hashes.
+    """
+    low, p = (1 << _PLACE) - 1, _P
+    key = f"({_window_hash(words, 'i')} & {~low}L) | i"
+    same = f"shiftright(element_at({p}keys, k + {{}}), {_PLACE}) = shiftright(w, {_PLACE})"
+    return [
+        (p + "keys", F.expr(f"CASE WHEN size({words}) >= 4 THEN sort_array(transform(sequence(1, size({words}) - 2), i -> {key})) ELSE cast(array() AS array<bigint>) END")),
+        (p + "places", F.expr(f"filter({p}keys, (w, k) -> (k > 0 AND {same.format(0)}) OR (k + 1 < size({p}keys) AND {same.format(2)}))")),
+        (p + "windows", F.expr(f"array_sort(transform({p}places, w -> named_struct('h', {_window_hash(words, f'cast(w & {low}L AS int)')}, 'i', cast(w & {low}L AS int))))")),
+        (
+            "n_repeat_words",
+            F.expr(f"""aggregate(
+                array_sort(transform(filter({p}windows, (w, k) ->
+                    (k > 0 AND element_at({p}windows, k).h = w.h) OR
+                    (k + 1 < size({p}windows) AND element_at({p}windows, k + 2).h = w.h)), w -> w.i)),
+                named_struct('end', 0, 'n', 0L),
+                (a, i) -> named_struct('end', i + 3, 'n', a.n + i + 3 - greatest(i, a.end)),
+                a -> a.n)"""),
+        ),
+    ]
 
-def line_hash(line: Column) -> Column:
+
+def _line_words(line: Column) -> Column:
+    return F.filter(F.split(line, f"{C.SPACE}+"), lambda w: w != "")
+
+
+def _hash(line_words: Column) -> Column:
     """60 bits of the normalised line's md5, so that any SQL engine can compute it."""
-    return F.conv(F.substring(F.md5(_normal(line)), 1, 15), 16, 10).cast("long")
+    normal = F.translate(F.lower(F.array_join(line_words, " ")), "123456789", "000000000")
+    return F.conv(F.substring(F.md5(normal), 1, 15), 16, 10).cast("long")
 
 
 def statistics(text: Column, limits: Limits = Limits()) -> list[tuple[str, Column]]:
-    """Steps (name, expression) that build the base columns, each from the one before it."""
+    """Steps (name, expression), each over the ones before it; those named _qr_... are intermediate."""
     t, p = F.coalesce(text, F.lit("")), _P
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return [
-        (p + "words", C.words(text)),
         (p + "lines", lines),
-        (p + "windows", _repeat_words(F.col(p + "words"))),
+        (p + "line_words", F.transform(p + "lines", _line_words)),
+        (p + "words", F.flatten(p + "line_words")),
+        *_repeat_words(p + "words"),
         ("n_words", F.size(p + "words").cast("long")),
-        ("word_chars", C.word_chars(text)),
-        ("n_symbols", (F.length(t) - F.length(C.without(t, SYMBOLS))).cast("long")),
+        ("word_chars", F.length(F.array_join(p + "words", "")).cast("long")),
+        ("n_symbols", F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long")),
         ("n_dup_lines", (F.size(p + "lines") - F.size(F.array_distinct(p + "lines"))).cast("long")),
-        ("n_repeat_words", _covered(p + "windows")),
         ("base_failed", (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))),
+        ("lines", F.transform(p + "line_words", lambda x: F.struct(_hash(x).alias("h"), F.size(x).alias("n")))),
     ]
 
 
-def _line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """A row for each distinct normalised line of each text: its words over all its repeats,
-    and the smallest hash among the text's other lines (0: there are none)."""
-    hashed = F.transform(
-        F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        lambda x: F.struct(line_hash(x).alias("h"), F.size(F.filter(F.split(x, f"{C.SPACE}+"), lambda w: w != "")).alias("n")),
-    )
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(host_col).alias("host"), hashed.alias("lines"))
-    rows = rows.withColumn("all", F.array_sort(F.array_distinct(F.col("lines.h"))))
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str, limits: Limits) -> DataFrame:
+    """Stored: id, text_key (the text's hash), host, the base statistics and the lines (hash, words) of each row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    for name, column in statistics(F.col("text"), limits):
+        rows = rows.withColumn(name, column)
+    return C.store(rows.select("id", F.xxhash64("text").alias("text_key"), "host", *BASE, "lines"), "measured")
+
+
+def _line_rows(measured: DataFrame) -> DataFrame:
+    """A row for each line, with the smallest hash among the text's other lines (0: there are none)."""
+    rows = measured.select("id", "text_key", "host", "lines", F.array_sort(F.array_distinct("lines.h")).alias("all"))
     rows = rows.select("id", "text_key", "host", F.get("all", F.lit(0)).alias("m1"), F.get("all", F.lit(1)).alias("m2"), F.inline("lines"))
     rest = F.coalesce(F.when(F.col("h") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")), F.lit(0))
     return rows.select("id", "text_key", "host", "h", "n", rest.alias("rest"))
 
 
-def frequent_lines(docs: DataFrame, text_col: str, host_col: str, limits: Limits = Limits()) -> DataFrame:
+def frequent_lines(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(host, h) of the lines above their host's limit."""
-    lines = _line_rows(docs.withColumn(_P + "id", F.lit(None).cast("long")), _P + "id", text_col, host_col)
-    counts = lines.select("host", "h", "rest").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
-    sizes = docs.groupBy(F.col(host_col).alias("of_host")).agg(F.count("*").alias("host_docs"))
-    # Without hosts that are hot in the join: only lines above the fixed floor go into it.
+    counts = _line_rows(measured).select("host", "h", "rest").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+    sizes = measured.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("host_docs"))
     above = counts.where(F.col("n_docs") > limits.min_documents)
     return (
         above.join(sizes, F.col("host").eqNullSafe(F.col("of_host")))
@@ -118,26 +130,28 @@ def frequent_lines(docs: DataFrame, text_col: str, host_col: str, limits: Limits
     )
 
 
+def _removed(measured: DataFrame, limits: Limits) -> DataFrame:
+    """The line rows above the limits: id, text_key, h, n. A line's rows are dealt out by salts."""
+    salts = C.shuffle_width(measured.sparkSession)
+    lines = _line_rows(measured).withColumn("salt", C.salt("id", "text_key", into=salts))
+    frequent = C.salted(frequent_lines(measured, limits), salts)
+    on = lines["host"].eqNullSafe(frequent["host"]) & (lines["h"] == frequent["h"]) & (lines["salt"] == frequent["salt"])
+    return lines.join(frequent, on).select("id", "text_key", lines["h"], "n")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
     """A row for each document: id, the base statistics, removed_words, and kept."""
-    salts = C.shuffle_width(docs.sparkSession)
-    lines = _line_rows(docs, id_col, text_col, host_col).withColumn("salt", C.salt("id", "text_key", into=salts))
-    frequent = C.salted(frequent_lines(docs, text_col, host_col, limits), salts)
-    on = lines["host"].eqNullSafe(frequent["host"]) & (lines["h"] == frequent["h"]) & (lines["salt"] == frequent["salt"])
-    removed = lines.join(frequent, on).select("id", "text_key", F.col("n").cast("long").alias("removed"))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    for name, column in statistics(F.col("text"), limits):
-        base = base.withColumn(name, column)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    base = base.select("id", F.xxhash64("text").alias("text_key"), *names, F.lit(1).alias("rows"))
+    measured = measure(docs, id_col, text_col, host_col, limits)
+    removed = _removed(measured, limits).select("id", "text_key", F.col("n").cast("long").alias("removed"))
+    base = measured.select("id", "text_key", *BASE, F.lit(1).alias("rows"))
     both = base.unionByName(removed, allowMissingColumns=True).groupBy("id", "text_key").agg(
-        *[F.max(x).alias(x) for x in names], F.sum("rows").alias("rows"), F.coalesce(F.sum("removed"), F.lit(0)).alias("removed")
+        *[F.max(x).alias(x) for x in BASE], F.sum("rows").alias("rows"), F.coalesce(F.sum("removed"), F.lit(0)).alias("removed")
     )
     # Repeated rows met in one group: each gets its own share and its own row back.
     both = both.withColumn("removed", (F.col("removed") / F.col("rows")).cast("long"))
     left = (F.col("n_words") - F.col("removed")) * 100 >= limits.min_left_percent * F.col("n_words")
     return both.select(
-        F.col("id").alias(id_col), "text_key", *names, F.col("removed").alias("removed_words"), (~F.col("base_failed") & left).alias("kept"),
+        F.col("id").alias(id_col), *BASE, F.col("removed").alias("removed_words"), (~F.col("base_failed") & left).alias("kept"),
         F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"),
     ).drop("copy")
 
@@ -147,32 +161,21 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
     The columns are those of the input; n_chars, if there is one, follows the text.
     """
-    spark, names = docs.sparkSession, docs.columns
-    salts = C.shuffle_width(spark)
-    lines = _line_rows(docs, id_col, text_col, host_col).withColumn("salt", C.salt("id", "text_key", into=salts))
-    frequent = C.salted(frequent_lines(docs, text_col, host_col, limits), salts)
-    on = lines["host"].eqNullSafe(frequent["host"]) & (lines["h"] == frequent["h"]) & (lines["salt"] == frequent["salt"])
-    gone = lines.join(frequent, on).groupBy("id", "text_key").agg(F.collect_set(lines["h"]).alias("gone"))
-    base = docs.select("*", F.xxhash64(text_col).alias(_P + "key"))
-    for name, column in statistics(F.col(text_col), limits):
-        base = base.withColumn(name if name.startswith(_P) else _P + name, _renamed(column, name, limits))
-    base = base.where(~F.col(_P + "base_failed")).select(*names, _P + "key", _P + "n_words")
-    out = base.join(gone, base[id_col].eqNullSafe(gone["id"]) & (base[_P + "key"] == gone["text_key"]), "left")
-    kept_lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("gone", line_hash(x))))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines, "\n"))
-    out = out.withColumn(_P + "text", text)
-    left = F.when(F.col("gone").isNull(), F.col(_P + "n_words")).otherwise(F.size(C.words(F.col(_P + "text"))))
-    out = out.where(left * 100 >= limits.min_left_percent * F.col(_P + "n_words"))
-    new = {text_col: F.col(_P + "text"), "n_chars": F.length(_P + "text").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in names])
-
-
-def _renamed(column: Column, name: str, limits: Limits) -> Column:
-    """The base rule over the prefixed names, so that input columns of the same names stay."""
-    if name != "base_failed":
-        return column
-    n, r = F.col(_P + "n_words"), F.col(_P + "n_repeat_words")
-    return (n < limits.min_words) | (100 * r > limits.max_repeat_percent * n)
+    names, p = docs.columns, _P
+    measured = measure(docs, id_col, text_col, host_col, limits)
+    gone = _removed(measured, limits).groupBy("id", "text_key").agg(F.collect_set("h").alias("gone"))
+    passed = measured.where(~F.col("base_failed")).select("id", "text_key", "n_words", F.lit(None).cast("array<bigint>").alias("gone"))
+    facts = passed.unionByName(gone, allowMissingColumns=True).groupBy("id", "text_key").agg(F.max("n_words").alias(p + "n"), F.first("gone", ignorenulls=True).alias(p + "gone"))
+    facts = facts.where(F.col(p + "n").isNotNull()).withColumnsRenamed({"id": p + "id", "text_key": p + "of_key"})
+    rows = docs.withColumn(p + "key", F.xxhash64(text_col))
+    out = rows.join(facts, rows[id_col].eqNullSafe(F.col(p + "id")) & (F.col(p + "key") == F.col(p + "of_key")))
+    stays = lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(p + "gone", _hash(_line_words(x))))
+    text = F.when(F.col(p + "gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(F.col(text_col), "\n"), stays), "\n"))
+    out = out.withColumn(p + "text", text)
+    left = F.when(F.col(p + "gone").isNull(), F.col(p + "n")).otherwise(F.size(C.words(F.col(p + "text"))))
+    out = out.where(left * 100 >= limits.min_left_percent * F.col(p + "n"))
+    new = {text_col: F.col(p + "text"), "n_chars": F.length(p + "text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -190,7 +193,7 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, (SELECT
 l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM t),
 lw AS (SELECT doc_id, host, line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY 1),
-h AS (SELECT doc_id, host, ('0x' || substr(md5(regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')), 1, 15))::BIGINT AS h,
+h AS (SELECT doc_id, host, ('0x' || substr(md5(translate(lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')), '123456789', '000000000')), 1, 15))::BIGINT AS h,
              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lw),
 m AS (SELECT doc_id, list_sort(list_distinct(list(h))) AS hs FROM h GROUP BY 1),
 r AS (SELECT h.*, coalesce(CASE WHEN h = hs[1] THEN hs[2] ELSE hs[1] END, 0) AS rest FROM h JOIN m USING (doc_id)),
