@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from attestra.llm import packing, quality_rules, secrets, simhash, url_filters
+from attestra.llm import packing, quality_rules, secrets, simhash, topk, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op4_url_filters": url_filters.op4_url_filters,
     "op7_packing": packing.op7_packing,
+    "op8_topk": topk.op8_topk,
     "op9_secrets": secrets.op9_secrets,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op4_url_filters": url_filters.ORACLE,
+    "op8_topk": topk.ORACLE,
     "op9_secrets": secrets.ORACLE,
 }
