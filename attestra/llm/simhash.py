@@ -33,6 +33,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BITS = 64
 SEED = 42
 _SLICE = 1 << 16
+#: Names that this operator adds start so.
+_P = "_sh_"
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -113,6 +115,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
     return prints.join(named, F.col("fp") == F.col("of_fp")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row with the least id stays.
+
+    Of repeated rows with that id one stays. A component of null ids alone keeps one row.
+    """
+    names = docs.columns
+    found = classes(docs, id_col, text_col, distance, shingle)
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col), "fp")).alias("x")).select(F.col(f"x.`{id_col}`").alias(_P + "id"), F.col("x.fp").alias(_P + "fp"))
+    first = C.store(first, "representatives")
+    # Repeats of an id are told apart by their fingerprints, and the rest is one row for each.
+    rows = docs.join(first, docs[id_col].eqNullSafe(F.col(_P + "id")), "left_semi")
+    keyed = fingerprints(rows.select(F.struct("*").alias("id"), F.col(text_col).alias("text")), "id", "text", shingle)
+    both = keyed.join(first, F.col(f"id.`{id_col}`").eqNullSafe(F.col(_P + "id")) & (F.col("fp") == F.col(_P + "fp")))
+    one = both.groupBy(F.col(f"id.`{id_col}`").alias(_P + "id"), "fp").agg(F.min("id").alias("row"))
+    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     found = classes(C.read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
