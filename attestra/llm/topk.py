@@ -2,9 +2,10 @@
 
 Each row keeps its distances to a set of pivots. The largest difference of two rows' distances
 to a pivot is a lower bound of the distance between them, and so an upper bound of
-their inner product. Queries meet candidates in blocks of bounded size. In a block, a
-query's candidates are scored in the order of their bounds, and the search stops at the first
-whose bound is below the k-th score so far: no later one can be among the k best.
+their inner product. Queries meet candidates in blocks of bounded size. In a block, candidates
+that lie alike to the pivots form tiles, and a tile's range of distances bounds all that it
+holds. A query goes through the tiles in the order of their bounds, and stops at the first
+whose bound is below its k-th score so far: no later one can hold any of the k best.
 The blocks' lists are merged by rank.
 
 Components are floor(scale * x) as whole numbers, scores exact; bounds are widened by more than
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from attestra.llm import common as C
 
 #: Rows of a block; rows that pivots are chosen from. Neither changes a result.
-CANDIDATES, QUERIES, SAMPLE, PIVOTS = 2048, 1024, 1024, 16
-_STEP = 128
+CANDIDATES, QUERIES, SAMPLE, PIVOTS = 8192, 2048, 1024, 32
+_TILE = 256
 
 
 def scaled(vector: Column, scale: int) -> Column:
@@ -72,41 +73,65 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(np.square(vectors - p).sum(axis=1)) for p in pivots], axis=1) if len(pivots) else np.zeros((len(vectors), 0))
 
 
-def _products(vectors: np.ndarray, query: np.ndarray, plain: bool) -> np.ndarray:
+def _products(vectors: np.ndarray, queries: np.ndarray, plain: bool) -> np.ndarray:
+    """(queries, vectors)"""
     if plain:  # below 2**53 all sums are exact
-        return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    return (vectors.astype(object) @ query.astype(object)).astype(np.int64)
-
-
-def best(query_id: int, query: np.ndarray, query_pivots: np.ndarray, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, squares: np.ndarray, k: int, plain: bool):
-    """The k best (score, id) of a block for one query, by descending bounds until none can follow."""
-    square = float(np.square(query.astype(np.float64)).sum())
-    apart = np.abs(pivots - query_pivots).max(axis=1) if pivots.shape[1] else np.zeros(len(ids))
-    bound = (square + squares - np.square(apart)) / 2
-    bound += 1 + 1e-9 * (square + squares)
-    bound[ids == query_id] = -np.inf
-    # The order is only made for those that the first few don't rule out.
-    first = np.argpartition(-bound, min(2 * k, len(bound) - 1))[: 2 * k + 1] if len(bound) > 4 * k else np.arange(len(bound))
-    first = first[bound[first] > -np.inf]
-    scores = _products(vectors[first], query, plain)
-    found_ids, found = ids[first], scores
-
-    def cut():
-        order = np.lexsort((found_ids, -found))[:k]
-        return found_ids[order], found[order]
-
-    found_ids, found = cut()
-    limit = found[-1] if len(found) == k else -np.inf
-    bound[first] = -np.inf
-    rest = np.flatnonzero((bound >= limit) & (bound > -np.inf))
-    rest = rest[np.argsort(-bound[rest], kind="stable")]
-    for at in range(0, len(rest), _STEP):
-        if len(found) == k and bound[rest[at]] < found[-1]:
+        return (queries.astype(np.float64) @ vectors.T).astype(np.int64)
+    return (queries.astype(object) @ vectors.T.astype(object)).astype(np.int64)
+
+
+class Tiles:
+    """The candidates of a block, ordered by their nearest pivots and cut into tiles."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray):
+        near = pivots.argmin(axis=1) if pivots.shape[1] else np.zeros(len(ids), np.int64)
+        order = np.lexsort((pivots[np.arange(len(ids)), near] if pivots.shape[1] else near, near))
+        self.ids, self.vectors = ids[order], vectors[order]
+        cuts = np.arange(0, len(ids), _TILE)
+        squares = np.square(self.vectors.astype(np.float64)).sum(axis=1)
+        self.square = np.maximum.reduceat(squares, cuts)
+        self.low, self.high = (f.reduceat(pivots[order], cuts, axis=0) for f in (np.minimum, np.maximum))
+        self.parts = [slice(a, a + _TILE) for a in cuts]
+
+    def bounds(self, queries: np.ndarray, query_pivots: np.ndarray) -> np.ndarray:
+        """(queries, tiles): no inner product with a tile's candidates is above."""
+        square = np.square(queries.astype(np.float64)).sum(axis=1)
+        apart = np.zeros((len(queries), len(self.parts)))
+        for p in range(query_pivots.shape[1]):
+            d = query_pivots[:, p, None]
+            np.maximum(apart, np.maximum(self.low[:, p] - d, d - self.high[:, p]), out=apart)
+        both = square[:, None] + self.square
+        return (both - np.square(apart)) / 2 + 1 + 1e-9 * both
+
+
+def best(query_ids: np.ndarray, queries: np.ndarray, query_pivots: np.ndarray, tiles: Tiles, k: int, plain: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the (ids, scores) of its k best in a block, by descending bounds until none can follow."""
+    bounds = tiles.bounds(queries, query_pivots)
+    order = np.argsort(-bounds, axis=1, kind="stable")
+    none = np.zeros(0, np.int64)
+    found = [(none, none)] * len(queries)
+    limit = np.full(len(queries), -np.inf)  # the k-th score so far
+    for turn in range(len(tiles.parts)):
+        tile = order[:, turn]
+        going = np.flatnonzero(bounds[np.arange(len(queries)), tile] >= limit)
+        if not len(going):
             break
-        part = rest[at : at + _STEP]
-        found_ids, found = np.concatenate([found_ids, ids[part]]), np.concatenate([found, _products(vectors[part], query, plain)])
-        found_ids, found = cut()
-    return found_ids, found
+        going = going[np.argsort(tile[going], kind="stable")]
+        for group in np.split(going, np.flatnonzero(np.diff(tile[going])) + 1):
+            part = tiles.parts[tile[group[0]]]
+            ids, scores = tiles.ids[part], _products(tiles.vectors[part], queries[group], plain)
+            take = (scores >= limit[group, None]) & (ids != query_ids[group, None])
+            for q, row, kept in zip(group[take.any(axis=1)], scores[take.any(axis=1)], take[take.any(axis=1)]):
+                new_ids, new = ids[kept], row[kept]
+                if len(new) > 4 * k:  # those below the k-th of the tile are out
+                    good = new >= np.partition(new, -k)[-k]
+                    new_ids, new = new_ids[good], new[good]
+                new_ids, new = np.concatenate([found[q][0], new_ids]), np.concatenate([found[q][1], new])
+                first = np.lexsort((new_ids, -new))[:k]
+                found[q] = new_ids[first], new[first]
+                if len(first) == k:
+                    limit[q] = found[q][1][-1]
+    return found
 
 
 def search(rows: DataFrame, query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -135,13 +160,11 @@ def search(rows: DataFrame, query: Column, k: int = 20, scale: int = 64, id_col:
             ids = candidates.column("candidate").to_numpy()
             vectors, pivots = _matrix(candidates.column("cv"), width), _matrix(candidates.column("cp"), len(chosen))
             asked, asked_pivots = _matrix(queries.column("v"), width), _matrix(queries.column("p"), len(chosen))
-            squares = np.square(vectors.astype(np.float64)).sum(axis=1)
             top = max(np.abs(vectors).max(initial=0), np.abs(asked).max(initial=0))
             plain = float(top) ** 2 * max(width, 1) < 2**52
-            if plain:
-                vectors = vectors.astype(np.float64)
-            for q, v, p in zip(queries.column("id").to_pylist(), asked, asked_pivots):
-                found_ids, scores = best(q, v, p, ids, vectors, pivots, squares, k, plain)
+            query_ids = queries.column("id").to_numpy()
+            tiles = Tiles(ids, vectors.astype(np.float64) if plain else vectors, pivots)
+            for q, (found_ids, scores) in zip(query_ids, best(query_ids, asked, asked_pivots, tiles, k, plain)):
                 out[0].append(np.full(len(found_ids), q, np.int64))
                 out[1].append(found_ids)
                 out[2].append(scores)
