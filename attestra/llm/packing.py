@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +35,10 @@ from attestra.llm import common as C
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words that a Python worker remembers at most, and characters of text that it looks up at once.
-MEMORY, CHUNK = 400_000, 2_000_000
+MEMORY, CHUNK = 800_000, 2_000_000
+#: Stands for the end of a word where the vocabulary says </w>; no word has it.
+_MARK = "\0"
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @functools.cache
@@ -48,26 +52,77 @@ def _tokenizer(path: str):
     return t
 
 
+@functools.cache
+def _letters(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The vocabulary for plain words, each with the mark at its end, and which ids end a word.
+
+    Tokens are merged in the order of their ids, and single characters at an end come first.
+    """
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=False)
+    mark = _MARK.encode()
+    ranks, ends = {}, np.zeros(max(vocabulary.values()) + 1, bool)
+    for token, number in vocabulary.items():
+        at_end = token.endswith("</w>") and len(token) > 4
+        if set(token) <= byte_of.keys():
+            ranks[bytes(map(byte_of.__getitem__, token[:-4] if at_end else token)) + (mark if at_end else b"")] = number
+            ends[number] = at_end
+    return tiktoken.Encoding("words", pat_str=f"[^{_MARK}]+{_MARK}", mergeable_ranks=ranks, special_tokens={}), ends
+
+
+def _plain(word: str) -> bool:
+    """Letters that normalisation only lowers: one piece of the vocabulary's pattern."""
+    return word.isalpha() and max(word) < "\u0180" and word.lower().isalpha()
+
+
 class WordTokens:
     """Token ids of texts, word by word.
 
     The vocabulary's pattern never crosses ASCII white space and drops it, so a text's ids are
-    those of its words in a row, and frequent words are encoded only once.
+    those of its words in a row, and frequent words are encoded only once. New words of
+    Latin letters, with punctuation behind them or not, are encoded many at a time; all others
+    by the tokenizer.
     """
 
     def __init__(self, path: str):
         self.encode = functools.partial(_tokenizer(path).encode_batch, add_special_tokens=False)
+        self.letters, self.ends = _letters(path)
         self.known: dict[bytes, bytes] = {}
 
+    def _by_tokenizer(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.encode(words)]
+
+    def _by_letters(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.letters.encode_ordinary(_MARK.join(words).lower() + _MARK), "<u4") if words else np.zeros(0, "<u4")
+        raw, cuts = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, plain, others = self.known, [], []
+        for w in words:
+            text = w.decode("utf-8", "surrogatepass")
+            core = text.rstrip(_PUNCTUATION)
+            if core and _plain(core):
+                plain.append((w, core, text[len(core) :]))
+            else:
+                others.append((w, text))
+        tails = list({t for _, _, t in plain if t})
+        tail_ids = {"": b""} | dict(zip(tails, self._by_tokenizer(tails)))
+        for (w, _, tail), ids in zip(plain, self._by_letters([c for _, c, _ in plain])):
+            known[w] = ids + tail_ids[tail]
+        known.update(zip([w for w, _ in others], self._by_tokenizer([t for _, t in others])))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [x.encode("utf-8", "surrogatepass").split() for x in texts]
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for w, e in zip(new, self.encode([w.decode("utf-8", "surrogatepass") for w in new])):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        new: set[bytes] = set()
+        for words in split:
+            new.update(words)
+        self._learn([w for w in new if w not in known])
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
