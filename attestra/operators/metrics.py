@@ -95,8 +95,8 @@ def cluster_bootstrap_ci(df: DataFrame, diff: str, cluster, n_boot: int = 2000,
     replacement as clusters grow in number and needs no list of them: sums for all
     replicates are built where the clusters are. n_boot sums reach the driver.
     """
-    sums = df.where(F.col(diff).isNotNull()).groupBy(*as_list(cluster)).agg(F.sum(F.col(diff).cast("double")).alias("s"), F.count("*").cast("double").alias("c"))
-    rows = sums.select(F.xxhash64(*as_list(cluster)).alias("h"), "s", "c")
+    sums = df.where(F.col(diff).isNotNull()).groupBy(*as_list(cluster)).agg(F.sum(F.col(diff).cast("double")).alias("_s"), F.count("*").cast("double").alias("_c"))
+    rows = sums.select(F.xxhash64(*as_list(cluster)).alias("h"), "_s", "_c")
     reps = np.arange(n_boot)
 
     def run(batches):
@@ -110,7 +110,7 @@ def cluster_bootstrap_ci(df: DataFrame, diff: str, cluster, n_boot: int = 2000,
         yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int32()), pa.array(top), pa.array(below)], ["r", "s", "c"])
 
     found = rows.mapInArrow(run, "r int, s double, c double").groupBy("r").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).where("c > 0").toArrow()
-    whole = sums.agg(F.sum("s"), F.sum("c")).first()
+    whole = sums.agg(F.sum("_s"), F.sum("_c")).first()
     if not whole[1]:
         return Interval(math.nan, math.nan, math.nan)
     ratios = found.column("s").to_numpy() / found.column("c").to_numpy()
