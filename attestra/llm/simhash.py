@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestra.llm import common as C
@@ -115,21 +116,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
     return prints.join(named, F.col("fp") == F.col("of_fp")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3) -> DataFrame:
+def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 5) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the least id stays.
 
-    Of repeated rows with that id one stays. A component of null ids alone keeps one row.
+    Of repeated rows with that id one stays, that with the least other columns. Null ids come
+    first. The texts are shuffled once, by their ids and hashes.
     """
-    names = docs.columns
-    found = classes(docs, id_col, text_col, distance, shingle)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col), "fp")).alias("x")).select(F.col(f"x.`{id_col}`").alias(_P + "id"), F.col("x.fp").alias(_P + "fp"))
-    first = C.store(first, "representatives")
-    # Repeats of an id are told apart by their fingerprints, and the rest is one row for each.
-    rows = docs.join(first, docs[id_col].eqNullSafe(F.col(_P + "id")), "left_semi")
-    keyed = fingerprints(rows.select(F.struct("*").alias("id"), F.col(text_col).alias("text")), "id", "text", shingle)
-    both = keyed.join(first, F.col(f"id.`{id_col}`").eqNullSafe(F.col(_P + "id")) & (F.col("fp") == F.col(_P + "fp")))
-    one = both.groupBy(F.col(f"id.`{id_col}`").alias(_P + "id"), "fp").agg(F.min("id").alias("row"))
-    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    names, i, k = docs.columns, _P + "id", _P + "key"
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key")).alias("row"), text_col)
+    found = classes(keyed, "row", text_col, distance, shingle)
+    first = found.groupBy("component_id").agg(F.min("row").alias("row")).select(F.col("row.id").alias(i), F.col("row.key").alias(k))
+    rows = docs.withColumn(_P + "of", F.xxhash64(text_col))
+    kept = rows.join(first, rows[id_col].eqNullSafe(F.col(i)) & (F.col(_P + "of") == F.col(k)))
+    rest = [c for c in names if c not in (id_col, text_col)]
+    number = F.row_number().over(W.partitionBy(id_col, _P + "of").orderBy(*[F.col(f"`{c}`") for c in rest], F.lit(0)))
+    return kept.withColumn(_P + "n", number).where(F.col(_P + "n") == 1).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
