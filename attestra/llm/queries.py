@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from attestra.llm import bpe, html_text, maxent_lm, packing, quality_rules, secrets, simhash, topk, url_filters
+from attestra.llm import bpe, html_text, maxent_lm, packing, pii, quality_rules, secrets, simhash, topk, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_html_text": html_text.op2_html_text,
     "op3_maxent_lm": maxent_lm.op3_maxent_lm,
     "op4_url_filters": url_filters.op4_url_filters,
+    "op5_pii": pii.op5_pii,
     "op6_bpe": bpe.op6_bpe,
     "op7_packing": packing.op7_packing,
     "op8_topk": topk.op8_topk,
