@@ -15,7 +15,7 @@ def test_formats():
     assert spans[0][3] == spans[1][3] and spans[8][3] == spans[9][3]
     shown = [pii.render(text[a:b], k, pii.surrogate(KEY, k, v)) for a, b, k, v in spans]
     assert shown[2].startswith("+1 (") and len(shown[2]) == len("+1 (476) 555-6291") and shown[2] != "+1 (476) 555-6291"
-    assert pii._luhn(shown[3].replace(" ", "")) == 0 and pii._luhn(shown[4]) != 0 and shown[3].count(" ") == 3
+    assert pii._luhn(shown[3].replace(" ", "")) == 0 and (pii._luhn(shown[4]) == 0) == (pii._luhn("5295745161764470") == 0) and shown[3].count(" ") == 3
     assert [len(x) for x in shown[5].split(".")] == [2, 1, 3, 1]
     iban = shown[6].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban[:2] == "GB"
