@@ -29,7 +29,7 @@ def racing_tables(tables: K.Tables, cutoffs: Sequence[tuple[int, int]] = SCORING
 
 
 def racing_constraints() -> list[K.Constraint]:
-    fk = [K.ReferentialIntegrity(f"results_fk_{t}", "results", f"{t}Id", t + "s", f"{t}Id", nullable=True) for t in ("race", "driver", "constructor")]
+    fk = [K.ReferentialIntegrity(f"results_fk_{t}", "results", f"{t}Id", t + "s", f"{t}Id") for t in ("race", "driver", "constructor")]
     return [
         *fk,
         K.Cardinality("results_unique_per_race_driver", "results", ["raceId", "driverId"], exact=1),
@@ -73,9 +73,9 @@ def rounded(df: DataFrame, col: str) -> DataFrame:
 
 def qualifying_features(instances: DataFrame, qualifying: DataFrame, results: DataFrame) -> DataFrame:
     """Means of the last five positions strictly before each instance: the driver's and constructor's qualifying, the driver's results."""
-    out = X.lag_mean(instances, qualifying, "driverId", "date", "position", tiebreak="raceId", out="driver_quali_lag5")
-    out = X.lag_mean(out, qualifying, "constructorId", "date", "position", tiebreak=["raceId", "driverId"], out="constructor_quali_lag5")
-    return X.lag_mean(out, results, "driverId", "date", "positionOrder", tiebreak="raceId", out="driver_result_lag5")
+    out = X.lag_mean(instances, qualifying, "driverId", "date", "position", tiebreak="raceId", out="driver_quali_avg_last5")
+    out = X.lag_mean(out, qualifying, "constructorId", "date", "position", tiebreak=["raceId", "driverId"], out="constructor_quali_avg_last5")
+    return X.lag_mean(out, results, "driverId", "date", "positionOrder", tiebreak="raceId", out="driver_result_avg_last5")
 
 
 # Sales orders ------------------------------------------------------------------
@@ -92,9 +92,9 @@ def sales_constraints() -> list[K.Constraint]:
     pair = lambda c: K.PairDisagreement(f"items_share_{c.lower()}_within_order", "salesdocumentitem", "SALESDOCUMENT", "ID", c)
     fd = K.FunctionalDependency
     return [
-        K.ReferentialIntegrity("item_fk_salesdocument", "salesdocumentitem", "SALESDOCUMENT", "salesdocument", "SALESDOCUMENT", nullable=True),
-        K.ReferentialIntegrity("item_fk_soldtoparty", "salesdocumentitem", "SOLDTOPARTY", "customer", "CUSTOMER", nullable=True),
-        K.ReferentialIntegrity("customer_fk_address", "customer", "ADDRESSID", "address", "ADDRESSID", nullable=True),
+        K.ReferentialIntegrity("item_fk_salesdocument", "salesdocumentitem", "SALESDOCUMENT", "salesdocument", "SALESDOCUMENT"),
+        K.ReferentialIntegrity("item_fk_soldtoparty", "salesdocumentitem", "SOLDTOPARTY", "customer", "CUSTOMER"),
+        K.ReferentialIntegrity("customer_fk_address", "customer", "ADDRESSID", "address", "ADDRESSID"),
         K.Cardinality("order_has_at_least_one_item", "salesdocumentitem", "SALESDOCUMENT", min=1, universe_table="salesdocument"),
         *map(pair, CONSISTENT_TARGETS),
         fd("salesorg_determines_division", "salesdocument", "SALESORGANIZATION", "ORGANIZATIONDIVISION"),
@@ -129,25 +129,45 @@ def with_order(predictions: DataFrame, items: DataFrame) -> DataFrame:
     return X.lookup(predictions, items.select("ID", "SALESDOCUMENT"), "ID")
 
 
-def item_features(instances: DataFrame, tables: K.Tables, remove: Sequence[str] = ()) -> DataFrame:
-    """Instances (ID) with their item, its header, and the country and region of where it goes; an unmatched row fails the job."""
-    out = X.lookup(instances, tables["salesdocumentitem"], "ID", required=True)
-    header = tables["salesdocument"].drop("CREATIONTIMESTAMP")
-    out = X.lookup(out, header, "SALESDOCUMENT", required=True)
-    customers = X.lookup(tables["customer"].select("CUSTOMER", "ADDRESSID"), tables["address"].select("ADDRESSID", "COUNTRY", "REGION"), "ADDRESSID")
-    out = X.lookup(out, customers, "SHIPTOPARTY", "CUSTOMER", ["COUNTRY", "REGION"])
-    return out.drop(*remove)
+#: The columns that models see, besides those that a task removes.
+ITEM_FEATURES = (
+    "SALESDOCUMENTITEMCATEGORY", "PRODUCT", "SOLDTOPARTY", "SHIPTOPARTY", "BILLTOPARTY", "PAYERPARTY", "ITEMINCOTERMSCLASSIFICATION",
+)
+HEADER_FEATURES = (
+    "SALESOFFICE", "SALESGROUP", "CUSTOMERPAYMENTTERMS", "SHIPPINGCONDITION", "SALESDOCUMENTTYPE", "SALESORGANIZATION", "DISTRIBUTIONCHANNEL",
+    "ORGANIZATIONDIVISION", "BILLINGCOMPANYCODE", "TRANSACTIONCURRENCY", "HEADERINCOTERMSCLASSIFICATION",
+)
+ADDRESS_FEATURES = ("COUNTRY", "REGION")
+#: (table, column) pairs that a task must not show its model.
+Removed = Sequence[tuple[str, str]]
 
 
-def header_features(instances: DataFrame, tables: K.Tables, remove: Sequence[str] = ()) -> DataFrame:
-    return X.lookup(instances, tables["salesdocument"], "SALESDOCUMENT", required=True).drop(*remove)
+def _shown(table: str, columns: Sequence[str], removed: Removed) -> list[str]:
+    return [c for c in columns if (table, c) not in set(removed)]
 
 
-def features_for(entity_col: str, instances: DataFrame, tables: K.Tables, remove: Sequence[str] = ()) -> DataFrame:
+def item_features(instances: DataFrame, tables: K.Tables, removed: Removed = ()) -> DataFrame:
+    """ID with its item's and header's columns, and the country and region of where it goes; an item that isn't there fails the job."""
+    item, header = _shown("salesdocumentitem", ITEM_FEATURES, removed), _shown("salesdocument", HEADER_FEATURES, removed)
+    needed = list(dict.fromkeys(["SALESDOCUMENT", "SHIPTOPARTY", *item]))
+    out = X.lookup(instances.select("ID"), tables["salesdocumentitem"], "ID", columns=needed, required=True)
+    out = X.lookup(out, tables["salesdocument"], "SALESDOCUMENT", columns=header)
+    customers = X.lookup(tables["customer"].select("CUSTOMER", "ADDRESSID"), tables["address"], "ADDRESSID", columns=ADDRESS_FEATURES)
+    out = X.lookup(out, customers, "SHIPTOPARTY", "CUSTOMER", ADDRESS_FEATURES)
+    return out.select("ID", *item, *header, *ADDRESS_FEATURES)
+
+
+def header_features(instances: DataFrame, tables: K.Tables, removed: Removed = ()) -> DataFrame:
+    """SALESDOCUMENT with its header's columns."""
+    header = _shown("salesdocument", HEADER_FEATURES, removed)
+    return X.lookup(instances.select("SALESDOCUMENT"), tables["salesdocument"], "SALESDOCUMENT", columns=header, required=True)
+
+
+def features_for(entity_col: str, instances: DataFrame, tables: K.Tables, removed: Removed = ()) -> DataFrame:
     builders = {"ID": item_features, "SALESDOCUMENT": header_features}
     if entity_col not in builders:
         raise ValueError(f"no features for {entity_col}")
-    return builders[entity_col](instances, tables, remove)
+    return builders[entity_col](instances, tables, removed)
 
 
 # Credit risk ---------------------------------------------------------------------

@@ -110,6 +110,42 @@ def test_specs_build(spark):
     assert got == [(None, 3, 6), (3, None, None), (0, None, None)]
 
 
+def test_features_of_specs(spark):
+    t = {
+        "salesdocumentitem": frame(spark, "ID int, SALESDOCUMENT int, PLANT string, " + ", ".join(f"{c} string" for c in specs.ITEM_FEATURES), (1, 10, "P", *"abcsefg"), (2, 10, "P", *"abcxefg")),
+        "salesdocument": frame(spark, "SALESDOCUMENT int, " + ", ".join(f"{c} string" for c in specs.HEADER_FEATURES), (10, *"ABCDEFGHIJK")),
+        "customer": frame(spark, "CUSTOMER string, ADDRESSID int", ("s", 7)), "address": frame(spark, "ADDRESSID int, COUNTRY string, REGION string", (7, "DE", "BY")),
+    }
+    got = specs.features_for("ID", frame(spark, "ID int", (1,), (2,)), t, [("salesdocument", "SALESOFFICE")]).orderBy("ID").collect()
+    assert [(r.ID, r.SHIPTOPARTY, r.SALESGROUP, r.COUNTRY) for r in got] == [(1, "s", "B", "DE"), (2, "x", "B", None)] and "SALESOFFICE" not in got[0]
+    assert specs.features_for("SALESDOCUMENT", frame(spark, "SALESDOCUMENT int", (10,)), t).first().SALESOFFICE == "A"
+    with pytest.raises(Exception, match="no row"):
+        specs.features_for("ID", frame(spark, "ID int", (3,)), t).collect()
+    with pytest.raises(ValueError):
+        specs.features_for("X", t["customer"], t)
+    day = lambda n: dt.datetime(2020, 1, n)
+    quali = frame(spark, "raceId int, driverId int, constructorId int, date timestamp_ntz, position int", (1, 1, 5, day(1), 4), (2, 1, 5, day(2), 6), (3, 1, 5, day(3), 9))
+    results = frame(spark, "raceId int, driverId int, date timestamp_ntz, positionOrder int", (1, 1, day(1), 3))
+    r = specs.qualifying_features(frame(spark, "raceId int, driverId int, constructorId int, date timestamp_ntz", (3, 1, 5, day(3))), quali, results).first()
+    assert (r.driver_quali_avg_last5, r.constructor_quali_avg_last5, r.driver_result_avg_last5) == (5.0, 5.0, 3.0)
+
+
+def test_racing_audit(spark):
+    day = lambda n: dt.datetime(2020, 1, n)
+    t = {
+        "races": frame(spark, "raceId int, year int, round int, date timestamp_ntz", (1, 2020, 1, day(2)), (2, 2020, 2, day(9))),
+        "drivers": frame(spark, "driverId int", (1,)), "constructors": frame(spark, "constructorId int", (5,)),
+        "results": frame(spark, "raceId int, driverId int, constructorId int, points double, positionOrder int, date timestamp_ntz", (1, 1, 5, 25.0, 1, day(2)), (2, 1, 5, 2.0, 11, day(9)), (2, 1, 6, -1.0, 12, day(9))),
+        "standings": frame(spark, "raceId int, driverId int, points double", (1, 1, 25.0), (2, 1, 27.0)),
+        "qualifying": frame(spark, "raceId int, date timestamp_ntz", (1, day(1)), (2, day(10))),
+    }
+    results = K.run_constraints(specs.racing_constraints(), specs.racing_tables(t))
+    assert {r.name: (r.n_checked, r.n_violations) for r in results} == {
+        "results_fk_race": (3, 0), "results_fk_driver": (3, 0), "results_fk_constructor": (3, 1), "results_unique_per_race_driver": (2, 1), "standings_unique_per_race_driver": (2, 0),
+        "season_points_consistency": (1, 1), "qualifying_before_race": (2, 1), "points_non_negative": (3, 1), "fia_scoring_position_eligibility": (3, 1),
+    }
+
+
 def test_report(spark, tmp_path):
     _, summary = audit.run_audit([K.DenialConstraint("big", "t", "a > 3")], {"t": frame(spark, "a int", (1,), (5,))}, str(tmp_path))
     text = audit.findings("Audit", {"Database": summary, "Earlier": None})
