@@ -5,8 +5,11 @@ security numbers, and names behind a form of address. Each distinct value of a k
 one surrogate from a keyed hash, everywhere (coreference); digits stay digits, separators
 and case stay, card numbers pass or fail their checksum as before, account numbers keep country
 and a right checksum, names keep script, gender and whether they are given or family names.
+Every further mention of a detected name in its document is an entity too, with or without
+a form of address and in any case. A given name has one gender in the whole corpus: that of
+most of its forms of address that tell one.
 
-Collisions are checked over the whole corpus: where two values have one surrogate, or a surrogate
+Collisions are checked over the whole corpus, those of names over all kinds of names together: where two values have one surrogate, or a surrogate
 is itself a real value of its kind, all but the least value are drawn anew until none is left.
 The values are joined, never collected. Values of more than a share of all spans are dealt out by
 salts; the list of those, at most 4 * shuffle partitions, is broadcast.
@@ -37,6 +40,8 @@ TITLES = {
 }
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_PART = re.compile(r"[^\W\d_]+")
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: (kind, pattern); where they overlap, the earlier kind wins.
 PATTERNS = [
@@ -90,7 +95,8 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                     given = k < upper - 1
                     role = _GENDER[m["title"]] if given else "family"
                     at = m.start("names") + p.start()
-                    add(at, at + len(p[0]), f"name:{_script(p[0])}:{role}", p[0].casefold())
+                    word = re.sub("['’][sS]$", "", p[0])
+                    add(at, at + len(word), f"name:{_script(word)}:{role}", word.casefold())
             elif kind == "email":
                 add(m.start(), m.end(), kind, m[0].lower())
             elif kind == "iban":
@@ -99,9 +105,29 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 add(m.start(), m.end(), kind, m[0])
             else:
                 add(m.start(), m.end(), kind, ("+" if m[0][0] == "+" else "") + _digits(m[0]))
+    names: dict[str, str] = {}
+    for _, _, kind, value in sorted(taken):
+        if kind.startswith("name:"):
+            names.setdefault(value, kind)
+    if names:
+        for start, end, value in _mentions(text, names):
+            add(start, end, names[value], value)
     return sorted(taken)
 
 
+def _mentions(text: str, names: dict[str, str]):
+    """(start, end, value) of the names among the words of a text and the parts of words joined by hyphens or apostrophes, longest first."""
+    for m in _WORD.finditer(text):
+        parts = [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0])]
+        first = 0
+        while first < len(parts):
+            start = parts[first][0]
+            last = next((k for k in range(len(parts) - 1, first - 1, -1) if text[start : parts[k][1]].casefold() in names), None)
+            if last is not None:
+                yield start, parts[last][1], text[start : parts[last][1]].casefold()
+            first = first + 1 if last is None else last + 1
+
+
 def _luhn(digits: str) -> int:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -177,6 +203,8 @@ def render(original: str, kind: str, new: str) -> str:
         return "".join(c if c == " " else next(chars) for c in original)
     if original.isupper() and len(original) > 1 and kind != "ip":
         return new.upper()
+    if kind.startswith("name:") and original[:1].islower():
+        return new
     return new[0].upper() + new[1:] if kind.startswith("name:") or original[:1].isupper() else new
 
 
@@ -205,6 +233,17 @@ def scanned(docs: DataFrame, text_col: str) -> DataFrame:
 ROUNDS = 64
 
 
+def one_gender(values: DataFrame) -> DataFrame:
+    """(kind, value, drawn) from (kind, value, n): the kind to draw for, with one gender for all kinds of a given name."""
+    role, script = F.split_part("kind", F.lit(":"), F.lit(3)), F.split_part("kind", F.lit(":"), F.lit(2))
+    given = role.isin("m", "f", "n")
+    count = lambda r: F.coalesce(F.sum(F.when(role == r, F.col("n"))), F.lit(0))
+    told = values.where(given).groupBy(script.alias("script"), F.col("value").alias("of_value")).agg(count("m").alias("m"), count("f").alias("f"))
+    told = told.select("script", "of_value", F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > 0, "f").otherwise("n").alias("gender"))
+    on = given & (script == F.col("script")) & (F.col("value") == F.col("of_value"))
+    return values.join(told, on, "left").select("kind", "value", F.when(F.col("gender").isNull(), F.col("kind")).otherwise(F.concat(F.lit("name:"), "script", F.lit(":"), "gender")).alias("drawn"))
+
+
 def surrogates(values: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) of distinct (kind, value): distinct, and none of them a value itself."""
     schema = "kind string, value string, attempt int, surrogate string"
@@ -214,12 +253,14 @@ def surrogates(values: DataFrame, key: bytes) -> DataFrame:
             kinds, found, attempts = (batch.column(k).to_pylist() for k in range(3))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([surrogate(key, k, v, a) for k, v, a in zip(kinds, found, attempts)], pa.string())], ["kind", "value", "attempt", "surrogate"])
 
-    real = values.select(F.col("kind").alias("rk"), F.col("value").alias("rv"))
+    space = lambda kind: F.when(F.col(kind).startswith("name:"), "name").otherwise(F.col(kind))
+    real = values.select(space("kind").alias("rk"), F.col("value").alias("rv")).distinct()
     now = C.store(values.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(run, schema), "surrogates")
     for _ in range(ROUNDS):
-        taken = now.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("value").alias("keeps")).where("n > 1")
-        twice = now.join(taken, ["kind", "surrogate"]).where(F.col("value") != F.col("keeps")).select("kind", "value")
-        known = now.join(real, (F.col("kind") == F.col("rk")) & (F.col("surrogate") == F.col("rv")), "left_semi").select("kind", "value")
+        drawn = now.withColumn("space", space("kind"))
+        taken = drawn.groupBy("space", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("value", "kind")).alias("keeps")).where("n > 1")
+        twice = drawn.join(taken, ["space", "surrogate"]).where(F.struct("value", "kind") != F.col("keeps")).select("kind", "value")
+        known = drawn.join(real, (F.col("space") == F.col("rk")) & (F.col("surrogate") == F.col("rv")), "left_semi").select("kind", "value")
         bad = C.store(twice.union(known).distinct(), "clashes")
         if not bad.take(1):
             return now.select("kind", "value", "surrogate")
@@ -235,7 +276,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
     spans = found.where(F.size("spans") > 0)
     asked = spans.select("number", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e")).select("number", "e.kind", "e.value")
     values = C.store(asked.groupBy("kind", "value").agg(F.count("*").alias("n")), "values")
-    chosen = C.store(surrogates(values, key), "chosen")
+    kinds = C.store(one_gender(values), "kinds")
+    drawn = surrogates(kinds.select(F.col("drawn").alias("kind"), "value").distinct(), key).withColumnsRenamed({"kind": "drawn", "value": "of_value"})
+    chosen = C.store(kinds.join(drawn, (kinds["drawn"] == drawn["drawn"]) & (F.col("value") == F.col("of_value"))).select("kind", "value", "surrogate"), "chosen")
     width = C.shuffle_width(docs.sparkSession)
     total = values.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(values.where(F.col("n") * 4 * width > total).select("kind", "value", F.ceil(F.col("n") * 4 * width / F.lit(max(total, 1))).cast("int").alias("salts")))
