@@ -3,14 +3,15 @@
 A page is read into blocks of text and the element subtrees over them. Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments go by what the markup
 says. Of the rest the article or main element is taken if there is one. Its subtrees are
-hashed; Spark counts the pages of a host that have each hash, and subtrees on more than
-`min_pages` pages and `min_share` of the host's are its template and go too. If the
-template is more than half of a page's text, the page is a copy of others, not made of a
-template: it stays whole.
+hashed; Spark counts the distinct pages of a host that have each hash. Subtrees on more than
+`min_pages` pages and `min_share` of the host's are its template and go too, whatever
+part of a page they are; so are, on small hosts, those on `few_pages` pages at least and more than
+half of the host's. Pages alike in all blocks and subtrees count as one, so copies of a
+page make no template.
 
 Defined results: null and empty html have an empty text; a page without html markup is one
 text. A url without :// has an empty host, a host like any other. Repeated rows count as
-pages each and come back as often. Other columns don't matter.
+one page and come back as often. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import re
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -187,19 +189,16 @@ def parse(html: str) -> Page:
 
 
 def without(page: Page, template: set[int]) -> str:
-    """The page's text without the template's subtrees, or whole if that is most of it."""
+    """The page's text without the template's subtrees."""
     gone: set[int] = set()
     for h, a, b in page.subtrees:
         if h in template:
             gone.update(range(a, b))
-    lost = sum(len(page.blocks[k]) for k in gone)
-    if 2 * lost > sum(map(len, page.blocks)):
-        gone = set()
     return "\n".join(x for k, x in enumerate(page.blocks) if k not in gone)
 
 
-def _pack(page: Page) -> bytes:
-    return zstandard.compress(json.dumps([page.blocks, page.subtrees]).encode(), 3)
+def _plain(page: Page) -> bytes:
+    return json.dumps([page.blocks, page.subtrees]).encode()
 
 
 def _unpack(data: bytes) -> Page:
@@ -207,7 +206,7 @@ def _unpack(data: bytes) -> Page:
 
 
 def parsed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """Stored: every row with a key of its own, its host, its packed page and its subtree hashes; without the html."""
+    """Stored: every row with a key of its own, its host, its packed page, the page's hash and its subtree hashes; without the html."""
     names = [c for c in pages.columns if c != html_col]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
 
@@ -218,26 +217,32 @@ def parsed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             keys = pa.array(range(key, key + len(found)), pa.int64())
             key += len(found)
             hashes = pa.array([sorted({h for h, _, _ in p.subtrees}) for p in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, pa.array(map(_pack, found), pa.binary()), hashes], ["row", "host", "key", "page", "hashes"])
+            plain = [_plain(p) for p in found]
+            same = pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in plain], np.uint64).view(np.int64))
+            packed = pa.array([zstandard.compress(x, 3) for x in plain], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, packed, same, hashes], ["row", "host", "key", "page", "same", "hashes"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return C.store(rows.mapInArrow(run, f"row {kind}, host string, key bigint, page binary, hashes array<bigint>"), "parsed")
+    return C.store(rows.mapInArrow(run, f"row {kind}, host string, key bigint, page binary, same bigint, hashes array<bigint>"), "parsed")
 
 
-def templates(found: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(host, h): subtrees on more than so many pages of a host and so large a share of them."""
-    counts = found.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_pages)
-    pages = found.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("pages"))
-    return counts.join(pages, F.col("host") == F.col("of_host")).where(F.col("n") > min_share * F.col("pages")).select("host", "h")
+def templates(found: DataFrame, min_pages: int, min_share: float, few_pages: int) -> DataFrame:
+    """(host, h): subtrees on so many distinct pages of a host and so large a share of them."""
+    distinct = found.select("host", "same", "hashes").dropDuplicates(["host", "same"])
+    counts = distinct.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min(few_pages, min_pages + 1))
+    pages = found.select("host", "same").distinct().groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("pages"))
+    wide = (F.col("n") > min_pages) & (F.col("n") > min_share * F.col("pages"))
+    most = (F.col("n") >= few_pages) & (2 * F.col("n") > F.col("pages"))
+    return counts.join(pages, F.col("host") == F.col("of_host")).where(wide | most).select("host", "h")
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_share: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_share: float = 0.01, few_pages: int = 3) -> DataFrame:
     """The input's columns but html, and text: the main text, a line for each block."""
     spark, names = pages.sparkSession, [c for c in pages.columns if c != html_col]
     found = parsed(pages, url_col, html_col)
     salts = C.shuffle_width(spark)
     rows = found.select("key", "host", F.explode("hashes").alias("h")).withColumn("salt", C.salt("key", into=salts))
-    template = C.salted(templates(found, min_pages, min_share), salts)
+    template = C.salted(templates(found, min_pages, min_share, few_pages), salts)
     gone = C.store(rows.join(template, ["host", "h", "salt"]).groupBy("key").agg(F.collect_list("h").alias("gone")), "templates")
     both = found.join(gone, "key", "left").select("row", "page", "gone")
 

@@ -65,6 +65,27 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_template_of_short_pages_sections_and_small_hosts(spark):
+    rng = random.Random(12)
+    own = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    notice = "<div><p>" + "Our office is open on weekdays. " * 10 + "</p></div>"
+    body = lambda t, extra="": f"<html><body><div><p>{t}</p></div>{extra}</body></html>"
+    short = [own(20) for _ in range(30)]
+    rows = [(i, f"http://short.com/{i}", body(t, notice)) for i, t in enumerate(short)]  # more template than text
+    part = [own(40) for _ in range(100)]
+    rows += [(100 + i, f"http://part.com/{i}", body(t, notice if i < 33 else "")) for i, t in enumerate(part)]  # one section's
+    small = [own(40) for _ in range(5)]
+    rows += [(300 + i, f"http://small.com/{i}", body(t, notice)) for i, t in enumerate(small)]
+    copied = own(60)
+    rows += [(400 + i, f"http://copies.com/{i}", body(copied)) for i in range(40)]
+    rows += [(500 + i, f"http://copies.com/x{i}", body(own(40))) for i in range(5)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(30)] == short
+    assert [got[100 + i] for i in range(100)] == part
+    assert [got[300 + i] for i in range(5)] == small
+    assert all(got[400 + i] == copied for i in range(40))
+
+
 # 3 language model ------------------------------------------------------------------
 
 
