@@ -5,8 +5,9 @@ length rule are dropped. Beside them, candidate strings of a character class (he
 base64) are swept by a window: its Shannon entropy is kept up to date from the counts
 of the symbol that enters and the one that leaves. Where it reaches the class's
 threshold the string is a finding, from the first such window to the last. Candidates
-that an allow-list names, that lack a digit or a letter, or that overlap a pattern's
-match are suppressed.
+that lack a digit or a letter are suppressed. What an allow-list names and what a pattern
+matched is cut out of a candidate, and each part left is swept on its own; a hex string is
+swept across patterns' matches, and the finding is what they leave of it.
 
 Positions are code points, the end exclusive. Everything is DataFrame expressions;
 nothing is shuffled. Null and empty texts have no findings and stay as they are;
@@ -119,6 +120,30 @@ def _sweep(window: int, bits: float) -> str:
             'last', CASE WHEN {hit} THEN i ELSE a.last END)), 1))"""
 
 
+def _parts(allow: str, cut_base: bool) -> str:
+    """The parts of a candidate m as array of struct(start, value): it less what allow names and, if asked for, what base_spans cover."""
+    a = _literal(allow)
+    hits = "filter(base_spans, b -> b.start < m.start + m.size AND m.start < b.end)"
+    blank = f"""CASE WHEN m.value RLIKE {a} THEN element_at(transform(array(regexp_extract_all(m.value, {a}, 0)), n ->
+        array_join(transform(split(m.value, {a}, -1), (g, i) -> concat(g, coalesce(repeat(' ', length(get(n, i))), ''))), '')), 1) ELSE m.value END"""
+    if cut_base:
+        blank = f"""element_at(transform(array(struct({hits} AS hits, {blank} AS v)), x -> CASE WHEN size(x.hits) = 0 THEN x.v ELSE
+            array_join(transform(split(x.v, ''), (c, i) -> CASE WHEN exists(x.hits, b -> b.start <= m.start + i AND m.start + i < b.end) THEN ' ' ELSE c END), '') END), 1)"""
+    return f"""element_at(transform(array({blank}), v -> CASE WHEN instr(v, ' ') = 0 THEN array(named_struct('start', m.start, 'value', v)) ELSE
+        element_at(transform(array(regexp_extract_all(v, '[^ ]+|[ ]+', 0)), parts -> transform(parts, (g, i) ->
+            named_struct('start', m.start + aggregate(slice(parts, 1, i), 0, (n, x) -> n + length(x)), 'value', g))), 1) END), 1)"""
+
+
+def _uncovered(column: str, span) -> str:
+    """The spans of a column without what base_spans cover."""
+    free = lambda at: f"NOT exists(h, b -> b.start <= {at} AND {at} < b.end)"
+    edge = lambda at, end, step: f"filter(sequence(s.start, s.end - 1), {at} -> {free(at)} AND ({at} = {end} OR NOT ({free(f'({at} {step} 1)')})))"
+    cut = f"transform(arrays_zip({edge('p', 's.start', '-')} AS a, {edge('q', 's.end - 1', '+')} AS z), e -> {span('e.a', 'e.z + 1')})"
+    cut = cut.replace(" AS a,", ",").replace(" AS z)", ")").replace("e.a", "e['0']").replace("e.z", "e['1']")
+    hits = "filter(base_spans, b -> b.start < s.end AND s.start < b.end)"
+    return f"flatten(transform({column}, s -> element_at(transform(array({hits}), h -> CASE WHEN size(h) = 0 THEN array(s) ELSE {cut} END), 1)))"
+
+
 def scan(df: DataFrame, text_col: str = "text", patterns=PATTERNS, classes=CLASSES, allow: str = ALLOW) -> DataFrame:
     """df with two more columns, base_spans and spans: arrays of struct(start, kind, end, name) by start, then kind."""
     names = df.columns
@@ -133,11 +158,15 @@ def scan(df: DataFrame, text_col: str = "text", patterns=PATTERNS, classes=CLASS
     for x in classes:
         c = _P + x.kind
         df = _matches(df, _P + "text", c, f"[{x.chars}]{{{x.window},}}", 0)
-        fits = f"m.value RLIKE '[0-9]' AND m.value RLIKE '[A-Za-z]' AND NOT m.value RLIKE {_literal(allow)}"
-        free = "NOT exists(base_spans, b -> b.start < m.start + m.size AND m.start < b.end)"
+        hex_only = x.kind == "entropy_hex"
+        fits = "m.value RLIKE '[0-9]' AND m.value RLIKE '[A-Za-z]'"
+        whole = "NOT exists(base_spans, b -> b.start <= m.start AND m.start + m.size <= b.end)"
         swept = f"element_at(transform(array(split(m.value, '')), cs -> {_sweep(x.window, x.bits)}), 1)"
-        df = df.withColumn(c, F.expr(f"transform(filter({c}, m -> {fits} AND {free}), m -> named_struct('start', m.start, 'at', {swept}))"))
+        df = df.withColumn(c, F.expr(f"flatten(transform(filter({c}, m -> {fits} AND {whole}), m -> {_parts(allow, not hex_only)}))"))
+        df = df.withColumn(c, F.expr(f"transform(filter({c}, m -> length(m.value) >= {x.window} AND instr(m.value, ' ') = 0), m -> named_struct('start', m.start, 'at', {swept}))"))
         df = df.withColumn(c, F.expr(f"coalesce(transform(filter({c}, m -> m.at.first > 0), m -> {span(x.kind, f'm.start + m.at.first - {x.window}', 'm.start + m.at.last')}), {empty})"))
+        if hex_only:
+            df = df.withColumn(c, F.expr(_uncovered(c, lambda a, z, kind=x.kind: span(kind, a, z))))
     # A string of both classes is found once, by the first.
     taken = []
     for x in classes:

@@ -292,3 +292,14 @@ def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([*zip(order, order[1:]), (1000, 1001), (5, 5)], "a long, b long")
     found = {r.node: r.root for r in components.components(df).collect()}
     assert found == {**dict.fromkeys(range(n), 0), 1000: 1000, 1001: 1000}
+
+
+def test_secrets_beside_allowed_words_and_matches(spark):
+    key, digest = "q7Rz/Kp2mWx9Lt4Vb8Nc1Hd6Yg3Js5Fa0TeUoQiZ", "9f86d081884c7d65"
+    mixed = "A1B9C3D7E5F0A8B2" + "c4d6e8f0a1b3c5d7e9f2"
+    texts = [f"see example-repo/{key} now", f"at {digest}/{key} now", f"hex {mixed} now", f"both 0000{key}=xxxx{key} now"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert not any(key[k : k + 20] in t for t in got.values() for k in range(len(key) - 19))
+    assert "example" in got[0] and got[0].endswith(" now") and got[2].replace(secrets.MASK, "") == "hex  now"
+    assert digest not in got[1] and got[3].count(secrets.MASK) == 2
