@@ -4,10 +4,11 @@ Lines are normalised (lower case, one blank between words, every digit as 0), ha
 and counted per host by the distinct documents that hold them. Lines above the
 host's limit are removed; a document left with too little of its words is rejected.
 
-Documents that agree in the rest of their lines count once for a line: each is known
-to a line by the smallest hash among its *other* lines. Exact copies, however many, and
-most near copies thus count as one document, so a large group of copies isn't mistaken
-for boilerplate; it is near-duplicate removal that deals with those.
+clean() counts distinct texts: exact copies, however many, are one document, so a large group
+of copies isn't mistaken for boilerplate.
+
+judge() counts as its SQL does: a document is known to a line by the smallest hash among its
+*other* lines, so documents that share that hash count once. That finds fewer lines.
 
 Defined results: null and empty texts have no words, fail the base rules and stay
 without lines. A null host is a host of its own. Repeated rows are judged alike, each
@@ -118,9 +119,9 @@ def _line_rows(measured: DataFrame) -> DataFrame:
     return rows.select("id", "text_key", "host", "h", "n", rest.alias("rest"))
 
 
-def frequent_lines(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(host, h) of the lines above their host's limit."""
-    counts = _line_rows(measured).select("host", "h", "rest").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+def frequent_lines(measured: DataFrame, limits: Limits = Limits(), document: str = "text_key") -> DataFrame:
+    """(host, h) of the lines above their host's limit; document: what tells documents apart, text_key or rest."""
+    counts = _line_rows(measured).select("host", "h", document).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
     sizes = measured.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("host_docs"))
     above = counts.where(F.col("n_docs") > limits.min_documents)
     return (
@@ -130,11 +131,11 @@ def frequent_lines(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
-def _removed(measured: DataFrame, limits: Limits) -> DataFrame:
+def _removed(measured: DataFrame, limits: Limits, document: str) -> DataFrame:
     """The line rows above the limits: id, text_key, h, n. A line's rows are dealt out by salts."""
     salts = C.shuffle_width(measured.sparkSession)
     lines = _line_rows(measured).withColumn("salt", C.salt("id", "text_key", into=salts))
-    frequent = C.salted(frequent_lines(measured, limits), salts)
+    frequent = C.salted(frequent_lines(measured, limits, document), salts)
     on = lines["host"].eqNullSafe(frequent["host"]) & (lines["h"] == frequent["h"]) & (lines["salt"] == frequent["salt"])
     return lines.join(frequent, on).select("id", "text_key", lines["h"], "n")
 
@@ -142,7 +143,7 @@ def _removed(measured: DataFrame, limits: Limits) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
     """A row for each document: id, the base statistics, removed_words, and kept."""
     measured = measure(docs, id_col, text_col, host_col, limits)
-    removed = _removed(measured, limits).select("id", "text_key", F.col("n").cast("long").alias("removed"))
+    removed = _removed(measured, limits, "rest").select("id", "text_key", F.col("n").cast("long").alias("removed"))
     base = measured.select("id", "text_key", *BASE, F.lit(1).alias("rows"))
     both = base.unionByName(removed, allowMissingColumns=True).groupBy("id", "text_key").agg(
         *[F.max(x).alias(x) for x in BASE], F.sum("rows").alias("rows"), F.coalesce(F.sum("removed"), F.lit(0)).alias("removed")
@@ -163,7 +164,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     names, p = docs.columns, _P
     measured = measure(docs, id_col, text_col, host_col, limits)
-    gone = _removed(measured, limits).groupBy("id", "text_key").agg(F.collect_set("h").alias("gone"))
+    gone = _removed(measured, limits, "text_key").groupBy("id", "text_key").agg(F.collect_set("h").alias("gone"))
     passed = measured.where(~F.col("base_failed")).select("id", "text_key", "n_words", F.lit(None).cast("array<bigint>").alias("gone"))
     facts = passed.unionByName(gone, allowMissingColumns=True).groupBy("id", "text_key").agg(F.max("n_words").alias(p + "n"), F.first("gone", ignorenulls=True).alias(p + "gone"))
     facts = facts.where(F.col(p + "n").isNotNull()).withColumnsRenamed({"id": p + "id", "text_key": p + "of_key"})
