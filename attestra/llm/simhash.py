@@ -11,6 +11,15 @@ outside the key are flipped: two within k bits meet in the middle, and all that
 meet in one such value are within k bits of each other, so links to the least of
 them are enough. That is exact, and linear in the fingerprints.
 
+With shingles of five words, as unique() takes them, texts whose sets of shingles have a
+Jaccard similarity of 0.8 or more are linked too, most of which differ in more bits than blocks can find. Candidates share one of BANDS
+bands of ROWS minima over the set, which misses a pair of similarity 0.8 with a chance of 3 in
+100,000; each candidate's similarity is then computed from the whole sets. Equal sets are
+one from the start. Of a band that more than `small` sets share, the sets are dealt out by their
+other bands; what still is as large is linked by rounds of leaders: all are compared with
+the least, and those not similar to it go to the next round, until none is left or
+LEADERS rounds are over, so that the work stays in proportion to the sets.
+
 Defined results: null and empty texts have fingerprint zero and link like any other.
 Rows with a null id link too, but give no name to a component; a component of null ids alone
 has a null name. Repeated rows have the same class. Other columns aren't looked at.
@@ -34,6 +43,11 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BITS = 64
 SEED = 42
 _SLICE = 1 << 16
+#: By the words of a shingle: the Jaccard similarity that links texts besides the fingerprints' distance.
+SIMILARITY = {5: 0.8}
+#: Bands of minima, and minima in each; rounds of leaders in a large band.
+BANDS, ROWS, LEADERS = 20, 4, 8
+_KEYS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.int64).astype(np.uint64)
 #: Names that this operator adds start so.
 _P = "_sh_"
 
@@ -52,6 +66,93 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big")
 
 
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.fromiter((digest(join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A hash of each band's minima over a set of shingles; none for the empty set."""
+    if not len(found):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for start in range(0, len(found), 4096):
+        x = found[start : start + 4096, None] * (_KEYS[0] | np.uint64(1)) + _KEYS[1]
+        x ^= x >> np.uint64(29)
+        least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def similar(docs: DataFrame, text_col: str, shingle: int, similarity: float, small: int = 32) -> DataFrame:
+    """(a, b): links between fingerprints of texts whose sets of shingles are so similar."""
+
+    def measure(batches):
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(0)]
+            sets = [shingles(t, shingle) for t in texts]
+            prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            whole = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(prints), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], ["s", "fp", "bands"])
+
+    rows = C.store(docs.select(F.col(text_col).alias("text")).mapInArrow(measure, "s bigint, fp bigint, bands array<bigint>"), "bands")
+    # Equal sets may have several fingerprints, if shingles repeat.
+    prints = rows.select("s", "fp").distinct()
+    one = prints.groupBy("s").agg(F.min("fp").alias("least"))
+    same = prints.join(one, "s").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    sets = rows.where(F.size("bands") > 0).groupBy("s").agg(F.first("bands").alias("bands"))
+    keyed = sets.select("s", "bands", F.posexplode("bands").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = C.store(keyed.join(sizes, ["band", "key"]).select("s", F.xxhash64("band", "key").alias("key"), "n", F.when(F.col("n") > small, F.col("bands")).alias("bands")), "shared")
+    finer = shared.where(F.col("n") > small).select("s", "key", F.posexplode("bands").alias("band", "second")).select("s", F.xxhash64("key", "band", "second").alias("key"))
+    finer_sizes = finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    finer = C.store(finer.join(finer_sizes, "key").where("n > 1"), "finer")
+    near = shared.where(F.col("n") <= small).select("s", "key").union(finer.where(F.col("n") <= small).select("s", "key"))
+    pairs = near.join(near.select("key", F.col("s").alias("t")), "key").where("s < t").select("s", "t").distinct()
+
+    # The whole sets, of the candidates alone.
+    asked = shared.select("s").distinct()
+
+    def again(batches):
+        for batch in batches:
+            sets = [shingles(x.as_py(), shingle) for x in batch.column(0)]
+            whole = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array([x.tobytes() for x in sets], pa.binary())], ["s", "hashes"])
+
+    texts = docs.select(F.col(text_col).alias("text")).mapInArrow(again, "s bigint, hashes binary")
+    whole = C.store(texts.join(asked, "s", "left_semi").dropDuplicates(["s"]), "sets")
+
+    def compare(batches):
+        for batch in batches:
+            kept = []
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                if both >= similarity * (len(x) + len(y) - both):
+                    kept.append(k)
+            yield batch.select(["s", "t"]).take(pa.array(kept, pa.int64()))
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        left = candidates.join(whole, "s").select("s", "t", F.col("hashes").alias("x"))
+        both = left.join(whole.select(F.col("s").alias("t"), F.col("hashes").alias("y")), "t").select("s", "t", "x", "y")
+        return C.store(both.mapInArrow(compare, "s bigint, t bigint"), "similar")
+
+    out = verified(pairs)
+    left = finer.where(F.col("n") > small).select("s", "key")
+    for _ in range(LEADERS):
+        if not left.take(1):
+            break
+        led = left.join(left.groupBy("key").agg(F.min("s").alias("t")), "key").where("s <> t")
+        links_now = verified(led.select("t", "s").distinct().select(F.col("t").alias("s"), F.col("s").alias("t")))
+        out = out.union(links_now)
+        found = links_now.select(F.col("s").alias("t"), F.col("t").alias("s"))
+        left = C.store(led.join(found, ["s", "t"], "left_anti").select("s", "key"), "left")
+    named = lambda c, to: one.select(F.col("s").alias(c), F.col("least").alias(to))
+    return C.store(out.join(named("s", "a"), "s").join(named("t", "b"), "t").select("a", "b").union(same).where("a <> b").distinct(), "linked")
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -109,7 +210,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
     """(id, fp, component_id) for every row; component_id is the least id that links reach."""
     prints = C.store(fingerprints(docs, id_col, text_col, shingle), "prints")
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(distinct.select("fp"), distance))
+    edges = links(distinct.select("fp"), distance)
+    if shingle in SIMILARITY:
+        edges = edges.union(similar(docs, text_col, shingle, SIMILARITY[shingle]))
+    roots = components(edges)
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = C.store(rooted.join(named, "root").select(F.col("fp").alias("of_fp"), "component_id"), "classes")

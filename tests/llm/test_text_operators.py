@@ -49,6 +49,20 @@ def test_quality_removes_frequent_lines(spark):
     assert quality_rules.clean(df.limit(0)).count() == quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_quality_counts_distinct_documents(spark):
+    """Two template lines, one of the least hash, hide each other if documents are known by their least other line."""
+    rng = random.Random(11)
+    text = lambda: "\n".join(" ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(35)) for _ in range(2))
+    lines = [" ".join(f"t{chr(97 + k)}{c}" for c in "abcde") for k in range(12)]
+    mine = [text() for _ in range(40)]
+    rows = [(i, t + "\n" + "\n".join(lines), "a") for i, t in enumerate(mine)]
+    copy = text()
+    rows += [(100 + i, copy, "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in quality_rules.clean(df).collect()}
+    assert set(out) == {r[0] for r in rows} and all(out[i] == t for i, t in enumerate(mine)) and out[100] == copy
+
+
 # 2 main text -------------------------------------------------------------------
 
 
@@ -303,3 +317,25 @@ def test_secrets_beside_allowed_words_and_matches(spark):
     assert not any(key[k : k + 20] in t for t in got.values() for k in range(len(key) - 19))
     assert "example" in got[0] and got[0].endswith(" now") and got[2].replace(secrets.MASK, "") == "hex  now"
     assert digest not in got[1] and got[3].count(secrets.MASK) == 2
+
+
+def test_unique_links_similar_texts(spark):
+    """Edited copies of similarity 0.8 or more go, whatever their fingerprints; less similar ones stay."""
+    rng = random.Random(13)
+    rows, expected = [], set()
+    for i in range(60):
+        words_ = [f"w{rng.randrange(99999)}" for _ in range(200)]
+        rows.append((10 * i, " ".join(words_)))
+        for k, edits in ((1, 3), (2, 12)):
+            new = list(words_)
+            for at in range(edits):
+                new[at * 15 + 7] = f"x{rng.randrange(99999)}"
+            rows.append((10 * i + k, " ".join(new)))
+        expected |= {10 * i, 10 * i + 2}
+    hot = [f"h{k}" for k in range(300)]
+    rows += [(10_000 + i, " ".join(hot) + f" end{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {r[0]: simhash.shingles(r[1]) for r in rows}
+    jaccard = lambda a, b: len(np.intersect1d(first[a], first[b])) / len(np.union1d(first[a], first[b]))
+    assert all(jaccard(10 * i, 10 * i + 1) >= 0.8 > jaccard(10 * i, 10 * i + 2) for i in range(60))
+    assert {r.doc_id for r in simhash.unique(df).collect()} == expected | {10_000}
