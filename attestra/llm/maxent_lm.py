@@ -1,24 +1,27 @@
-"""Language-model scores: a hashed maximum-entropy model over word classes.
-
-Every text counts and every text is scored. Spark counts the training words; texts travel in
-batches of bounded size that hold each of their words once, so a word is looked up once
-for a batch, however frequent it is.
-
-The model factors a word by classes: P(w | h) = P(class | h) * P(w | class). Classes go
-by how words end (a hash of the last two bytes); words seen once or never are a class, and
-so is the end of a text. The class follows a softmax over hashed features of the
-history: the previous word, the endings of the two previous ones, and the ending of the one
-before the last alone (a skip). In a class, words go by their counts; the rare class also holds the
-unknown word. For training, a word is rare if it is so without itself, so unseen words
-are learned from words seen once.
-
-Training is by gradient steps on the executors: each task goes over its batches from the
-shared weights, in small steps scaled by the gradients so far; the tasks' changes are
-averaged by their numbers of tokens, and a next round would start from there. One round is
-the default: a second one made held-out texts no likelier. Only weights, of fixed size,
-pass through the driver.
-
-Words are known by 64 bits: 49 of a hash of the word and 15 of one of its ending.
+"""Language-model scores: a hashed maximum-entropy model with a softmax factored by classes.
+
+Every text counts and every text is scored. Spark counts the training words by the words
+themselves; texts travel in batches of bounded size that hold each of their words once, so a
+word is looked up once for a batch. Words of more than a share of all tokens are looked up in a
+short list, which is broadcast; no key of the other words is hot.
+
+The model factors a word by a class, a class within it, and a third one in that:
+P(w | h) = P(a | h) P(b | a, h) P(c | a, b, h) P(w | a, b, c). Each of the first three is a
+softmax over CLASSES over hashed features of the history: the previous word, the two
+previous ones, the one before the last alone (a skip), the endings of both, and a bias. The
+first class goes by how a word ends; words seen once or never are one of its values, and
+so is the end of a text; neither has classes within it. The other two go by the word's hash.
+In the innermost class words go by their counts; the rare class also holds the unknown word. For
+training, a word is rare if it is so without itself, so unseen words are learned from
+words seen once.
+
+A weight's row is a hash of feature and class in a table that grows with the training
+tokens, from 2**19 rows to 2**21 (128 MB, what a task and the driver can hold). Training is by
+gradient steps on the executors. Each round takes batches that no other round does; each task goes
+over its own from the shared weights, in small steps scaled by the gradients so far; rows
+that tasks moved are averaged by their squared gradients, so a row that one task alone has seen
+keeps what it learned. Tasks are so many that what they send stays in proportion to the tokens.
+Only weights pass through the driver.
 
 Defined results: a null text is an empty one: its end alone. A null id counts as the empty
 string for the split. Repeated rows count and are scored each on their own. Where no text
@@ -42,31 +45,48 @@ from attestra.llm import common as C
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FOLDS, HELD_OUT = 7, 2
-#: Characters of a batch; classes (0 the rare words, the last the end); bits of the feature hash.
-BATCH, CLASSES, BITS = 32_000_000, 24, 15
-STEP, RATE, ROUNDS = 16_384, 0.3, 1
-#: Low bits of a word's number that are its ending's; tokens whose features are made at once.
-ENDING, SLICE = (1 << 15) - 1, 1 << 20
-_BLOCKS, _TREE = 16, 32
+#: Characters of a batch; classes of a softmax (of the first: 0 the rare words, the last the end); softmaxes.
+BATCH, CLASSES, LEVELS = 16_000_000, 16, 3
+#: The table's rows as a power of two, and training tokens for each row between them.
+MIN_BITS, MAX_BITS, TOKENS_A_ROW = 19, 21, 256
+#: Tokens of a gradient step (at most 2**_PLACE); its scale; rounds; tokens of a training task for each row.
+STEP, RATE, ROUNDS, TASK_TOKENS_A_ROW = 16_384, 0.15, 2, 8
+_PLACE = 20
+#: Features of whole words come first and share three quarters of the table; endings and the bias share the rest.
+WHOLE_WORDS = 3
+#: Low bits of a word's hash that are its ending's.
+ENDING = (1 << 16) - 1
+_BLOCK_ROWS, _TREE = 1 << 14, 32
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def word_number(word: bytes) -> int:
-    return (xxhash.xxh64_intdigest(word) & ~ENDING) | (xxhash.xxh32_intdigest(word[-2:]) & ENDING)
-
-
-_END = word_number(b"")  # no word is empty
+def word_hash(word: bytes) -> int:
+    """48 bits of the word's hash and 16 of its ending's; for features and classes, not for counts."""
+    return (xxhash.xxh3_64_intdigest(word) & ~ENDING) | (xxhash.xxh32_intdigest(word[-2:]) & ENDING)
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
 
 
-def word_classes(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """0 for counts 0 and 1, the others by their endings; the first word is the end."""
-    classes = np.where(counts > 1, 1 + (words & ENDING) % (CLASSES - 2), 0).astype(np.int64)
-    classes[0] = CLASSES - 1
-    return classes
+def word_classes(counts: np.ndarray, hashes: np.ndarray, end: np.ndarray | None = None) -> np.ndarray:
+    """(n, LEVELS) classes. end: where the end of a text is; if not given, the first word is."""
+    out = np.empty((len(counts), LEVELS), np.uint8)
+    out[:, 0] = np.where(counts > 1, 1 + (hashes & np.uint64(ENDING)) % np.uint64(CLASSES - 2), 0)
+    mixed = (hashes >> np.uint64(16)) * _MIX[2]
+    for k in range(1, LEVELS):
+        out[:, k] = mixed >> np.uint64(64 - 8 * k) & np.uint64(CLASSES - 1)
+    out[0 if end is None else end, 0] = CLASSES - 1
+    return out
+
+
+def leaves(classes: np.ndarray) -> np.ndarray:
+    """A number for each innermost class; the rare class and the end have one each."""
+    out = classes[:, 0].astype(np.int64)
+    inner = (out > 0) & (out < CLASSES - 1)
+    for k in range(1, LEVELS):
+        out = out * CLASSES + np.where(inner, classes[:, k], 0)
+    return out
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -79,12 +99,12 @@ def _open(data: bytes, kind) -> np.ndarray:
 
 # Batches ---------------------------------------------------------------------
 
-_BATCH = "batch bigint, ids array<{}>, held binary, sizes binary, tokens binary"
+_BATCH = "batch bigint, ids array<{}>, held binary, sizes binary, tokens binary, hashes binary"
 
 
 class _Batch:
     def __init__(self):
-        self.known: dict[bytes, int] = {b"": 0}  # the end is word 0
+        self.known: dict[bytes, int] = {b"": 0}  # the end is word 0; no word is empty
         self.ids, self.held, self.tokens, self.size = [], [], [], 0
 
     def add(self, doc_id, text: str | None) -> None:
@@ -98,25 +118,25 @@ class _Batch:
 
     def row(self, number: int):
         tokens, sizes, held = np.concatenate(self.tokens), np.array([len(t) for t in self.tokens], np.uint32), np.array(self.held)
-        words = np.fromiter(map(word_number, self.known), np.uint64, len(self.known)).view(np.int64)
-        counts = np.bincount(tokens[~np.repeat(held, sizes)], minlength=len(words))
-        return number, self.ids, held.tobytes(), _squeeze(sizes), _squeeze(tokens), words, counts
+        hashes = np.fromiter(map(word_hash, self.known), np.uint64, len(self.known))
+        counts = np.bincount(tokens[~np.repeat(held, sizes)], minlength=len(hashes))
+        return number, self.ids, held.tobytes(), _squeeze(sizes), _squeeze(tokens), _squeeze(hashes), list(self.known), counts
 
 
 def batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Stored rows of many texts: word numbers as tokens, and the batch's words (hashes) with their training counts."""
+    """Stored rows of many texts: the numbers of their words as tokens, and the batch's words with their training counts."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
-    schema = _BATCH.format(kind.simpleString()) + ", words array<bigint>, counts array<bigint>"
+    schema = _BATCH.format(kind.simpleString()) + ", words array<binary>, counts array<bigint>"
 
     def run(arrow_batches):
         number = TaskContext.get().partitionId() << 40
         now = None
 
         def out(b):
-            n, ids, held, sizes, tokens, words, counts = b.row(number)
-            columns = [pa.array([n]), pa.array([ids]) if id_type is None else pa.array([ids], pa.list_(id_type)), pa.array([held]), pa.array([sizes]), pa.array([tokens]), pa.array([words]), pa.array([counts])]
-            return pa.RecordBatch.from_arrays(columns, ["batch", "ids", "held", "sizes", "tokens", "words", "counts"])
+            n, ids, held, sizes, tokens, hashes, words, counts = b.row(number)
+            columns = [pa.array([n]), pa.array([ids], pa.list_(id_type)), *[pa.array([x], pa.binary()) for x in (held, sizes, tokens, hashes)], pa.array([words], pa.list_(pa.binary())), pa.array([counts])]
+            return pa.RecordBatch.from_arrays(columns, ["batch", "ids", "held", "sizes", "tokens", "hashes", "words", "counts"])
 
         id_type = None
         for arrow in arrow_batches:
@@ -133,25 +153,30 @@ def batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return C.store(rows.mapInArrow(run, schema), "batches")
 
 
-def with_counts(found: DataFrame, counts: DataFrame) -> DataFrame:
+def with_counts(found: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """Stored: the batches with the training counts of their words over the whole corpus."""
-    asked = found.select("batch", F.posexplode("words").alias("place", "h"))
-    given = asked.join(counts, "h").select(F.col("batch").alias("of_batch"), "place", "c")
-    fat = found.select("batch", "ids", "held", "sizes", "tokens", "words")
-    names = ["batch", "ids", "held", "sizes", "tokens", "hashes", "counts"]
-
-    def merge(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks()
-        words = left.column("words").combine_chunks().flatten().to_numpy().view(np.uint64)
-        c = np.zeros(len(words), np.uint64)
-        if right.num_rows:
-            c[right.column("place").to_numpy()] = right.column("c").to_numpy().view(np.uint64)
-        kept = [left.column(n) for n in names[:5]]
-        return pa.Table.from_arrays([*kept, pa.array([_squeeze(((words >> np.uint64(32) & ~np.uint64(ENDING)) | (words & np.uint64(ENDING))).astype(np.uint32))]), pa.array([_squeeze(c)])], names)
+    width = C.shuffle_width(found.sparkSession)
+    asked = found.select("batch", F.posexplode("words").alias("place", "word"))
+    hot = F.col("c") * 4 * width > total
+    listed = asked.join(F.broadcast(counts.where(hot).withColumnRenamed("c", "hot")), "word", "left")  # at most 4 * width rows
+    near = listed.where("hot IS NOT NULL").select("batch", "place", F.col("hot").alias("c"))
+    far = listed.where("hot IS NULL").select("batch", "place", "word").join(counts.where(~hot), "word").select("batch", "place", "c")
+    given = near.unionByName(far).groupBy("batch").agg(F.collect_list(F.struct("place", "c")).alias("given"))
+    names = [c for c in found.columns if c not in ("words", "counts")]
+    joined = found.select(*names).join(given, "batch", "left")
+
+    def merge(arrow_batches):
+        for batch in arrow_batches:
+            blobs = []
+            for hashes, known in zip(batch.column("hashes"), batch.column("given")):
+                c = np.zeros(len(zstandard.decompress(hashes.as_py())) // 8, np.uint64)
+                if known.is_valid:
+                    c[known.values.field("place").to_numpy()] = known.values.field("c").to_numpy().view(np.uint64)
+                blobs.append(_squeeze(c))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(blobs, pa.binary())], [*names, "counts"])
 
     kind = found.schema["ids"].dataType.elementType.simpleString()
-    joined = fat.groupBy("batch").cogroup(given.groupBy("of_batch")).applyInArrow(merge, _BATCH.format(kind) + ", hashes binary, counts binary")
-    return C.store(joined, "counted")
+    return C.store(joined.mapInArrow(merge, _BATCH.format(kind) + ", counts binary"), "counted")
 
 
 # Model -----------------------------------------------------------------------
@@ -159,149 +184,211 @@ def with_counts(found: DataFrame, counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """What holds for all words: N, V, and log10 P(w | class) as far as it doesn't hang on the word."""
+    """What holds for all words: N, V, and log10 P(w | leaf) as far as it doesn't hang on the word."""
 
     tokens: int
     types: int
-    class_logs: np.ndarray  # log10 of the class's tokens
-    rare_known: float  # log10 P(w | rarest class) of a word seen once
+    leaf_logs: np.ndarray  # log10 of the leaf's tokens
+    rare_known: float  # log10 P(w | rare class) of a word seen once
     rare_unknown: float
 
     def within(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        out = np.log10(np.maximum(counts, 1)) - self.class_logs[classes]
-        out = np.where(classes == 0, np.where(counts > 0, self.rare_known, self.rare_unknown), out)
-        return np.where(classes == CLASSES - 1, 0.0, out)
+        out = np.log10(np.maximum(counts, 1)) - self.leaf_logs[leaves(classes)]
+        out = np.where(classes[:, 0] == 0, np.where(counts > 0, self.rare_known, self.rare_unknown), out)
+        return np.where(classes[:, 0] == CLASSES - 1, 0.0, out)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From (h, c) of the training tokens, the end among them."""
-    end = _END - (1 << 64) if _END >> 63 else _END
-    words = counts.where(F.col("h") != end)
-    kind = F.when(F.col("c") > 1, 1 + F.pmod(F.col("h").bitwiseAND(ENDING), F.lit(CLASSES - 2))).otherwise(0)
-    sums = words.groupBy(kind.cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # one row for each class
-    twice = words.where("c = 2").count()
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    mass = np.zeros(CLASSES)
-    once = 0
-    for r in sums:
-        mass[r.k] = r.n
-        once = r.v if r.k == 0 else once
-    unseen = once / (once + 2 * twice) if once else 1.0
-    unseen = min(unseen, 0.999) if once else 1.0
-    with np.errstate(divide="ignore"):
-        known = np.log10((1 - unseen) / once) if once else -np.inf
-        return Vocabulary(int(total.n or 0), int(total.v or 0), np.log10(np.maximum(mass, 1)), float(known), float(np.log10(unseen)))
-
-
-def features(words: np.ndarray, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(n, 3) feature numbers of each token's history; before a text's first word stands nothing.
-
-    words: 17 bits of each word's hash above 15 of its ending's.
-    """
-    n, shift = len(tokens), np.uint64(64 - BITS)
-    place = np.full(n, 2, np.uint8)  # words that stand before, as far as they count
-    second = starts + 1
-    place[second[second < n]] = 1
-    place[starts] = 0
-    out = np.empty((n, 3), np.int16 if BITS < 16 else np.int32)
-    for low in range(0, n, SLICE):
-        at = np.arange(low, min(n, low + SLICE))
-        one, two = (words[tokens[at - k]].astype(np.uint64) for k in (1, 2))
-        one[place[at] < 1] = 0
-        two[place[at] < 2] = 0
-        e1, e2 = (one & np.uint64(ENDING)) + np.uint64(1), (two & np.uint64(ENDING)) + np.uint64(1)
-        out[at, 0] = (one + np.uint64(1)) * _MIX[0] >> shift
-        out[at, 1] = (e1 * _MIX[1] + e2 * _MIX[2]) * _MIX[3] >> shift
-        out[at, 2] = e2 * _MIX[1] >> shift
-    return out
-
-
-def _scores(weights: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """The classes' scores after each history, less the highest. The last row of weights is the bias."""
-    z = weights[found[:, 0]]
-    z += weights[found[:, 1]]
-    z += weights[found[:, 2]]
-    z += weights[-1]
-    z -= z.max(axis=1, keepdims=True)
-    return z
-
-
-def class_logs(weights: np.ndarray, found: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """From (word, c) of the training tokens, the end (the empty word) among them."""
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            c = batch.column(1).to_numpy()
+            end = np.array([not w for w in words], bool)
+            leaf = leaves(word_classes(c, np.fromiter(map(word_hash, words), np.uint64, len(words)), end))
+            kinds, place = np.unique(leaf, return_inverse=True)
+            columns = [np.bincount(place, weights=w, minlength=len(kinds)).astype(np.int64) for w in (c, np.ones(len(c)), c == 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kinds, *columns)], ["leaf", "n", "v", "twice"])
+
+    sums = counts.select("word", "c").mapInArrow(run, "leaf bigint, n bigint, v bigint, twice bigint")
+    rows = sums.groupBy("leaf").agg(*[F.sum(x).alias(x) for x in ("n", "v", "twice")]).collect()  # one row for each leaf
+    mass = np.zeros(CLASSES**LEVELS)
+    for r in rows:
+        mass[r.leaf] = r.n
+    once, twice = sum(r.v for r in rows if r.leaf == 0), sum(r.twice for r in rows)
+    unseen = min(once / (once + 2 * twice), 0.999) if once else 1.0
+    known = np.log10((1 - unseen) / once) if once else -np.inf
+    return Vocabulary(sum(r.n for r in rows), sum(r.v for r in rows), np.log10(np.maximum(mass, 1)), float(known), float(np.log10(unseen)))
+
+
+def table_bits(tokens: int) -> int:
+    return min(MAX_BITS, max(MIN_BITS, (tokens // TOKENS_A_ROW).bit_length()))
+
+
+def histories(hashes: np.ndarray, tokens: np.ndarray, starts: np.ndarray, low: int, high: int) -> np.ndarray:
+    """(features, n) hashes of the histories of the tokens from low to high; before a text's first word stands nothing."""
+    at = np.arange(low, high)
+    place = at - starts[np.searchsorted(starts, at, "right") - 1]
+    one = np.where(place < 1, np.uint64(1), hashes[tokens[at - 1]])
+    two = np.where(place < 2, np.uint64(1), hashes[tokens[at - 2]])
+    ends = (one & np.uint64(ENDING)) << np.uint64(16) | (two & np.uint64(ENDING))
+    out = np.stack([one * _MIX[0], (one * _MIX[1] + two) * _MIX[2], (two ^ np.uint64(2)) * _MIX[3], (ends + np.uint64(3)) * _MIX[1], np.full(len(at), _MIX[2])])
+    return out ^ out >> np.uint64(29)
+
+
+def level_rows(history: np.ndarray, classes: np.ndarray, bits: int):
+    """For each softmax: which tokens have it, (features, n) rows of the table, and the classes chosen."""
+    node = np.full(len(classes), _MIX[3])
+    inner = (classes[:, 0] > 0) & (classes[:, 0] < CLASSES - 1)
+    for k in range(LEVELS):
+        which = np.flatnonzero(inner) if k else np.arange(len(classes))
+        rows = ((history[:, which] + node[which]) * _MIX[0] >> np.uint64(64 - bits)).astype(np.int64)
+        rows[:WHOLE_WORDS] = (rows[:WHOLE_WORDS] * 3 >> 2) + (1 << bits - 2)
+        rows[WHOLE_WORDS:] >>= 2
+        yield which, rows, classes[which, k]
+        node = (node + classes[:, k].astype(np.uint64) + np.uint64(1)) * _MIX[1]
+
+
+def scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(n, CLASSES) scores after each history."""
+    z = np.take(weights, rows[0], axis=0)
+    for r in rows[1:]:
+        z += np.take(weights, r, axis=0)
+    return np.minimum(z, np.float32(80), out=z)
+
+
+def logs(weights: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Natural log of P(class | history) of one class each."""
-    z = _scores(weights, found)
-    own = z[np.arange(len(z)), classes]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    z = scores(weights, rows)
+    chosen = z[np.arange(len(z)), own]
+    return chosen - np.log(np.exp(z, out=z).sum(axis=1))
 
 
-def learn(weights: np.ndarray, squares: np.ndarray, found: np.ndarray, classes: np.ndarray) -> None:
-    """One gradient step in place; squares: the sum of squared gradients of each feature so far."""
-    g = _scores(weights, found)
+def learn(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, own: np.ndarray) -> None:
+    """One gradient step in place; squares: the sum of squared gradients of each row so far."""
+    g = scores(weights, rows)
     np.exp(g, out=g)
-    g /= g.sum(axis=1, keepdims=True)
-    g[np.arange(len(g)), classes] -= 1
-    for k in range(found.shape[1]):
-        order = np.argsort(found[:, k], kind="stable")
-        f = found[order, k]
-        first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-        sums, rows = np.add.reduceat(g[order], first, axis=0), f[first]
-        squares[rows] += np.square(sums).mean(axis=1)
-        weights[rows] -= RATE * sums / np.sqrt(squares[rows] + 1e-8)[:, None]
-    total = g.sum(axis=0)
-    squares[-1] += np.square(total).mean()
-    weights[-1] -= RATE * total / np.sqrt(squares[-1] + 1e-8)
+    g /= (g @ np.ones(CLASSES, np.float32))[:, None]
+    g[np.arange(len(g)), own] -= 1
+
+    def move(at: np.ndarray, by: np.ndarray) -> None:
+        squares[at] += np.einsum("ij,ij->i", by, by) / CLASSES
+        by *= (np.float32(RATE) / np.sqrt(squares[at] + np.float32(1e-8)))[:, None]
+        weights[at] -= by
+
+    for r in rows:
+        packed = np.sort(r << _PLACE | np.arange(len(r)))
+        row, order = packed >> _PLACE, packed & (1 << _PLACE) - 1
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        alone = np.diff(np.r_[first, len(row)]) == 1
+        move(row[first[alone]], g[order[first[alone]]])
+        if not alone.all():  # gradients of the same row are added up first
+            many = np.ones(len(row), bool)
+            many[first[alone]] = False
+            row, order = row[many], order[many]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            move(row[first], np.add.reduceat(g[order], first, axis=0))
 
 
 def _read(batch, names):
     get = lambda n: batch.column(names.index(n))
     for k in range(batch.num_rows):
         held, sizes = np.frombuffer(get("held")[k].as_py(), bool), _open(get("sizes")[k].as_py(), np.uint32).astype(np.int64)
-        tokens, hashes, counts = _open(get("tokens")[k].as_py(), np.uint32), _open(get("hashes")[k].as_py(), np.uint32), _open(get("counts")[k].as_py(), np.uint64).astype(np.int64)
+        tokens, hashes, counts = _open(get("tokens")[k].as_py(), np.uint32), _open(get("hashes")[k].as_py(), np.uint64), _open(get("counts")[k].as_py(), np.uint64).astype(np.int64)
         yield get("ids")[k], held, sizes, tokens, hashes, counts
 
 
-def _round(counted: DataFrame, weights, first: np.ndarray) -> np.ndarray:
-    """The weights after one round: the tasks' results, averaged by tokens in two steps."""
+def learn_batch(weights: np.ndarray, squares: np.ndarray, held, sizes, tokens, hashes, counts) -> None:
+    """All gradient steps over the training texts of a batch."""
+    bits = len(weights).bit_length() - 1
+    starts, train = np.cumsum(sizes) - sizes, ~np.repeat(held, sizes)
+    classes = word_classes(counts - 1, hashes)
+    for low in range(0, len(tokens), STEP):
+        high = min(low + STEP, len(tokens))
+        taken = np.flatnonzero(train[low:high])
+        if len(taken):
+            history = histories(hashes, tokens, starts, low, high)[:, taken]
+            for _, rows, own in level_rows(history, classes[tokens[low:high][taken]], bits):
+                if len(own):
+                    learn(weights, squares, rows, own)
+
+
+_PART = "block int, part int, w binary"
+
+
+def _packed_rows(rows: np.ndarray, squares: np.ndarray, weights: np.ndarray) -> bytes:
+    return _squeeze(np.frombuffer(rows.astype("<i4").tobytes() + squares.astype("<f4").tobytes() + weights.astype("<f2").tobytes(), np.uint8))
+
+
+def _unpacked_rows(data: bytes):
+    raw = zstandard.decompress(data)
+    n = len(raw) // (8 + 2 * CLASSES)
+    return np.frombuffer(raw, "<i4", n), np.frombuffer(raw, "<f4", n, 4 * n), np.frombuffer(raw, "<f2", n * CLASSES, 8 * n).reshape(n, CLASSES)
+
+
+def merged(parts: list[bytes]) -> bytes:
+    """Rows of several tasks: each the mean of what the tasks made of it, by their squared gradients."""
+    rows, squares, weights = map(np.concatenate, zip(*map(_unpacked_rows, parts)))
+    found, place = np.unique(rows, return_inverse=True)
+    total = np.bincount(place, weights=squares)
+    mean = np.stack([np.bincount(place, weights=squares * weights[:, k].astype(np.float64)) for k in range(CLASSES)], axis=1) / total[:, None]
+    return _packed_rows(found, total, mean)
+
+
+def _round(counted: DataFrame, number: int, rounds: int, weights: np.ndarray, squares: np.ndarray, tasks: int) -> None:
+    """One round, in place: over the batches whose turn it is, merged in two steps."""
     names = counted.columns
+    start = counted.sparkSession.sparkContext.broadcast((weights, squares))
 
     def run(arrow_batches):
-        w, squares, n = weights.value.copy(), np.zeros(len(first), np.float32), 0
+        first, before = start.value
+        w, s, any_ = first.copy(), before.copy(), False
         for batch in arrow_batches:
-            for _, held, sizes, tokens, hashes, counts in _read(batch, names):
-                starts = np.cumsum(sizes) - sizes
-                found = features(hashes, tokens, starts)
-                train = np.flatnonzero(~np.repeat(held, sizes))
-                label = word_classes(counts - 1, hashes)[tokens]
-                for at in range(0, len(train), STEP):
-                    part = train[at : at + STEP]
-                    learn(w, squares, found[part], label[part])
-                n += len(train)
-        if n:
+            for _, *facts in _read(batch, names):
+                learn_batch(w, s, *facts)
+                any_ = True
+        if any_:
+            moved = np.flatnonzero(s > before)
             part = TaskContext.get().partitionId() % _TREE
-            blocks = np.array_split((w * np.float32(1)).astype(np.float64) * n, _BLOCKS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(_BLOCKS), pa.int32()), pa.array([part] * _BLOCKS, pa.int32()), pa.array([float(n)] * _BLOCKS), pa.array([_squeeze(b) for b in blocks], pa.binary())], ["block", "part", "n", "w"]
-            )
+            for block, rows in enumerate(np.split(moved, np.searchsorted(moved, range(_BLOCK_ROWS, len(w), _BLOCK_ROWS)))):
+                if len(rows):
+                    packed = _packed_rows(rows, s[rows] - before[rows], w[rows])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([packed], pa.binary())], ["block", "part", "w"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(_open(x.as_py(), np.float64) for x in table.column("w"))
-        return pa.Table.from_arrays([table.column("block")[:1], table.column("part")[:1], pa.array([sum(table.column("n").to_pylist())]), pa.array([_squeeze(total)], pa.binary())], ["block", "part", "n", "w"])
-
-    schema = "block int, part int, n double, w binary"
-    parts = counted.mapInArrow(run, schema).groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    rows = parts.orderBy("block").collect()  # the weights: _BLOCKS rows of fixed size
-    if not rows:
-        return first
-    return np.concatenate([_open(r.w, np.float64) / r.n for r in rows]).reshape(first.shape).astype(np.float32)
-
-
-def train(counted: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    context = counted.sparkSession.sparkContext
-    weights = np.zeros(((1 << BITS) + 1, CLASSES), np.float32)
-    for _ in range(rounds):
-        weights = _round(counted, context.broadcast(weights), weights)
+        return pa.Table.from_arrays([table.column("block")[:1], table.column("part")[:1], pa.array([merged(table.column("w").to_pylist())], pa.binary())], ["block", "part", "w"])
+
+    turn = counted.where(F.pmod(F.xxhash64("batch"), F.lit(rounds)) == number).coalesce(tasks)
+    parts = turn.mapInArrow(run, _PART).groupBy("block", "part").applyInArrow(add, _PART).groupBy("block").applyInArrow(add, _PART)
+    for r in parts.toLocalIterator():  # the weights, by blocks of fixed size
+        rows, moved, new = _unpacked_rows(r.w)
+        weights[rows] = new
+        squares[rows] += moved
+    start.destroy()
+
+
+def train(counted: DataFrame, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
+    rows = 1 << table_bits(tokens)
+    weights, squares = np.zeros((rows, CLASSES), np.float32), np.zeros(rows, np.float32)
+    for number in range(rounds):
+        _round(counted, number, rounds, weights, squares, max(1, tokens // (rounds * TASK_TOKENS_A_ROW * rows)))
     return weights
 
 
+def score_batch(weights: np.ndarray, facts: Vocabulary, sizes, tokens, hashes, counts) -> np.ndarray:
+    """The model's log10 probability of each token."""
+    bits = len(weights).bit_length() - 1
+    starts, classes = np.cumsum(sizes) - sizes, word_classes(counts, hashes)
+    out = facts.within(counts, classes)[tokens]
+    for low in range(0, len(tokens), STEP):
+        high = min(low + STEP, len(tokens))
+        history = histories(hashes, tokens, starts, low, high)
+        for which, rows, own in level_rows(history, classes[tokens[low:high]], bits):
+            out[low + which] += logs(weights, rows, own) / np.log(10)
+    return out
+
+
 def scored(counted: DataFrame, weights: np.ndarray, facts: Vocabulary, id_col: str) -> DataFrame:
     names, kind = counted.columns, counted.schema["ids"].dataType.elementType.simpleString()
     shared = counted.sparkSession.sparkContext.broadcast(weights)
@@ -311,13 +398,8 @@ def scored(counted: DataFrame, weights: np.ndarray, facts: Vocabulary, id_col: s
         for batch in arrow_batches:
             for ids, held, sizes, tokens, hashes, counts in _read(batch, names):
                 starts = np.cumsum(sizes) - sizes
-                found, classes = features(hashes, tokens, starts), word_classes(counts, hashes)
-                within = facts.within(counts, classes)
                 base = (np.log10(counts + 1.0) - scale)[tokens]
-                model = np.empty(len(tokens))
-                for at in range(0, len(tokens), STEP):
-                    part = tokens[at : at + STEP]
-                    model[at : at + STEP] = class_logs(shared.value, found[at : at + STEP], classes[part]) / np.log(10) + within[part]
+                model = score_batch(shared.value, facts, sizes, tokens, hashes, counts)
                 known = np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts)
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays(
@@ -332,11 +414,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     """A row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     found = batches(docs, id_col, text_col)
     pairs = found.select(F.inline(F.arrays_zip("words", "counts"))).where(F.col("counts") > 0)
-    counts = C.store(pairs.groupBy(F.col("words").alias("h")).agg(F.sum("counts").alias("c")), "words")
+    counts = C.store(pairs.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "words")
     facts = vocabulary(counts)
-    counted = with_counts(found, counts)
+    counted = with_counts(found, counts, facts.tokens)
     C.discard(found)
-    return scored(counted, train(counted, rounds), facts, id_col)
+    C.discard(counts)
+    return scored(counted, train(counted, facts.tokens, rounds), facts, id_col)
 
 
 def op3_maxent_lm(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,37 @@ def test_quality_base_statistics(docs, texts_of):
     assert got == sorted(expected, key=repr)
 
 
+def test_quality_counts_distinct_documents(spark):
+    """Two frequent lines on the same pages, pages of shared lines alone, copies, and a text under two hosts."""
+    rng = random.Random(9)
+    own = lambda n: " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(rng.randrange(10**6)) + "".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    shared = [own(30) for _ in range(6)]
+    texts = [("h", own(60) + "\n" + shared[0] + "\n" + shared[1]) for _ in range(15)]
+    texts += [("h", "\n".join(rng.sample(shared[2:], 2)) + "\n" + own(1)) for _ in range(20)]
+    copy = own(70)
+    texts += [("h", copy)] * 30 + [("g", t) for _, t in texts[:5]] + [("g", own(60) + "\n" + shared[0])] * 3 + [(None, shared[0])]
+    rows = [(i, t, h) for i, (h, t) in enumerate(texts)] + [(0, texts[0][1], "g"), (0, texts[0][1], "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    normal = lambda line: lower(" ".join(words(line))).translate({c: 48 for c in range(49, 58)})
+    holds, sizes = {}, {}
+    for _, t, h in rows:
+        sizes.setdefault(h, set()).add(t)
+        for line in t.split("\n"):
+            holds.setdefault((h, normal(line)), set()).add(t)
+    above = {k for k, v in holds.items() if len(v) > 10 and 100 * len(v) > len(sizes[k[0]])}
+    assert len(above) >= 6
+    expected = []
+    for i, t, h in rows:
+        n, gone = len(words(t)), sum(len(words(x)) for x in t.split("\n") if (h, normal(x)) in above)
+        expected.append((i, n, gone, n >= 50 and (n - gone) * 100 >= 20 * n))
+    got = [(r.doc_id, r.n_words, r.removed_words, r.kept) for r in quality_rules.judge(df).collect()]
+    assert sorted(got) == sorted(expected)
+    cleaned = quality_rules.clean(df)
+    kept = sorted((r.doc_id, r.source, r.text) for r in cleaned.where("source IS NOT NULL").collect())
+    left = lambda t, h: "\n".join(x for x in t.split("\n") if (h, normal(x)) not in above)
+    assert kept == sorted((i, h, left(t, h)) for (i, t, h), e in zip(rows, expected) if e[3] and h)
+
+
 def test_quality_removes_frequent_lines(spark):
     rng = random.Random(1)
     text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(70))
@@ -122,12 +153,63 @@ def test_language_model(spark, docs):
     assert nothing.train_tokens == 0 and nothing.n_known == 0
 
 
-def test_classes_sum_to_one():
+def test_score_of_given_weights():
+    """The model's probability of each token, from its definition, for any weights; all of a history's sum to one."""
     rng = np.random.default_rng(0)
-    w = rng.normal(size=((1 << maxent_lm.BITS) + 1, maxent_lm.CLASSES)).astype(np.float32)
-    found = rng.integers(0, 1 << maxent_lm.BITS, (5, 3))
-    logs = np.stack([maxent_lm.class_logs(w, found, np.full(5, k)) for k in range(maxent_lm.CLASSES)])
-    assert np.exp(logs).sum(axis=0) == pytest.approx(np.ones(5), rel=1e-4)
+    weights = rng.normal(size=(1 << 8, maxent_lm.CLASSES)).astype(np.float32)
+    words = [b"", b"the", b"cat", b"sat", b"rare", b"new"]
+    hashes = np.array([maxent_lm.word_hash(w) for w in words], np.uint64)
+    counts, texts = np.array([3, 5, 2, 4, 1, 0]), [[1, 2, 3, 0], [0], [4, 1, 5, 1, 0]]
+    tokens, sizes = np.concatenate(texts).astype(np.uint32), np.array([len(t) for t in texts])
+    classes = maxent_lm.word_classes(counts, hashes)
+    mass = np.bincount(maxent_lm.leaves(classes), weights=counts, minlength=maxent_lm.CLASSES**maxent_lm.LEVELS)
+    facts = maxent_lm.Vocabulary(15, 5, np.log10(np.maximum(mass, 1)), math.log10(0.7), math.log10(0.3))
+    got = maxent_lm.score_batch(weights, facts, sizes, tokens, hashes, counts)
+
+    mask, mix = (1 << 64) - 1, [int(x) for x in maxent_lm._MIX]
+    h = lambda w: int(hashes[w])
+
+    def logs(before, w):
+        one, two = h(before[-1]) if before else 1, h(before[-2]) if len(before) > 1 else 1
+        end = maxent_lm.ENDING
+        features = [one * mix[0], (one * mix[1] + two) * mix[2], (two ^ 2) * mix[3], (((one & end) << 16 | two & end) + 3) * mix[1], mix[2]]
+        features = [(x & mask) ^ (x & mask) >> 29 for x in features]
+        node, total, path = mix[3], 0.0, [int(c) for c in classes[w]]
+        for k, own in enumerate(path if 0 < path[0] < maxent_lm.CLASSES - 1 else path[:1]):
+            rows = [((f + node) * mix[0] & mask) >> 56 for f in features]
+            rows = [(r * 3 >> 2) + 64 if n < 3 else r >> 2 for n, r in enumerate(rows)]
+            z = sum(weights[r].astype(float) for r in rows)
+            assert sum(math.exp(x) for x in z - np.log(np.exp(z).sum())) == pytest.approx(1)
+            total += z[own] - np.log(np.exp(z).sum())
+            node = (node + own + 1) * mix[1] & mask
+        if path[0] == 0:
+            return total / math.log(10) + math.log10(0.7 if counts[w] else 0.3)
+        same = [v for v in range(len(words)) if list(classes[v]) == path]
+        return total / math.log(10) + (0 if w == 0 else math.log10(counts[w] / sum(counts[v] for v in same)))
+
+    expected = [logs(t[:k], w) for t in texts for k, w in enumerate(t)]
+    assert got == pytest.approx(expected, abs=1e-4)
+
+
+def test_learning_adds_gradients_of_a_row():
+    """A step moves each row by its summed gradient, scaled; merged rows are means by squared gradients."""
+    rng = np.random.default_rng(1)
+    rows, own = rng.integers(0, 6, (2, 40)) + np.array([[0], [6]]), rng.integers(0, maxent_lm.CLASSES, 40)
+    w, s = rng.normal(size=(12, maxent_lm.CLASSES)).astype(np.float32), np.zeros(12, np.float32)
+    z = np.exp(w[rows[0]] + w[rows[1]])
+    g = z / z.sum(axis=1, keepdims=True)
+    g[np.arange(40), own] -= 1
+    expected = w.copy()
+    for r in range(12):
+        total = g[(rows == r).any(axis=0)].sum(axis=0)
+        if (rows == r).any():
+            expected[r] -= maxent_lm.RATE * total / math.sqrt((total**2).mean() + 1e-8)
+    maxent_lm.learn(w, s, rows, own)
+    assert w == pytest.approx(expected, abs=1e-4)
+    one = np.ones((1, maxent_lm.CLASSES))
+    both = maxent_lm.merged([maxent_lm._packed_rows(np.array([3]), np.array([1.0]), one), maxent_lm._packed_rows(np.array([3, 9]), np.array([3.0, 2.0]), np.concatenate([3 * one, 5 * one]))])
+    found, squares, weights = maxent_lm._unpacked_rows(both)
+    assert (found.tolist(), squares.tolist(), weights[:, 0].tolist()) == ([3, 9], [4, 2], [2.5, 5])
 
 
 # 4 url filters ------------------------------------------------------------------------
