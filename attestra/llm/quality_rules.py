@@ -1,18 +1,14 @@
 """Quality rules: base statistics of a text and line frequency across documents.
 
 Lines are normalised (lower case, one blank between words, every digit as 0), hashed,
-and counted per host by the distinct documents that hold them. Lines above the
-host's limit are removed; a document left with too little of its words is rejected.
-
-clean() counts distinct texts: exact copies, however many, are one document, so a large group
-of copies isn't mistaken for boilerplate.
-
-judge() counts as its SQL does: a document is known to a line by the smallest hash among its
-*other* lines, so documents that share that hash count once. That finds fewer lines.
+and counted per host by the distinct documents that hold them. Exact copies are folded first by a
+hash of the whole text, so a large group of copies isn't mistaken for boilerplate. Lines
+above the host's limit are removed; a document left with too little of its words is rejected.
 
 Defined results: null and empty texts have no words, fail the base rules and stay
 without lines. A null host is a host of its own. Repeated rows are judged alike, each
-in its own row. Other columns are carried along untouched, whatever their names.
+in its own row; the same text under another host is judged by that host. Other columns are
+carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -111,18 +107,11 @@ def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str, limits:
     return C.store(rows.select("id", F.xxhash64("text").alias("text_key"), "host", *BASE, "lines"), "measured")
 
 
-def _line_rows(measured: DataFrame) -> DataFrame:
-    """A row for each line, with the smallest hash among the text's other lines (0: there are none)."""
-    rows = measured.select("id", "text_key", "host", "lines", F.array_sort(F.array_distinct("lines.h")).alias("all"))
-    rows = rows.select("id", "text_key", "host", F.get("all", F.lit(0)).alias("m1"), F.get("all", F.lit(1)).alias("m2"), F.inline("lines"))
-    rest = F.coalesce(F.when(F.col("h") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")), F.lit(0))
-    return rows.select("id", "text_key", "host", "h", "n", rest.alias("rest"))
-
-
-def frequent_lines(measured: DataFrame, limits: Limits = Limits(), document: str = "text_key") -> DataFrame:
-    """(host, h) of the lines above their host's limit; document: what tells documents apart, text_key or rest."""
-    counts = _line_rows(measured).select("host", "h", document).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
-    sizes = measured.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("host_docs"))
+def frequent_lines(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(host, h) of the lines above their host's limit, by distinct texts."""
+    texts = measured.select("host", "text_key", F.array_distinct("lines.h").alias("hs")).dropDuplicates(["host", "text_key"])
+    counts = texts.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+    sizes = measured.select("host", "text_key").distinct().groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("host_docs"))
     above = counts.where(F.col("n_docs") > limits.min_documents)
     return (
         above.join(sizes, F.col("host").eqNullSafe(F.col("of_host")))
@@ -131,21 +120,21 @@ def frequent_lines(measured: DataFrame, limits: Limits = Limits(), document: str
     )
 
 
-def _removed(measured: DataFrame, limits: Limits, document: str) -> DataFrame:
-    """The line rows above the limits: id, text_key, h, n. A line's rows are dealt out by salts."""
+def _removed(measured: DataFrame, limits: Limits) -> DataFrame:
+    """The line rows above the limits: id, text_key, host, h, n. A line's rows are dealt out by salts."""
     salts = C.shuffle_width(measured.sparkSession)
-    lines = _line_rows(measured).withColumn("salt", C.salt("id", "text_key", into=salts))
-    frequent = C.salted(frequent_lines(measured, limits, document), salts)
-    on = lines["host"].eqNullSafe(frequent["host"]) & (lines["h"] == frequent["h"]) & (lines["salt"] == frequent["salt"])
-    return lines.join(frequent, on).select("id", "text_key", lines["h"], "n")
+    lines = measured.select("id", "text_key", "host", F.inline("lines")).withColumn("salt", C.salt("id", "text_key", into=salts))
+    frequent = C.salted(frequent_lines(measured, limits), salts).withColumnRenamed("host", "of_host")
+    on = lines["host"].eqNullSafe(F.col("of_host")) & (lines["h"] == frequent["h"]) & (lines["salt"] == frequent["salt"])
+    return lines.join(frequent, on).select("id", "text_key", "host", lines["h"], "n")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
     """A row for each document: id, the base statistics, removed_words, and kept."""
     measured = measure(docs, id_col, text_col, host_col, limits)
-    removed = _removed(measured, limits, "rest").select("id", "text_key", F.col("n").cast("long").alias("removed"))
-    base = measured.select("id", "text_key", *BASE, F.lit(1).alias("rows"))
-    both = base.unionByName(removed, allowMissingColumns=True).groupBy("id", "text_key").agg(
+    removed = _removed(measured, limits).select("id", "text_key", "host", F.col("n").cast("long").alias("removed"))
+    base = measured.select("id", "text_key", "host", *BASE, F.lit(1).alias("rows"))
+    both = base.unionByName(removed, allowMissingColumns=True).groupBy("id", "text_key", "host").agg(
         *[F.max(x).alias(x) for x in BASE], F.sum("rows").alias("rows"), F.coalesce(F.sum("removed"), F.lit(0)).alias("removed")
     )
     # Repeated rows met in one group: each gets its own share and its own row back.
@@ -164,12 +153,12 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     names, p = docs.columns, _P
     measured = measure(docs, id_col, text_col, host_col, limits)
-    gone = _removed(measured, limits, "text_key").groupBy("id", "text_key").agg(F.collect_set("h").alias("gone"))
-    passed = measured.where(~F.col("base_failed")).select("id", "text_key", "n_words", F.lit(None).cast("array<bigint>").alias("gone"))
-    facts = passed.unionByName(gone, allowMissingColumns=True).groupBy("id", "text_key").agg(F.max("n_words").alias(p + "n"), F.first("gone", ignorenulls=True).alias(p + "gone"))
-    facts = facts.where(F.col(p + "n").isNotNull()).withColumnsRenamed({"id": p + "id", "text_key": p + "of_key"})
+    gone = _removed(measured, limits).groupBy("id", "text_key", "host").agg(F.collect_set("h").alias("gone"))
+    passed = measured.where(~F.col("base_failed")).select("id", "text_key", "host", "n_words", F.lit(None).cast("array<bigint>").alias("gone"))
+    facts = passed.unionByName(gone, allowMissingColumns=True).groupBy("id", "text_key", "host").agg(F.max("n_words").alias(p + "n"), F.first("gone", ignorenulls=True).alias(p + "gone"))
+    facts = facts.where(F.col(p + "n").isNotNull()).withColumnsRenamed({"id": p + "id", "text_key": p + "of_key", "host": p + "host"})
     rows = docs.withColumn(p + "key", F.xxhash64(text_col))
-    out = rows.join(facts, rows[id_col].eqNullSafe(F.col(p + "id")) & (F.col(p + "key") == F.col(p + "of_key")))
+    out = rows.join(facts, rows[id_col].eqNullSafe(F.col(p + "id")) & (F.col(p + "key") == F.col(p + "of_key")) & rows[host_col].eqNullSafe(F.col(p + "host")))
     stays = lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(p + "gone", _hash(_line_words(x))))
     text = F.when(F.col(p + "gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(F.col(text_col), "\n"), stays), "\n"))
     out = out.withColumn(p + "text", text)
@@ -196,11 +185,9 @@ lw AS (SELECT doc_id, host, line FROM l WHERE regexp_matches(line, '[^\x20\x09-\
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY 1),
 h AS (SELECT doc_id, host, ('0x' || substr(md5(translate(lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')), '123456789', '000000000')), 1, 15))::BIGINT AS h,
              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lw),
-m AS (SELECT doc_id, list_sort(list_distinct(list(h))) AS hs FROM h GROUP BY 1),
-r AS (SELECT h.*, coalesce(CASE WHEN h = hs[1] THEN hs[2] ELSE hs[1] END, 0) AS rest FROM h JOIN m USING (doc_id)),
-f AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT rest) AS n_docs FROM r GROUP BY 1, 2)
-      JOIN (SELECT host, count(*) AS host_docs FROM t GROUP BY 1) USING (host) WHERE n_docs > 10 AND 100 * n_docs > host_docs),
-g AS (SELECT doc_id, sum(n)::BIGINT AS removed_words FROM r JOIN f USING (host, h) GROUP BY 1),
+f AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT text) AS n_docs FROM h JOIN (SELECT doc_id, text FROM t) USING (doc_id) GROUP BY 1, 2)
+      JOIN (SELECT host, count(DISTINCT text) AS host_docs FROM t GROUP BY 1) USING (host) WHERE n_docs > 10 AND 100 * n_docs > host_docs),
+g AS (SELECT doc_id, sum(n)::BIGINT AS removed_words FROM h JOIN f USING (host, h) GROUP BY 1),
 b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')), 0)::BIGINT AS word_chars,
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words
