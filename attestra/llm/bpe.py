@@ -6,14 +6,19 @@ that recur are brought together, encoded once each, and given to the documents t
 hold them. The others are encoded where they stand.
 
 Chunks are cut anywhere, so tokens across a cut are unknown to either side. A chunk's
-encoding therefore keeps its ids only between its first and its last sure boundary: a
-blank between two other characters, where a word must begin whatever stands around it. What lies
+encoding therefore keeps its ids only between its first and its last sure boundary, where a
+piece of the tokenizer's pattern must begin whatever stands around it: a blank between two
+other characters, or the place where letters, digits and other signs of any script meet. What lies
 between two chunks' sure boundaries is joined and encoded anew; a chunk without one is
 joined whole, so the join grows until both its ends agree with its neighbours.
 
 Which chunks recur is told to the tasks by a Bloom filter of bounded size. A chunk that it
 takes for a recurring one in error is only encoded elsewhere; a full filter costs
-shuffles, never results.
+shuffles, never results. Chunks of more than a share of all recurring ones are dealt out
+by salts; the list of those, at most 4 * shuffle partitions, is broadcast.
+
+Pieces of any length, such as millions of blanks or of letters in a row, are encoded in nearly
+linear time.
 
 Defined results: a null text is an empty one, without ids. Repeated rows are encoded
 each in its own row. Other columns don't matter.
@@ -28,6 +33,7 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 import xxhash
 import zstandard
@@ -38,12 +44,23 @@ from pyspark.sql import functions as F
 from attestra.llm import common as C
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The same vocabulary as the tokenizers library reads it, for very long pieces.
+WHOLE = public_tokenizers.path("byte_bpe_50k.json")
 #: Added by the tokenizer's own file, beside the ranks.
 SPECIAL = {"<|endoftext|>": 50256}
 #: A chunk has 2**CUT_BITS bytes on average; the rolling hash sees WINDOW bytes.
 CUT_BITS, WINDOW = 10, 16
+#: The least bytes of a chunk, lest periodic texts fall to pieces.
+LEAST = 64
 #: Most bits of the filter of recurring chunks, and how many stand for each.
-FILTER_BITS, PROBES = 1 << 26, 4
+FILTER_BITS, PROBES = 1 << 28, 4
+#: A piece of so many characters goes to the encoder that is made for long ones.
+_LONG = 400
+_LONG_PIECE = regex.compile(rf"\p{{L}}{{{_LONG},}}|\p{{N}}{{{_LONG},}}|\s{{{_LONG},}}|[^\s\p{{L}}\p{{N}}]{{{_LONG},}}")
+#: Characters that some regex engines take for white space, and signs that may join letters: contractions, the special token.
+_UNSURE = r"\s\x1c-\x1f\x85\u180e'|"
+_BOUNDARY = rf"(?<=[^{_UNSURE}])(?= [^{_UNSURE}])|(?<=\p{{L}})(?=[^{_UNSURE}\p{{L}}])|(?<=\p{{N}})(?=[^{_UNSURE}\p{{N}}])|(?<=[^{_UNSURE}\p{{L}}\p{{N}}])(?=[\p{{L}}\p{{N}}])"
+_FIRST, _LAST = regex.compile(_BOUNDARY), regex.compile(_BOUNDARY, regex.REVERSE)
 _MULTIPLIER = np.uint32(0x9E3779B1)
 _BLANK = 0x20
 
@@ -64,8 +81,26 @@ def _token_bytes(path: str) -> list[bytes]:
     return [known[i] for i in range(e.n_vocab)]
 
 
+@functools.cache
+def _whole(path: str):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
 def _encode(path: str, data: bytes) -> list[int]:
-    return _encoding(path).encode(data.decode("utf-8", "surrogatepass"), allowed_special="all", disallowed_special=()) if data else []
+    if not data:
+        return []
+    text = data.decode("utf-8", "surrogatepass")
+    if len(data) > _LONG:
+        words = data.split()
+        letters = sum(map(len, words))
+        if (max(map(len, words), default=0) >= _LONG or len(data) - letters - len(words) >= _LONG - 1) and _LONG_PIECE.search(text):
+            return _whole(WHOLE).encode(text, add_special_tokens=False).ids
+    return _encoding(path).encode(text, allowed_special="all", disallowed_special=())
 
 
 def cuts(data: bytes) -> list[int]:
@@ -83,6 +118,12 @@ def cuts(data: bytes) -> list[int]:
     ends = np.flatnonzero(rolled >> np.uint32(32 - CUT_BITS) == 0) + WINDOW
     ends = ends[(ends < n)]
     ends = ends[(b[ends] & 0xC0) != 0x80]
+    if len(ends) and np.diff(ends, prepend=0).min() < LEAST:
+        kept, k = [], int(np.searchsorted(ends, LEAST))
+        while k < len(ends):
+            kept.append(int(ends[k]))
+            k = int(np.searchsorted(ends, kept[-1] + LEAST))
+        return [*kept, n]
     return [*ends.tolist(), n]
 
 
@@ -98,14 +139,21 @@ def chunk_key(chunk: bytes) -> bytes:
 def _sure(chunk: bytes) -> tuple[int, int]:
     """The first and last sure boundary of a chunk, or its length and 0 if it has none.
 
-    Next to the blank stand printable ASCII characters, so no context makes them blanks too.
+    Blanks between printable ASCII characters are found first; only a chunk without any is searched for others.
     """
     b = np.frombuffer(chunk, np.uint8)
-    if len(b) < 3:
+    if len(b) < 2:
         return len(b), 0
     plain = (b > _BLANK) & (b < 0x7F)
     at = np.flatnonzero((b[1:-1] == _BLANK) & plain[:-2] & plain[2:]) + 1
-    return (int(at[0]), int(at[-1])) if len(at) else (len(b), 0)
+    if len(at):
+        return int(at[0]), int(at[-1])
+    text = chunk.decode("utf-8", "surrogatepass")
+    first = _FIRST.search(text)
+    if not first:
+        return len(b), 0
+    size = lambda x: len(x.encode("utf-8", "surrogatepass"))
+    return size(text[: first.start()]), len(b) - size(text[_LAST.search(text).start() :])
 
 
 def encode_chunk(path: str, chunk: bytes) -> tuple[int, int, bytes]:
@@ -117,16 +165,16 @@ def encode_chunk(path: str, chunk: bytes) -> tuple[int, int, bytes]:
 def assemble(path: str, parts: list[bytes], known: dict[int, tuple[int, int, bytes]]) -> np.ndarray:
     """A text's ids from its chunks: those in known by number, the others encoded here, and the joins repaired."""
     out: list[np.ndarray] = []
-    open_ = b""
+    join: list[bytes] = []
     for k, chunk in enumerate(parts):
         a, b, ids = known[k] if k in known else encode_chunk(path, chunk)
         if a > b:  # no sure boundary: the join goes on
-            open_ += chunk
+            join.append(chunk)
             continue
-        out.append(np.array(_encode(path, open_ + chunk[:a]), np.uint32))
+        out.append(np.array(_encode(path, b"".join([*join, chunk[:a]])), np.uint32))
         out.append(np.frombuffer(ids, "<u2"))
-        open_ = chunk[b:]
-    out.append(np.array(_encode(path, open_), np.uint32))
+        join = [chunk[b:]]
+    out.append(np.array(_encode(path, b"".join(join)), np.uint32))
     return np.concatenate(out).astype("<u4")
 
 
@@ -186,14 +234,14 @@ def _bytes(value) -> bytes:
 
 
 def recurring_chunks(rows: DataFrame) -> DataFrame:
-    """(key) of the chunks that stand more than once in the column text."""
+    """(key, n) of the chunks that stand more than once in the column text."""
 
     def run(batches):
         for batch in batches:
             keys = [chunk_key(c) for x in batch.column(0) for c in chunks(_bytes(x))]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], ["key"])
 
-    return rows.select("text").mapInArrow(run, "key binary").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return rows.select("text").mapInArrow(run, "key binary").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def encoded_once(rows: DataFrame, words, path: str) -> DataFrame:
@@ -230,7 +278,8 @@ def encode(docs: DataFrame, digest, schema: str, text_col: str = "text", id_col:
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = [to_arrow_type(t) for t in out_type]
-    words = spark.sparkContext.broadcast(_filter(C.store(recurring_chunks(rows), "recurring")))
+    recurring = C.store(recurring_chunks(rows), "recurring")
+    words = spark.sparkContext.broadcast(_filter(recurring))
     shared = C.store(encoded_once(rows, words, path), "chunks")
 
     def first_pass(batches):
@@ -258,7 +307,7 @@ def encode(docs: DataFrame, digest, schema: str, text_col: str = "text", id_col:
     passed = C.store(rows.mapInArrow(first_pass, f"id {kind}, number bigint, text binary, held array<binary>, {schema}"), "first")
     waiting = passed.where(F.col("text").isNotNull())
     asked = waiting.select("number", F.explode("held").alias("key"))
-    given = asked.join(shared, "key").groupBy("number").agg(F.collect_list(F.struct("key", "first", "last", "ids")).alias("known"))
+    given = C.salted_join(asked, shared, "key", "number", recurring).groupBy("number").agg(F.collect_list(F.struct("key", "first", "last", "ids")).alias("known"))
     ready = waiting.select("id", "number", "text").join(given, "number", "left").select("id", "text", "known")
 
     def second_pass(batches):

@@ -72,3 +72,17 @@ def salt(*cols: str | Column, into: int) -> Column:
 def salted(df: DataFrame, into: int, name: str = "salt") -> DataFrame:
     """Every row once for each salt: the small side of a salted join."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(into - 1))))
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, by: str, counts: DataFrame) -> DataFrame:
+    """rows joined with facts, one for each key; keys of more than a share of the rows are dealt out by salts of `by`.
+
+    counts: (key, n) of at least the frequent keys. The list of hot keys, at most 4 * shuffle
+    partitions, is broadcast.
+    """
+    width = shuffle_width(rows.sparkSession)
+    total = max(counts.agg(F.sum("n")).first()[0] or 0, 1)
+    hot = F.broadcast(counts.where(F.col("n") * 4 * width > total).select(key, F.ceil(F.col("n") * 4 * width / F.lit(total)).cast("int").alias("salts")))
+    left = rows.join(hot, key, "left").withColumn("salt", F.expr(f"cast(pmod(xxhash64({by}), coalesce(salts, 1)) AS int)")).drop("salts")
+    right = facts.join(hot, key, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)"))).drop("salts")
+    return left.join(right, [key, "salt"]).drop("salt")

@@ -246,6 +246,34 @@ def test_bpe_is_the_tokenizers(spark, docs):
     assert bpe.encode(docs.limit(0), bpe.with_ids, "ids array<int>").count() == 0
 
 
+def test_bpe_very_long_pieces():
+    """Blanks, letters of scripts without blanks, and periodic texts, against the tokenizers library."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200_000))
+    texts = ["one two three" + " " * 1_000_000 + "four", "a" + "\n \t" * 200_000 + "b", " " * 5_000_000, cjk, "ab" * 300_000, "\u3000" * 3000 + "x" + "=" * 100_000, "'" * 5000 + "s"]
+    texts += ["".join(rng.choice("абвгде жз., ") for _ in range(20_000)), "".join(rng.choice(cjk[:300] + "。,、12|'s<|endoftext|> ") for _ in range(50_000)), "<|endoftext|>" * 3000]
+    for x in texts:
+        got = bpe.assemble(bpe.RANKS, bpe.chunks(x.encode()), {})
+        assert got.tolist() == t.encode(x, add_special_tokens=False).ids
+        assert bpe.decode(bpe.RANKS, got) == t.decode(got.tolist(), skip_special_tokens=False)
+
+
+def test_bpe_reuses_chunks_of_all_scripts():
+    """Chunks of Cyrillic and CJK texts have sure boundaries, and what lies between is used as it was encoded."""
+    rng = random.Random(6)
+    word = lambda low, high: "".join(chr(rng.randrange(low, high)) for _ in range(rng.randrange(2, 9)))
+    cyrillic = " ".join(word(0x430, 0x450) for _ in range(20_000))
+    cjk = "".join(word(0x4E00, 0x9000) + rng.choice("、。") for _ in range(20_000))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (cyrillic, cjk):
+        parts = bpe.chunks(text.encode())
+        known = {k: bpe.encode_chunk(bpe.RANKS, c) for k, c in enumerate(parts)}
+        used = sum(known[k][1] - known[k][0] for k in known if known[k][0] < known[k][1])
+        assert used > 0.9 * len(text.encode())
+        assert bpe.assemble(bpe.RANKS, parts, known).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 # 7 packing -----------------------------------------------------------------------------
 
 
