@@ -2,10 +2,10 @@
 
 A pattern's matches are found leftmost first without overlap, and those failing its
 length rule are dropped. Beside them, candidate strings of a character class (hex or
-base64) are swept by a window: its Shannon entropy is kept up to date from the counts
-of the symbol that enters and the one that leaves. Where it reaches the class's
-threshold the string is a finding, from the first such window to the last. Candidates
-that lack a digit or a letter are suppressed. What an allow-list names and what a pattern
+base64) are swept by a window: a count for each symbol of the class moves with it, and its
+Shannon entropy is kept up to date from the counts of the symbol that enters and the one
+that leaves. Where it reaches the class's threshold the string is a finding, from the first
+such window to the last. Candidates without a letter, or with letters of one case alone, are suppressed. What an allow-list names and what a pattern
 matched is cut out of a candidate, and each part left is swept on its own; a hex string is
 swept across patterns' matches, and the finding is what they leave of it.
 
@@ -100,22 +100,35 @@ def _matches(df: DataFrame, text: str, out: str, regex: str, group: int) -> Data
     return df.drop(*[p + x for x in ("found", "all", "gap", "value", "step", "start")])
 
 
-def _sweep(window: int, bits: float) -> str:
-    """Over the symbols cs: struct(first, last) positions where a window of enough entropy ends; 0: none.
+def _alphabet(chars: str) -> str:
+    """The characters of a class such as a-f0-9_-, each once."""
+    out, k = "", 0
+    while k < len(chars):
+        if chars[k + 1 : k + 2] == "-" and k + 2 < len(chars):
+            out += "".join(map(chr, range(ord(chars[k]), ord(chars[k + 2]) + 1)))
+            k += 3
+        else:
+            out += chars[k]
+            k += 1
+    return out
 
-    f is the sum of n*log2(n) over the window's counts; the entropy is log2(window) - f / window.
+
+def _sweep(symbols: int, window: int, bits: float) -> str:
+    """Over the symbols' numbers cs: struct(first, last) positions where a window of enough entropy ends; 0: none.
+
+    n holds the window's count of each symbol. f is the sum of n*log2(n) over them; the
+    entropy is log2(window) - f / window.
     """
     g = lambda n: f"(CASE WHEN {n} > 1 THEN {n} * log2({n}) ELSE 0D END)"
-    count = lambda at, frm, n: f"size(filter(slice(cs, {frm}, {n}), c -> c = element_at(cs, {at})))"
-    # Before symbol i enters, the window holds the symbols from i - window to i - 1.
-    counts = f"""named_struct(
-        'out', CASE WHEN i > {window} THEN {count(f'i - {window}', f'i - {window}', window)} ELSE 0 END,
-        'into', {count('i', f'greatest(1, i - {window} + 1)', f'least(i - 1, {window} - 1)')})"""
-    # The symbol counts itself when it is still in the window as it leaves.
-    f = f"(a.f - {g('n.out')} + {g('(n.out - 1)')} - {g('n.into')} + {g('(n.into + 1)')})"
-    hit = f"(i >= {window} AND round(log2({window}) - {f} / {window}, 9) >= {bits}D)"
-    return f"""aggregate(sequence(1, size(cs)), named_struct('f', 0D, 'first', 0, 'last', 0), (a, i) ->
-        element_at(transform(array({counts}), n -> named_struct('f', {f},
+    # The symbol that leaves goes first, so it isn't counted where the same one enters.
+    step = f"""named_struct('into', element_at(cs, i), 'out', CASE WHEN i > {window} THEN element_at(cs, i - {window}) ELSE 0 END)"""
+    left = "(CASE WHEN m.out > 0 THEN element_at(a.n, m.out) ELSE 0 END)"
+    had = "(element_at(a.n, m.into) - CASE WHEN m.into = m.out THEN 1 ELSE 0 END)"
+    moved = f"""named_struct('f', a.f - {g(left)} + {g(f'({left} - 1)')} - {g(had)} + {g(f'({had} + 1)')},
+        'n', CASE WHEN m.into = m.out THEN a.n ELSE transform(a.n, (x, k) -> CASE WHEN k + 1 = m.into THEN x + 1 WHEN k + 1 = m.out THEN x - 1 ELSE x END) END)"""
+    hit = f"(i >= {window} AND round(log2({window}) - s.f / {window}, 9) >= {bits}D)"
+    return f"""aggregate(sequence(1, size(cs)), named_struct('f', 0D, 'n', array_repeat(0, {symbols}), 'first', 0, 'last', 0), (a, i) ->
+        element_at(transform(transform(array({step}), m -> {moved}), s -> named_struct('f', s.f, 'n', s.n,
             'first', CASE WHEN a.first = 0 AND {hit} THEN i ELSE a.first END,
             'last', CASE WHEN {hit} THEN i ELSE a.last END)), 1))"""
 
@@ -159,9 +172,10 @@ def scan(df: DataFrame, text_col: str = "text", patterns=PATTERNS, classes=CLASS
         c = _P + x.kind
         df = _matches(df, _P + "text", c, f"[{x.chars}]{{{x.window},}}", 0)
         hex_only = x.kind == "entropy_hex"
-        fits = "m.value RLIKE '[0-9]' AND m.value RLIKE '[A-Za-z]'"
+        fits = "m.value RLIKE '[A-Za-z]' AND (m.value RLIKE '[0-9]' OR m.value RLIKE '[a-z]' AND m.value RLIKE '[A-Z]')"
         whole = "NOT exists(base_spans, b -> b.start <= m.start AND m.start + m.size <= b.end)"
-        swept = f"element_at(transform(array(split(m.value, '')), cs -> {_sweep(x.window, x.bits)}), 1)"
+        letters = _alphabet(x.chars)
+        swept = f"element_at(transform(array(transform(split(m.value, ''), c -> instr('{letters}', c))), cs -> {_sweep(len(letters), x.window, x.bits)}), 1)"
         df = df.withColumn(c, F.expr(f"flatten(transform(filter({c}, m -> {fits} AND {whole}), m -> {_parts(allow, not hex_only)}))"))
         df = df.withColumn(c, F.expr(f"transform(filter({c}, m -> length(m.value) >= {x.window} AND instr(m.value, ' ') = 0), m -> named_struct('start', m.start, 'at', {swept}))"))
         df = df.withColumn(c, F.expr(f"coalesce(transform(filter({c}, m -> m.at.first > 0), m -> {span(x.kind, f'm.start + m.at.first - {x.window}', 'm.start + m.at.last')}), {empty})"))
@@ -227,7 +241,8 @@ def _oracle() -> str:
     for k, x in enumerate(CLASSES, len(PATTERNS)):
         n = x.kind
         parts.append(matches(n, f"[{x.chars}]{{{x.window},}}", 0))
-        parts.append(f"""{n}_c AS (SELECT * FROM {n}_s q WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, {sql(ALLOW)})
+        parts.append(f"""{n}_c AS (SELECT * FROM {n}_s q WHERE regexp_matches(v, '[A-Za-z]')
+            AND (regexp_matches(v, '[0-9]') OR regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')) AND NOT regexp_matches(v, {sql(ALLOW)})
             AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = q.doc_id AND b.s < q.s + length(q.m) AND q.s < b.e)),
         {n}_w AS (SELECT doc_id, s, i, substr(v, i - {x.window} + 1, {x.window}) AS w FROM (SELECT *, unnest(range({x.window}, length(v) + 1)) AS i FROM {n}_c)),
         {n}_p AS (SELECT doc_id, s, i, count(*) AS n FROM (SELECT doc_id, s, i, unnest(string_split(w, '')) AS c FROM {n}_w) GROUP BY doc_id, s, i, c),

@@ -352,6 +352,36 @@ def test_secrets(docs, texts_of):
     assert secrets.redact(docs).columns == docs.columns and secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secret_entropy_by_windows(spark):
+    """Spans of entropy from windows counted afresh; letters alone count if they mix cases."""
+    rng = random.Random(8)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    runs = ["".join(rng.choices(base64, k=rng.randrange(18, 60))) for _ in range(60)] + ["".join(rng.choices("abAB12", k=40)) for _ in range(10)]
+    runs += ["".join(rng.choices(base64[:52], k=30)) for _ in range(10)] + ["".join(rng.choices(base64[26:52], k=40)) for _ in range(5)] + ["".join(rng.choices("0123456789ABCDEF", k=rng.randrange(16, 40))) for _ in range(20)]
+    texts = [f"see {r}, and" for r in runs]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(found) == len(texts)
+    some = 0
+    for r in found:
+        expected = [(s.start, s.end, s.name) for s in r.base_spans]
+        base, taken = list(expected), []
+        for c in secrets.CLASSES:
+            for m in re.finditer(f"[{c.chars}]{{{c.window},}}", r.text):
+                v = m[0]
+                if re.search(secrets.ALLOW, v) or any(a < m.end() and m.start() < z for a, z, _ in base) or not (re.search("[A-Za-z]", v) and (re.search("[0-9]", v) or v.lower() != v != v.upper())):
+                    continue
+                hits = [k for k in range(len(v) - c.window + 1) if round(-sum(n / c.window * math.log2(n / c.window) for n in Counter(v[k : k + c.window]).values()), 9) >= c.bits]
+                if hits:
+                    span = (m.start() + hits[0], m.start() + hits[-1] + c.window, c.kind)
+                    if not any(a < span[1] and span[0] < z for a, z, _ in taken):
+                        taken.append(span)
+        if any(re.search(secrets.ALLOW, r.text[a:z]) for a, z, _ in taken) or base:
+            continue  # parts of runs: tested elsewhere
+        assert sorted((s.start, s.end, s.name) for s in r.spans) == sorted(taken)
+        some += bool(taken)
+    assert some > 40
+
+
 # 10 near duplicates -----------------------------------------------------------------------
 
 
