@@ -15,10 +15,12 @@ With shingles of five words, as unique() takes them, texts whose sets of shingle
 Jaccard similarity of 0.8 or more are linked too, most of which differ in more bits than blocks can find. Candidates share one of BANDS
 bands of ROWS minima over the set, which misses a pair of similarity 0.8 with a chance of 3 in
 100,000; each candidate's similarity is then computed from the whole sets. Equal sets are
-one from the start. Of a band that more than `small` sets share, the sets are dealt out by their
-other bands; what still is as large is linked by rounds of leaders: all are compared with
-the least, and those not similar to it go to the next round, until none is left or
-LEADERS rounds are over, so that the work stays in proportion to the sets.
+one from the start. Up to PAIRS sets that share a band are all compared. More of them are linked by
+rounds of leaders: all are compared with the least, and those not similar to it go on.
+What two rounds leave is dealt out by a second shared band, and goes through rounds until none is
+left; a pair of similarity 0.8 shares two bands but for a chance of 4 in 10,000. So the work
+stays in proportion to the sets, and a link is lost only if in each of the bands that its
+texts share (8 of 20 on average) one of them has left with a leader that the other isn't similar to.
 
 Defined results: null and empty texts have fingerprint zero and link like any other.
 Rows with a null id link too, but give no name to a component; a component of null ids alone
@@ -27,6 +29,7 @@ has a null name. Repeated rows have the same class. Other columns aren't looked
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -45,8 +48,8 @@ SEED = 42
 _SLICE = 1 << 16
 #: By the words of a shingle: the Jaccard similarity that links texts besides the fingerprints' distance.
 SIMILARITY = {5: 0.8}
-#: Bands of minima, and minima in each; rounds of leaders in a large band.
-BANDS, ROWS, LEADERS = 20, 4, 8
+#: Bands of minima, and minima in each; sets of a band that are all compared.
+BANDS, ROWS, PAIRS = 20, 4, 6
 _KEYS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.int64).astype(np.uint64)
 #: Names that this operator adds start so.
 _P = "_sh_"
@@ -86,7 +89,7 @@ def bands(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
-def similar(docs: DataFrame, text_col: str, shingle: int, similarity: float, small: int = 32) -> DataFrame:
+def similar(docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(a, b): links between fingerprints of texts whose sets of shingles are so similar."""
 
     def measure(batches):
@@ -103,14 +106,8 @@ def similar(docs: DataFrame, text_col: str, shingle: int, similarity: float, sma
     one = prints.groupBy("s").agg(F.min("fp").alias("least"))
     same = prints.join(one, "s").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     sets = rows.where(F.size("bands") > 0).groupBy("s").agg(F.first("bands").alias("bands"))
-    keyed = sets.select("s", "bands", F.posexplode("bands").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = C.store(keyed.join(sizes, ["band", "key"]).select("s", F.xxhash64("band", "key").alias("key"), "n", F.when(F.col("n") > small, F.col("bands")).alias("bands")), "shared")
-    finer = shared.where(F.col("n") > small).select("s", "key", F.posexplode("bands").alias("band", "second")).select("s", F.xxhash64("key", "band", "second").alias("key"))
-    finer_sizes = finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    finer = C.store(finer.join(finer_sizes, "key").where("n > 1"), "finer")
-    near = shared.where(F.col("n") <= small).select("s", "key").union(finer.where(F.col("n") <= small).select("s", "key"))
-    pairs = near.join(near.select("key", F.col("s").alias("t")), "key").where("s < t").select("s", "t").distinct()
+    keyed = sets.select("s", F.posexplode("bands").alias("band", "key")).select("s", F.xxhash64("band", "key").alias("key"))
+    shared = _shared(keyed)
 
     # The whole sets, of the candidates alone.
     asked = shared.select("s").distinct()
@@ -135,24 +132,51 @@ def similar(docs: DataFrame, text_col: str, shingle: int, similarity: float, sma
             yield batch.select(["s", "t"]).take(pa.array(kept, pa.int64()))
 
     def verified(candidates: DataFrame) -> DataFrame:
+        """The pairs (s, t) of the candidates that are similar; one t may have most of the pairs."""
+        candidates = C.store(candidates.distinct(), "candidates")
         left = candidates.join(whole, "s").select("s", "t", F.col("hashes").alias("x"))
-        both = left.join(whole.select(F.col("s").alias("t"), F.col("hashes").alias("y")), "t").select("s", "t", "x", "y")
-        return C.store(both.mapInArrow(compare, "s bigint, t bigint"), "similar")
-
-    out = verified(pairs)
-    left = finer.where(F.col("n") > small).select("s", "key")
-    for _ in range(LEADERS):
-        if not left.take(1):
-            break
-        led = left.join(left.groupBy("key").agg(F.min("s").alias("t")), "key").where("s <> t")
-        links_now = verified(led.select("t", "s").distinct().select(F.col("t").alias("s"), F.col("s").alias("t")))
-        out = out.union(links_now)
-        found = links_now.select(F.col("s").alias("t"), F.col("t").alias("s"))
-        left = C.store(led.join(found, ["s", "t"], "left_anti").select("s", "key"), "left")
+        often = candidates.groupBy("t").agg(F.count("*").alias("n"))
+        both = C.salted_join(left, whole.select(F.col("s").alias("t"), F.col("hashes").alias("y")), "t", "s", often)
+        out = C.store(both.select("s", "t", "x", "y").mapInArrow(compare, "s bigint, t bigint"), "similar")
+        C.discard(candidates)
+        return out
+
+    def all_pairs(groups: DataFrame) -> DataFrame:
+        few = groups.where(F.col("n") <= PAIRS).select("s", "key")
+        return few.join(few.withColumnRenamed("s", "t"), "key").where("s < t").select("s", "t")
+
+    def by_leaders(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """A round: the links to the least of each group, and what isn't linked to it."""
+        groups = left.groupBy("key").agg(F.min("s").alias("t"), F.count("*").alias("n"))
+        led = C.store(C.salted_join(left, groups.select("key", "t"), "key", "s", groups).where("s <> t"), "led")
+        found = verified(led.select("s", "t"))
+        return found, C.store(led.join(found, ["s", "t"], "left_anti").select("s", "key"), "left")
+
+    links_ = [verified(all_pairs(shared))]
+    left = shared.where(F.col("n") > PAIRS).select("s", "key")
+    for _ in range(2):
+        if left.take(1):
+            found, left = by_leaders(left)
+            links_.append(found)
+    if left.take(1):
+        second = left.join(keyed.select("s", F.col("key").alias("second")), "s").where("key <> second")
+        finer = _shared(second.select("s", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")).distinct())
+        links_.append(verified(all_pairs(finer)))
+        left = finer.where(F.col("n") > PAIRS).select("s", "key")
+        while left.take(1):  # each round takes one from each group at least
+            found, left = by_leaders(left)
+            links_.append(found)
+    out = reduce(DataFrame.union, links_)
     named = lambda c, to: one.select(F.col("s").alias(c), F.col("least").alias(to))
     return C.store(out.join(named("s", "a"), "s").join(named("t", "b"), "t").select("a", "b").union(same).where("a <> b").distinct(), "linked")
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(s, key, n), stored: the keys that n > 1 sets share."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    return C.store(C.salted_join(keyed, sizes.where("n > 1"), "key", "s", sizes), "shared")
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
