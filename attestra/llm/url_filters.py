@@ -1,17 +1,18 @@
 """URL filters: allow and block rules over hosts and paths, by a sort-merge range join.
 
-The canonical key of a rule is its host with the labels reversed, then its path; a rule
-so covers the interval of keys that start with its own. A url is looked up once for each
-suffix of its host that a rule could name (its own canonical keys). Rules and url keys
-are sorted together within a host; a sweep keeps the stack of the rules whose interval
-is open, as one slot for each nesting depth: a rule that starts fills the slot of its
-depth, and slots whose interval has ended no longer cover the key that is looked up.
-The longest covering rule over all of a url's keys wins; of equally long ones (for
-different hosts) the one with the longer host. Two verdicts on one rule: block wins.
-
-Hosts are of any size: hosts above a share of all keys are dealt out by salts, with
-their rules repeated for each; only the list of those hosts, at most
-4 * shuffle partitions, is broadcast.
+The canonical key of a host is its labels reversed, so a rule's host covers the interval of
+keys that start with its own. Rules and urls are sorted together by that key; a sweep keeps the
+stack of the rules' hosts whose interval is open, as one slot for each nesting depth: a
+host that starts fills the slot of its depth, and slots whose interval has ended no longer
+cover the key that is looked up. What a rule allows below a host hangs on the path too, which comes
+behind the whole host of a url, so it is no interval of the same order: a second sweep of the
+same kind goes over the paths below each open host, with a stack of the open paths.
+The longest covering rule wins; of equally long ones (for different hosts) the one with
+the longer host. Two verdicts on one rule: block wins.
+
+A sweep is cut by the last label of the hosts, or by the rule's host. Those above a share of all
+keys are dealt out by salts, with their rules repeated for each; only the list of those,
+at most 4 * shuffle partitions, is broadcast.
 
 Defined results: a null url, or one without ://, has an empty host and path, which no
 rule fits; what no rule fits gets the default verdict. Repeated rows come back as often.
@@ -49,60 +50,63 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _key(host: str, path: str) -> Column:
-    """Reversed labels, a sign below any of a path's, the path."""
-    return F.expr(f"concat(array_join(reverse(split({host}, '[.]')), '.'), '\\u0000', {path})")
+def _with_depth(rules: DataFrame, key: str, prefixes: str) -> DataFrame:
+    """rules and depth: how many others' keys start theirs, of the same host if they have paths; prefixes: SQL for a key's proper prefixes."""
+    same = ["host"] if "path" in rules.columns else []
+    starts = rules.select(*same, key, F.explode(F.expr(prefixes)).alias("outer_key")).where(F.col("outer_key") != F.col(key))
+    depth = starts.join(rules.select(*same, F.col(key).alias("outer_key")), [*same, "outer_key"]).groupBy(*same, key).agg(F.count("*").cast("int").alias("depth"))
+    return rules.join(depth, [*same, key], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 
-def _nested(rules: DataFrame) -> DataFrame:
-    """The rules once each, with key and depth: how many other rules' keys start theirs."""
-    rules = rules.select(F.translate("host", _UP, _LOW).alias("host"), "path", "verdict").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    rules = rules.withColumn("key", _key("host", "path"))
-    starts = rules.select("key", F.explode(F.expr("transform(sequence(0, length(path) - 1), n -> substring(key, 1, length(key) - length(path) + n))")).alias("outer_key")).where("outer_key <> key")
-    outer = rules.select(F.col("key").alias("outer_key"))
-    depth = starts.join(outer, "outer_key").groupBy("key").agg(F.count("*").cast("int").alias("depth"))
-    return rules.join(depth, "key", "left").select("host", "path", "verdict", "key", F.coalesce("depth", F.lit(0)).alias("depth"))
+def _hot(rows: DataFrame, part: str) -> DataFrame:
+    """(part, salts) of the parts with more than a share of the rows; broadcast."""
+    width = C.shuffle_width(rows.sparkSession)
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
+    total = max(sizes.agg(F.sum("n")).first()[0] or 0, 1)
+    return F.broadcast(sizes.where(F.col("n") * 4 * width > total).select(part, F.ceil(F.col("n") * 4 * width / F.lit(total)).cast("int").alias("salts")))
+
+
+def _sweep(rows: DataFrame, rules: DataFrame, part: str, key: str, depths: int) -> DataFrame:
+    """rows and slot0 .. slot<depths - 1>: the rules (structs with their key) that are open there, null if none.
+
+    rules: part, key, depth and rule.
+    """
+    hot = _hot(rows, part)
+    looked_up = rows.join(hot, part, "left").withColumn("salt", F.expr("cast(pmod(xxhash64(id, url), coalesce(salts, 1)) AS int)")).drop("salts")
+    opened = rules.join(hot, part, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)"))).drop("salts")
+    events = looked_up.withColumn("looked_up", F.lit(1)).unionByName(opened.withColumn("looked_up", F.lit(0)), allowMissingColumns=True)
+    sweep = W.partitionBy(part, "salt").orderBy(key, "looked_up").rowsBetween(W.unboundedPreceding, W.currentRow)
+    slots = [F.last(F.when(F.col("depth") == d, F.col("rule")), ignorenulls=True).over(sweep).alias(f"slot{d}") for d in range(depths)]
+    swept = events.select("*", *slots).where("looked_up = 1")
+    covering = [F.when(F.startswith(F.col(key), F.col(f"slot{d}.key")), F.col(f"slot{d}")).alias(f"slot{d}") for d in range(depths)]
+    return swept.select(*rows.columns, *covering)
 
 
 def classify(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """A row for each row of urls: id, url, host, path, rule (host and path, or null), verdict."""
-    spark = urls.sparkSession
-    nested = _nested(rules)
-    span = nested.agg(F.max("depth"), F.max(F.size(F.split("host", "[.]")))).first()
-    depths, labels = (span[0] or 0) + 1, span[1] or 1
+    rules = rules.select(F.translate("host", _UP, _LOW).alias("host"), "path", "verdict").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    reversed_ = F.expr("concat(array_join(reverse(split(host, '[.]')), '.'), '.')")
+    top = F.element_at(F.split("host", "[.]"), -1)
+    hosts = _with_depth(rules.select("host").distinct().withColumn("key", reversed_), "key", "transform(sequence(1, size(split(host, '[.]'))), n -> concat(array_join(slice(split(key, '[.]'), 1, n - 1), '.'), '.'))")
+    paths = _with_depth(rules, "path", "transform(sequence(1, length(path)), n -> substring(path, 1, n - 1))")
+    host_depths, path_depths = ((x.agg(F.max("depth")).first()[0] or 0) + 1 for x in (hosts, paths))
+
     rows = urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).groupBy("id", "url").agg(F.count("*").cast("int").alias("rows"))
-    rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    # The host's suffixes of up to as many labels as any rule has; the last part of an empty host is empty.
-    probe = rows.withColumn("labels", F.split("host", "[.]")).withColumn(
-        "suffix", F.explode(F.expr(f"transform(sequence(1, least(size(labels), {labels})), n -> array_join(slice(labels, size(labels) - n + 1, n), '.'))"))
-    )
-    probe = probe.select("id", "url", "rows", "host", "path", "suffix")
-
-    width = C.shuffle_width(spark)
-    sizes = probe.groupBy("suffix").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(sizes.where(F.col("n") * 4 * width > total).select("suffix", F.ceil(F.col("n") * 4 * width / F.lit(max(total, 1))).cast("int").alias("salts")))
-    probe = probe.join(hot, "suffix", "left").withColumn("salt", F.expr("cast(pmod(xxhash64(id, url), coalesce(salts, 1)) AS int)"))
-    rule_rows = nested.withColumnRenamed("host", "suffix").join(hot, "suffix", "left")
-    rule_rows = rule_rows.withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")))
-
-    events = probe.select("suffix", "salt", _key("suffix", "path").alias("key"), F.lit(1).alias("looked_up"), "id", "url", "rows", "host", "path").unionByName(
-        rule_rows.select("suffix", "salt", "key", F.lit(0).alias("looked_up"), "depth", F.struct("key", F.col("suffix").alias("host"), "path", "verdict").alias("rule")),
-        allowMissingColumns=True,
-    )
-    sweep = W.partitionBy("suffix", "salt").orderBy("key", "looked_up").rowsBetween(W.unboundedPreceding, W.currentRow)
-    slots = [F.last(F.when(F.col("depth") == d, F.col("rule")), ignorenulls=True).over(sweep).alias(f"slot{d}") for d in range(depths)]
-    swept = events.select("*", *slots).where("looked_up = 1")
-    covering = lambda d: F.when(F.startswith(F.col("key"), F.col(f"slot{d}.key")), F.col(f"slot{d}"))
-    best = F.coalesce(*[covering(d) for d in reversed(range(depths))])
-    swept = swept.withColumn("best", best).withColumn(
-        "ranked",
-        F.when(
-            F.col("best").isNotNull(),
-            F.struct((F.length("best.host") + F.length("best.path")).alias("size"), F.length("best.host").alias("host_size"), F.concat("best.host", "best.path").alias("rule"), F.col("best.verdict").alias("verdict")),
-        ),
+    rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("top", top).withColumn("key", reversed_)
+    opened = hosts.select(top.alias("top"), "key", "depth", F.struct("key", "host").alias("rule"))
+    swept = _sweep(rows, opened, "top", "key", host_depths)
+    below = F.array_compact(F.array(*[F.col(f"slot{d}.host") for d in range(host_depths)]))
+    probe = C.store(swept.select("id", "url", "rows", "host", "path", F.explode_outer(below).alias("below")), "probe")
+
+    rule = F.struct(F.col("path").alias("key"), "host", "verdict")
+    tried = _sweep(probe.where("below IS NOT NULL"), paths.select(F.col("host").alias("below"), "path", "depth", rule.alias("rule")), "below", "path", path_depths)
+    best = F.coalesce(*[F.col(f"slot{d}") for d in reversed(range(path_depths))])
+    ranked = F.when(
+        best.isNotNull(),
+        F.struct((F.length(best["host"]) + F.length(best["key"])).alias("size"), F.length(best["host"]).alias("host_size"), F.concat(best["host"], best["key"]).alias("rule"), best["verdict"].alias("verdict")),
     )
-    out = swept.groupBy("id", "url").agg(F.max("rows").alias("rows"), F.max("host").alias("host"), F.max("path").alias("path"), F.max("ranked").alias("won"))
+    every = tried.select("id", "url", "rows", "host", "path", ranked.alias("ranked")).unionByName(probe.where("below IS NULL").drop("below"), allowMissingColumns=True)
+    out = every.groupBy("id", "url").agg(F.max("rows").alias("rows"), F.max("host").alias("host"), F.max("path").alias("path"), F.max("ranked").alias("won"))
     return out.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"),
         F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_copy"),

@@ -216,11 +216,13 @@ def test_learning_adds_gradients_of_a_row():
 
 
 def test_url_filters(spark):
-    rules = [("com", "/", "allow"), ("com", "/a", "block"), ("b.com", "/a/b", "allow"), ("x.b.com", "/", "block"), ("net", "/a", "block"), ("b.com", "/a/", "block")]
+    rules = [("com", "/", "allow"), ("com", "/a", "block"), ("b.com", "/a/b", "allow"), ("x.b.com", "/", "block"), ("net", "/a", "block"), ("b.com", "/a/", "block"), ("c.com", "", "block"), ("y.x.c.com", "/b", "allow"), ("-x.com", "/", "block")]
     rng = random.Random(3)
     urls = [None, "", "no scheme", "http://", "ftp://COM/a?b#c", "http://acom/a"]
     urls += [f"http://{rng.choice(['', 'x.', 'y.x.', 'X.'])}{rng.choice(['b.com', 'c.com', 'b.net', 'org'])}{rng.choice(['', '/', '/a', '/a/', '/a/b', '/a/bc', '/b?/a', '#/a'])}" for _ in range(200)]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    urls += ["http://a.-x.com/", "http://-x.com/q", "http://y.x.c.com/b/c"]
+    df = spark.createDataFrame([*enumerate(urls), (7, urls[7]), (7, urls[7]), (None, urls[8])], "page_id long, url string")
+    assert url_filters.classify(df, url_filters.rules_frame(spark, rules)).count() == len(urls) + 3
     for r in url_filters.classify(df, url_filters.rules_frame(spark, rules)).collect():
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", r.url or "")
         host, path = (lower(m[1]), m[2]) if m else ("", "")
