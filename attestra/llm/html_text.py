@@ -1,13 +1,17 @@
 """Main text of web pages, without what a site repeats on its pages.
 
-A page is read into blocks of text and the element subtrees over them. Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments go by what the markup
-says. Of the rest the article or main element is taken if there is one. Its subtrees are
-hashed; Spark counts the distinct pages of a host that have each hash. Subtrees on more than
-`min_pages` pages and `min_share` of the host's are its template and go too, whatever
-part of a page they are; so are, on small hosts, those on `few_pages` pages at least and more than
-half of the host's. Pages alike in all blocks and subtrees count as one, so copies of a
-page make no template.
+A page is read into blocks of text and the element subtrees over them, and every subtree is
+hashed with its text and its inner structure, whatever the markup says of it. Spark counts the distinct
+pages of a host that have each hash. Subtrees on more than `min_pages` pages and `min_share` of
+the host's are its template and go; so are, on small hosts, those on `few_pages` pages at
+least and more than half of the host's. Pages alike in all that the markup leaves of them
+count as one, so copies of a page make no template.
+
+What the markup names goes too: menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and comments. A class or id alone doesn't take away the main element, nor
+the page's only article. Of the rest the article or main element is taken if there is one.
+
+Reading takes time in proportion to the page, however deep its markup.
 
 Defined results: null and empty html have an empty text; a page without html markup is one
 text. A url without :// has an empty host, a host like any other. Repeated rows count as
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -76,65 +81,91 @@ class _Element:
     tag: str
     dropped: bool
     main: bool
+    region: int  # of a class or id that takes it away
     first: int  # block that starts here or after
     hash: xxhash.xxh3_64 = field(default_factory=xxhash.xxh3_64)
+    empty: bool = True
 
 
 @dataclass
 class Page:
     blocks: list[str]
     subtrees: list[tuple[int, int, int]]  # hash, first block, block after the last
+    hashes: list[int] = field(default_factory=list)  # of all subtrees, those without blocks too
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _dropped(tag: str, text: str) -> bool:
-    if tag in _DROP:
-        return True
-    if not text.strip(" /\n\t"):
-        return False
-    a = _attributes(text)
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
+def _dropped(tag: str, a: dict[str, str]) -> bool:
+    if tag in _DROP or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in _DROP_ROLES:
         return True
-    if a.get("role", "").lower() in _DROP_ROLES:
-        return True
-    return tag not in ("html", "body", "article", "main") and bool(_DROP_NAMES.search(a.get("class", "")) or _DROP_NAMES.search(a.get("id", "")))
+    return "style" in a and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I))
+
+
+def _named(a: dict[str, str]) -> bool:
+    return bool(_DROP_NAMES.search(a.get("class", "")) or _DROP_NAMES.search(a.get("id", "")))
 
 
 def parse(html: str) -> Page:
     """Blocks of the article in page order, and the subtrees of block elements over them."""
-    blocks: list[tuple[str, bool]] = []  # text, in a main element
+    blocks: list[tuple[str, bool, int]] = []  # text, in a main element, region
     subtrees: list[tuple[int, int, int]] = []
-    stack = [_Element("", False, False, 0)]
+    root = _Element("", False, False, 0, 0)
+    stack, block_stack = [root], [root]
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
+    regions: list[list] = [[0, True]]  # the region around, whether it stays
+    articles: list[int] = []  # regions of the page's articles
     inline: list[str] = []
     at, size = 0, len(html)
 
+    def stays(region: int) -> None:
+        while not regions[region][1]:
+            regions[region][1] = True
+            region = regions[region][0]
+
     def flush() -> None:
         text = " ".join("".join(inline).split())
         inline.clear()
         if text:
-            top = next(e for e in reversed(stack) if e.tag in _BLOCK or not e.tag)
-            blocks.append((text, stack[-1].main))
+            top = block_stack[-1]
             top.hash.update(b"\0" + text.encode("utf-8", "surrogatepass"))
+            top.empty = False
+            if not stack[-1].dropped:
+                blocks.append((text, stack[-1].main, stack[-1].region))
 
     def close(depth: int) -> None:
         """Close the elements above so many."""
         while len(stack) > depth:
-            if stack[-1].tag in _BLOCK:
+            e = stack[-1]
+            if e.tag in _BLOCK:
                 flush()
-                e = stack.pop()
-                if len(blocks) > e.first:
+                block_stack.pop()
+                if not e.empty:
                     digest = e.hash.intdigest()
                     subtrees.append((digest - (1 << 64) if digest >> 63 else digest, e.first, len(blocks)))
-                    next(x for x in reversed(stack) if x.tag in _BLOCK or not x.tag).hash.update(b"\1" + e.tag.encode() + digest.to_bytes(8, "big"))
-            else:
-                stack.pop()
+                    block_stack[-1].hash.update(b"\1" + e.tag.encode() + digest.to_bytes(8, "big"))
+                    block_stack[-1].empty = False
+            elif e.dropped and len(stack) > 1 and not stack[-2].dropped:
+                flush_dropped()
+            stack.pop()
+            places[e.tag].pop()
+
+    def flush_dropped() -> None:
+        """Text of a dropped element within a block: for the hash, not for the text."""
+        text = " ".join("".join(hidden).split())
+        hidden.clear()
+        if text:
+            block_stack[-1].hash.update(b"\2" + text.encode("utf-8", "surrogatepass"))
+
+    hidden: list[str] = []
 
     def text(part: str) -> None:
-        if part and not stack[-1].dropped:
-            inline.append(unescape(part))
+        if part and stack[-1].tag not in _RAW:
+            (hidden if stack[-1].dropped and not block_stack[-1].dropped else inline).append(unescape(part))
+
+    last = lambda tag: places[tag][-1] if places.get(tag) else 0
 
     for m in _TOKEN.finditer(html):
         if m.start() < at:
@@ -146,46 +177,63 @@ def parse(html: str) -> Page:
             continue
         rest = m[3] if m[2] else m[6]
         if m[1] or m[4]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth:
-                close(depth)
+            if last(tag):
+                close(last(tag))
             continue
-        if tag in _CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
-            if depth and not any(e.tag in ("table", "button") for e in stack[depth:]):
-                close(depth)
+        if tag in _CLOSES_P and last("p") > max(last("table"), last("button")):
+            close(last("p"))
         if tag in _CLOSES:
             shut, until = _CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in until:
-                    break
-                if stack[k].tag in shut:
-                    close(k)
+            bound = max((last(t) for t in until), default=0)
+            above = [places[t][k] for t in shut if places.get(t) and (k := bisect_right(places[t], bound)) < len(places[t])]
+            if above:
+                close(min(above))
         if tag in _BLOCK:
             flush()
+        top = stack[-1]
         if tag in _RAW and not rest.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(html, at)
             at = end.start() if end else size
-            stack.append(_Element(tag, True, False, len(blocks)))
+            element = _Element(tag, True, False, top.region, len(blocks))
         elif tag in _VOID:
             if tag == "br":
                 text(" ")
+            continue
         else:
-            top = stack[-1]
-            gone = top.dropped or _dropped(tag, rest)
-            stack.append(_Element(tag, gone, not gone and (top.main or tag in ("article", "main") or "main" == _attributes(rest).get("role", "").lower()), len(blocks)))
+            a = _attributes(rest) if rest.strip(" /\n\t") else {}
+            gone = top.dropped or _dropped(tag, a)
+            main, region = tag == "main" or a.get("role", "").lower() == "main", top.region
+            if not gone:
+                named = bool(a) and _named(a)
+                if named and tag not in ("html", "body", "article", "main"):
+                    regions.append([region, False])
+                    region = len(regions) - 1
+                if main:
+                    stays(region)
+                if tag == "article" and not named:
+                    articles.append(region)
+            element = _Element(tag, gone, not gone and (top.main or main or tag == "article"), region, len(blocks))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(element)
+        if tag in _BLOCK:
+            block_stack.append(element)
     text(html[at:])
     close(1)
     flush()
-    if any(main for _, main in blocks):
-        number, n = [], 0
-        for _, main in blocks:
-            number.append(n)
-            n += main
+    if len(articles) == 1:
+        stays(articles[0])
+    for r in regions[1:]:
+        r[1] = r[1] and regions[r[0]][1]
+    kept = [b for b in blocks if regions[b[2]][1]]
+    any_main = any(main for _, main, _ in kept)
+    number, n = [], 0
+    for _, main, region in blocks:
         number.append(n)
-        subtrees = [(h, number[a], number[b]) for h, a, b in subtrees if number[a] < number[b]]
-        blocks = [b for b in blocks if b[1]]
-    return Page([b for b, _ in blocks], subtrees)
+        n += regions[region][1] and (main or not any_main)
+    number.append(n)
+    hashes = sorted({h for h, _, _ in subtrees})
+    subtrees = [(h, number[a], number[b]) for h, a, b in subtrees if number[a] < number[b]]
+    return Page([b for b, main, _ in kept if main or not any_main], subtrees, hashes)
 
 
 def without(page: Page, template: set[int]) -> str:
@@ -198,7 +246,7 @@ def without(page: Page, template: set[int]) -> str:
 
 
 def _plain(page: Page) -> bytes:
-    return json.dumps([page.blocks, page.subtrees]).encode()
+    return json.dumps([page.blocks, page.subtrees]).encode()  # without the hashes that no block has
 
 
 def _unpack(data: bytes) -> Page:
@@ -216,7 +264,7 @@ def parsed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             found = [parse(x.as_py() or "") for x in batch.column(2)]
             keys = pa.array(range(key, key + len(found)), pa.int64())
             key += len(found)
-            hashes = pa.array([sorted({h for h, _, _ in p.subtrees}) for p in found], pa.list_(pa.int64()))
+            hashes = pa.array([p.hashes for p in found], pa.list_(pa.int64()))
             plain = [_plain(p) for p in found]
             same = pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in plain], np.uint64).view(np.int64))
             packed = pa.array([zstandard.compress(x, 3) for x in plain], pa.binary())

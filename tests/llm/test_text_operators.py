@@ -131,6 +131,43 @@ def test_template_of_short_pages_sections_and_small_hosts(spark):
     assert all(got[400 + i] == copied for i in range(40))
 
 
+def test_templates_by_counting(spark):
+    """Texts from subtrees counted in plain Python, on hosts whose pages share random parts in random places."""
+    rng = random.Random(21)
+    own = lambda n: " ".join(f"v{rng.randrange(99999)}" for _ in range(n))
+    leaf = lambda n: ("p", own(n))
+    rows, trees = [], {}
+    for host, n in (("a.com", 60), ("b.com", 25), ("c.com", 6), ("d.com", 2)):
+        shared = [leaf(8), ("div", [leaf(5), leaf(6)]), ("section", [("div", [leaf(4)]), leaf(3)]), leaf(4)]
+        for k in range(n):
+            parts = [leaf(12), ("div", [leaf(9), *([shared[3]] if rng.random() < 0.05 else [])])] + [x for x in shared[:3] if rng.random() < 0.6]
+            rng.shuffle(parts)
+            trees[len(rows)] = (host, ("body", [("nav", [leaf(2)]), *parts]))
+            rows.append((len(rows), f"http://{host}/{k}"))
+    html = lambda t: f"<{t[0]}>" + (t[1] if isinstance(t[1], str) else "".join(map(html, t[1]))) + f"</{t[0]}>"
+    inner = lambda t: [t] + ([] if isinstance(t[1], str) else [y for x in t[1] for y in inner(x)])
+    pages, counts = Counter(h for h, _ in trees.values()), Counter()
+    for h, t in trees.values():
+        counts.update({(h, repr(x)) for x in inner(t)})
+    template = {k for k, n in counts.items() if n > 10 and n > 0.01 * pages[k[0]] or n >= 3 and 2 * n > pages[k[0]]}
+    assert len(template) > 12
+    left = lambda h, t: [] if (h, repr(t)) in template or t[0] == "nav" else [t[1]] if isinstance(t[1], str) else [y for x in t[1] for y in left(h, x)]
+    df = spark.createDataFrame([(i, u, html(trees[i][1])) for i, u in rows] + [(0, rows[0][1], html(trees[0][1]))], "page_id long, url string, html string")
+    got = html_text.extract(df).collect()
+    assert len(got) == len(rows) + 1 and {(r.page_id, r.text) for r in got} == {(i, "\n".join(left(*trees[i]))) for i, _ in rows}
+
+
+def test_names_keep_the_main_element():
+    """A class doesn't take away what holds the main element or the only article; comments and related ones go."""
+    text = lambda h: html_text.parse(h).blocks
+    assert text("<div class='content-sidebar'><main><p>one</p></main><div class='sidebar'>two</div></div>") == ["one"]
+    assert text("<div class='share-wrap'><article><p>one</p></article></div><div class='comments'><article class='comment'>two</article></div>") == ["one"]
+    assert text("<div><p>one</p></div><div class='related'><article>two</article><article>three</article></div>") == ["one"]
+    deep = "<b>" * 30_000 + "<p>x" * 3_000
+    assert text(deep) == ["x"] * 3_000
+    assert len(text("<p><table>" + "<i>" * 30_000 + "<div>y" * 3_000)) == 3_000
+
+
 # 3 language model ------------------------------------------------------------------
 
 
