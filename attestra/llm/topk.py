@@ -1,12 +1,15 @@
 """Exact top-k by inner product, with a pivot table that rules candidates out.
 
-Each row keeps its distances to a set of pivots. The largest difference of two rows' distances
+Each row keeps its distances to many pivots. The largest difference of two rows' distances
 to a pivot is a lower bound of the distance between them, and so an upper bound of
-their inner product. Queries meet candidates in blocks of bounded size. In a block, candidates
+their inner product. A first round scores each query against the bounded sample that pivots are
+chosen from; its k-th score there goes with the query, and no candidate bounded below it is
+evaluated anywhere. Queries meet candidates in blocks of bounded size. In a block, candidates
 that lie alike to the pivots form tiles, and a tile's range of distances bounds all that it
 holds. A query goes through the tiles in the order of their bounds, and stops at the first
-whose bound is below its k-th score so far: no later one can hold any of the k best.
-The blocks' lists are merged by rank.
+whose bound is below its k-th score so far: no later one can hold any of the k best. In a tile
+that it enters, the candidates' own bounds rule out those below the k-th score; only the others are
+evaluated. The blocks' lists are merged by rank.
 
 Components are floor(scale * x) as whole numbers, scores exact; bounds are widened by more than
 their rounding error. Magnitudes up to 2**62 after scaling are supported.
@@ -27,9 +30,11 @@ from pyspark.sql import functions as F
 
 from attestra.llm import common as C
 
-#: Rows of a block; rows that pivots are chosen from. Neither changes a result.
-CANDIDATES, QUERIES, SAMPLE, PIVOTS = 8192, 2048, 1024, 32
-_TILE = 256
+#: Rows of a block; rows that pivots are chosen from; pivots. None changes a result.
+CANDIDATES, QUERIES, SAMPLE, PIVOTS = 8192, 2048, 1024, 64
+#: Candidates of a tile; queries whose candidates are bounded at once.
+_TILE, _AT_ONCE = 256, 64
+_LEAST = np.iinfo(np.int64).min
 
 
 def scaled(vector: Column, scale: int) -> Column:
@@ -54,14 +59,20 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def _pivots(rows: DataFrame, width: int) -> np.ndarray:
-    """Pivots far from each other, from a bounded sample of the rows."""
-    sample = rows.orderBy(F.xxhash64("id", "v"), "id").select("v").limit(SAMPLE).collect()
-    if not sample or not width:
-        return np.zeros((0, width))
-    vectors = np.zeros((len(sample), width))
-    for row, found in zip(vectors, sample):
-        row[: len(found.v)] = found.v
+def _sample(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a bounded sample of the rows."""
+    found = rows.orderBy(F.xxhash64("id", "v"), "id").select("id", "v").limit(SAMPLE).collect()
+    vectors = np.zeros((len(found), width), np.int64)
+    for row, r in zip(vectors, found):
+        row[: len(r.v)] = r.v
+    return np.array([r.id for r in found], np.int64), vectors
+
+
+def _pivots(vectors: np.ndarray) -> np.ndarray:
+    """Pivots far from each other, out of a sample."""
+    vectors = vectors.astype(np.float64)
+    if not vectors.size:
+        return vectors[:0]
     chosen, far = [0], np.linalg.norm(vectors - vectors[0], axis=1)
     while len(chosen) < min(PIVOTS, len(vectors)) and far.max() > 0:
         chosen.append(int(far.argmax()))
@@ -80,37 +91,61 @@ def _products(vectors: np.ndarray, queries: np.ndarray, plain: bool) -> np.ndarr
     return (queries.astype(object) @ vectors.T.astype(object)).astype(np.int64)
 
 
+def _exact(*sides: np.ndarray) -> bool:
+    """Whether double sums of products are exact: below 2**52."""
+    return float(max(np.abs(x).max(initial=0) for x in sides)) ** 2 * max(sides[0].shape[1], 1) < 2**52
+
+
+def floors(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among a sample of the candidates; the least possible where it has fewer."""
+    scores = np.where(query_ids[:, None] == ids, _LEAST, _products(vectors, queries, _exact(vectors, queries)))
+    if len(ids) < k:
+        return np.full(len(queries), _LEAST)
+    return np.partition(scores, -k, axis=1)[:, -k]
+
+
 class Tiles:
     """The candidates of a block, ordered by their nearest pivots and cut into tiles."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray):
         near = pivots.argmin(axis=1) if pivots.shape[1] else np.zeros(len(ids), np.int64)
         order = np.lexsort((pivots[np.arange(len(ids)), near] if pivots.shape[1] else near, near))
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors, self.pivots = ids[order], vectors[order], pivots[order]
         cuts = np.arange(0, len(ids), _TILE)
-        squares = np.square(self.vectors.astype(np.float64)).sum(axis=1)
-        self.square = np.maximum.reduceat(squares, cuts)
-        self.low, self.high = (f.reduceat(pivots[order], cuts, axis=0) for f in (np.minimum, np.maximum))
+        self.squares = np.square(self.vectors.astype(np.float64)).sum(axis=1)
+        self.square = np.maximum.reduceat(self.squares, cuts)
+        self.low, self.high = (f.reduceat(self.pivots, cuts, axis=0) for f in (np.minimum, np.maximum))
         self.parts = [slice(a, a + _TILE) for a in cuts]
 
-    def bounds(self, queries: np.ndarray, query_pivots: np.ndarray) -> np.ndarray:
-        """(queries, tiles): no inner product with a tile's candidates is above."""
-        square = np.square(queries.astype(np.float64)).sum(axis=1)
-        apart = np.zeros((len(queries), len(self.parts)))
+    def bounds(self, squares: np.ndarray, query_pivots: np.ndarray) -> np.ndarray:
+        """(queries, tiles): no inner product with a tile's candidates is above. squares: of the queries' lengths."""
+        apart = np.zeros((len(query_pivots), len(self.parts)))
         for p in range(query_pivots.shape[1]):
             d = query_pivots[:, p, None]
             np.maximum(apart, np.maximum(self.low[:, p] - d, d - self.high[:, p]), out=apart)
-        both = square[:, None] + self.square
-        return (both - np.square(apart)) / 2 + 1 + 1e-9 * both
+        return _above(squares[:, None] + self.square, apart)
+
+    def own_bounds(self, part: slice, squares: np.ndarray, query_pivots: np.ndarray) -> np.ndarray:
+        """(queries, candidates of a tile): the same for each candidate, by all pivots."""
+        out = np.empty((len(query_pivots), len(self.ids[part])))
+        for a in range(0, len(out), _AT_ONCE):
+            apart = np.abs(query_pivots[a : a + _AT_ONCE, None] - self.pivots[part]).max(axis=2, initial=0)
+            out[a : a + _AT_ONCE] = _above(squares[a : a + _AT_ONCE, None] + self.squares[part], apart)
+        return out
+
 
+def _above(both: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    return (both - np.square(apart)) / 2 + 1 + 1e-9 * both
 
-def best(query_ids: np.ndarray, queries: np.ndarray, query_pivots: np.ndarray, tiles: Tiles, k: int, plain: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the (ids, scores) of its k best in a block, by descending bounds until none can follow."""
-    bounds = tiles.bounds(queries, query_pivots)
+
+def best(query_ids: np.ndarray, queries: np.ndarray, query_pivots: np.ndarray, floor: np.ndarray, tiles: Tiles, k: int, plain: bool):
+    """For each query the (ids, scores) of its k best in a block, as far as they reach its floor, and how many were evaluated."""
+    squares = np.square(queries.astype(np.float64)).sum(axis=1)
+    bounds = tiles.bounds(squares, query_pivots)
     order = np.argsort(-bounds, axis=1, kind="stable")
     none = np.zeros(0, np.int64)
     found = [(none, none)] * len(queries)
-    limit = np.full(len(queries), -np.inf)  # the k-th score so far
+    limit, evaluated = floor.copy(), np.zeros(len(queries), np.int64)  # limit: the k-th score so far
     for turn in range(len(tiles.parts)):
         tile = order[:, turn]
         going = np.flatnonzero(bounds[np.arange(len(queries)), tile] >= limit)
@@ -119,8 +154,15 @@ def best(query_ids: np.ndarray, queries: np.ndarray, query_pivots: np.ndarray, t
         going = going[np.argsort(tile[going], kind="stable")]
         for group in np.split(going, np.flatnonzero(np.diff(tile[going])) + 1):
             part = tiles.parts[tile[group[0]]]
-            ids, scores = tiles.ids[part], _products(tiles.vectors[part], queries[group], plain)
-            take = (scores >= limit[group, None]) & (ids != query_ids[group, None])
+            ids = tiles.ids[part]
+            left = (tiles.own_bounds(part, squares[group], query_pivots[group]) >= limit[group, None]) & (ids != query_ids[group, None])
+            evaluated[group] += left.sum(axis=1)
+            some, any_ = left.any(axis=0), left.any(axis=1)
+            if not any_.any():
+                continue
+            group, ids, left = group[any_], ids[some], left[any_][:, some]
+            scores = _products(tiles.vectors[part][some], queries[group], plain)
+            take = left & (scores >= limit[group, None])
             for q, row, kept in zip(group[take.any(axis=1)], scores[take.any(axis=1)], take[take.any(axis=1)]):
                 new_ids, new = ids[kept], row[kept]
                 if len(new) > 4 * k:  # those below the k-th of the tile are out
@@ -130,50 +172,68 @@ def best(query_ids: np.ndarray, queries: np.ndarray, query_pivots: np.ndarray, t
                 first = np.lexsort((new_ids, -new))[:k]
                 found[q] = new_ids[first], new[first]
                 if len(first) == k:
-                    limit[q] = found[q][1][-1]
-    return found
+                    limit[q] = max(limit[q], found[q][1][-1])
+    return found, evaluated
 
 
-def search(rows: DataFrame, query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): for each row where `query` holds, its k best among the others."""
+def lists(rows: DataFrame, query: Column, k: int, scale: int, id_col: str, vector_col: str) -> DataFrame:
+    """(query_id, id, score, evaluated): each block's best of each query; a row with null id tells how many candidates were evaluated."""
     taken = rows.where(usable(id_col, vector_col)).select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), scale).alias("v"), F.coalesce(query, F.lit(False)).alias("asks"))
     facts = taken.agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("asks"), F.col("id"))).alias("q"), F.max(F.size("v")).alias("width")).first()
     width = max(facts.width or 0, 0)
-    chosen = _pivots(taken, width)
+    sample_ids, sample = _sample(taken, width)
+    chosen = _pivots(sample)
 
     def measure(batches):
         for batch in batches:
-            table = _distances(_matrix(batch.column(1), width), chosen)
-            lists = pa.ListArray.from_arrays(np.arange(0, table.size + 1, max(table.shape[1], 1), dtype=np.int32) if table.size else np.zeros(len(table) + 1, np.int32), table.ravel())
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "v", "asks", "p"])
-
-    known = C.store(taken.mapInArrow(measure, "id bigint, v array<bigint>, asks boolean, p array<double>"), "pivots")
+            vectors, asks = _matrix(batch.column(1), width), batch.column(2).to_numpy(zero_copy_only=False)
+            table = _distances(vectors, chosen)
+            floor = np.full(len(table), _LEAST)
+            floor[asks] = floors(batch.column(0).to_numpy()[asks], vectors[asks], sample_ids, sample, k)
+            offsets = np.arange(0, table.size + 1, max(table.shape[1], 1), dtype=np.int32) if table.size else np.zeros(len(table) + 1, np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, table.ravel()), pa.array(floor)], ["id", "v", "asks", "p", "floor"])
+
+    known = C.store(taken.mapInArrow(measure, "id bigint, v array<bigint>, asks boolean, p array<double>, floor bigint"), "pivots")
     n_c, n_q = max(1, -(-facts.n // CANDIDATES)), max(1, -(-facts.q // QUERIES))
     spread = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
-    asks = known.where("asks").groupBy("id").agg(F.min(F.struct("v", "p")).alias("x")).select("id", "x.v", "x.p")
+    asks = known.where("asks").groupBy("id").agg(F.min(F.struct("v", "p", "floor")).alias("x")).select("id", "x.v", "x.p", "x.floor")
     left = asks.select("*", C.salt("id", into=n_q).alias("qb"), spread(n_c, "cb"))
     right = known.select(F.col("id").alias("candidate"), F.col("v").alias("cv"), F.col("p").alias("cp"), C.salt("id", "v", into=n_c).alias("cb"), spread(n_q, "qb"))
 
     def block(_key, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out = [[np.zeros(0, np.int64)] for _ in range(4)]
         if queries.num_rows and candidates.num_rows:
             ids = candidates.column("candidate").to_numpy()
             vectors, pivots = _matrix(candidates.column("cv"), width), _matrix(candidates.column("cp"), len(chosen))
             asked, asked_pivots = _matrix(queries.column("v"), width), _matrix(queries.column("p"), len(chosen))
-            top = max(np.abs(vectors).max(initial=0), np.abs(asked).max(initial=0))
-            plain = float(top) ** 2 * max(width, 1) < 2**52
+            plain = _exact(vectors, asked)
             query_ids = queries.column("id").to_numpy()
             tiles = Tiles(ids, vectors.astype(np.float64) if plain else vectors, pivots)
-            for q, (found_ids, scores) in zip(query_ids, best(query_ids, asked, asked_pivots, tiles, k, plain)):
-                out[0].append(np.full(len(found_ids), q, np.int64))
-                out[1].append(found_ids)
-                out[2].append(scores)
-        parts = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out]
-        return pa.Table.from_arrays(parts, ["query_id", "id", "score"])
-
-    lists = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(block, "query_id bigint, id bigint, score bigint")
+            found, evaluated = best(query_ids, asked, asked_pivots, queries.column("floor").to_numpy(), tiles, k, plain)
+            for q, (found_ids, scores), n in zip(query_ids, found, evaluated):
+                for column, values in zip(out, (np.full(len(found_ids), q, np.int64), found_ids, scores, np.full(len(found_ids), 0, np.int64))):
+                    column.append(values)
+            told = [query_ids, np.zeros(len(query_ids), np.int64), np.zeros(len(query_ids), np.int64), evaluated]
+            out = [[*column, x] for column, x in zip(out, told)]
+        parts = [np.concatenate(x) for x in out]
+        null = np.zeros(len(parts[0]), bool)
+        if queries.num_rows and candidates.num_rows:
+            null[len(null) - queries.num_rows :] = True
+        return pa.Table.from_arrays([pa.array(parts[0]), pa.array(parts[1], mask=null), pa.array(parts[2]), pa.array(parts[3])], ["query_id", "id", "score", "evaluated"])
+
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(block, "query_id bigint, id bigint, score bigint, evaluated bigint")
+
+
+def search(rows: DataFrame, query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, score): for each row where `query` holds, its k best among the others."""
+    found = lists(rows, query, k, scale, id_col, vector_col).where("id IS NOT NULL")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return lists.select("query_id", rank.alias("rank"), F.col("id").alias(id_col), "score").where(F.col("rank") <= k)
+    return found.select("query_id", rank.alias("rank"), F.col("id").alias(id_col), "score").where(F.col("rank") <= k)
+
+
+def evaluated(rows: DataFrame, query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, evaluated): how many candidates were scored for each query; the bounds have ruled out the others."""
+    return lists(rows, query, k, scale, id_col, vector_col).groupBy("query_id").agg(F.sum("evaluated").alias("evaluated"))
 
 
 def op8_topk(spark, sf_dir: str) -> DataFrame:

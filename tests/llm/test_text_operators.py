@@ -372,6 +372,22 @@ def test_topk(spark, monkeypatch):
         expected += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
     assert got == expected
     assert topk.search(df.limit(0), df.vec_id % 20 == 0).count() == 0
+    tried = {r.query_id: r.evaluated for r in topk.evaluated(df, df.vec_id % 20 == 0).collect()}
+    assert set(tried) == {q for q in known if q % 20 == 0} and all(20 <= n < 200 for n in tried.values())  # of 300; a cluster has 60
+
+
+def test_topk_of_odd_rows(spark):
+    """Repeated ids and rows, vectors of unequal length and empty ones, fewer rows than k."""
+    rows = [(0, [1.0, 2.0]), (0, [0.5]), (1, [3.0, 1.0, 5.0]), (1, [3.0, 1.0, 5.0]), (2, []), (3, [-1.0, -1.0]), (20, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = [(i, [math.floor(64 * x) for x in e]) for i, e in rows]
+    expected = []
+    for q in (0, 20):
+        asked = min((e for i, e in v if i == q), key=lambda e: e)
+        found = sorted((-sum(a * b for a, b in zip(asked, e)), i) for i, e in v if i != q)
+        expected += [(q, k, i, -s) for k, (s, i) in enumerate(found[:20], 1)]
+    got = topk.search(df, df.vec_id % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == expected
 
 
 # 9 secrets -------------------------------------------------------------------------------
