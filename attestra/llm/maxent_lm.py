@@ -5,18 +5,18 @@ themselves; texts travel in batches of bounded size that hold each of their word
 word is looked up once for a batch. Words of more than a share of all tokens are looked up in a
 short list, which is broadcast; no key of the other words is hot.
 
-The model factors a word by a class, a class within it, and a third one in that:
-P(w | h) = P(a | h) P(b | a, h) P(c | a, b, h) P(w | a, b, c). Each of the first three is a
-softmax over CLASSES over hashed features of the history: the previous word, the two
-previous ones, the one before the last alone (a skip), the endings of both, and a bias. The
-first class goes by how a word ends; words seen once or never are one of its values, and
-so is the end of a text; neither has classes within it. The other two go by the word's hash.
-In the innermost class words go by their counts; the rare class also holds the unknown word. For
+The model factors a word by a class and a class within it:
+P(w | h) = P(a | h) P(b | a, h) P(w | a, b). Each of the first two is a softmax over CLASSES
+over hashed features of the history: the previous word, the two previous ones, the one before
+the last alone (a skip), the endings of both, and a bias. The first class goes by how a word
+ends; words seen once or never are one of its values, and so is the end of a text; neither
+has classes within it. The second goes by the word's hash. In the inner class words go by
+their counts; the rare class also holds the unknown word. For
 training, a word is rare if it is so without itself, so unseen words are learned from
 words seen once.
 
 A weight's row is a hash of feature and class in a table that grows with the training
-tokens, from 2**19 rows to 2**21 (128 MB, what a task and the driver can hold). Training is by
+tokens, from 2**18 rows to 2**21 (200 MB, what a task and the driver can hold). Training is by
 gradient steps on the executors. Each round takes batches that no other round does; each task goes
 over its own from the shared weights, in small steps scaled by the gradients so far; rows
 that tasks moved are averaged by their squared gradients, so a row that one task alone has seen
@@ -46,23 +46,23 @@ from attestra.llm import common as C
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FOLDS, HELD_OUT = 7, 2
 #: Characters of a batch; classes of a softmax (of the first: 0 the rare words, the last the end); softmaxes.
-BATCH, CLASSES, LEVELS = 16_000_000, 16, 3
+BATCH, CLASSES, LEVELS = 16_000_000, 24, 2
 #: The table's rows as a power of two, and training tokens for each row between them.
-MIN_BITS, MAX_BITS, TOKENS_A_ROW = 19, 21, 256
+MIN_BITS, MAX_BITS, TOKENS_A_ROW = 18, 21, 512
 #: Tokens of a gradient step (at most 2**_PLACE); its scale; rounds; tokens of a training task for each row.
-STEP, RATE, ROUNDS, TASK_TOKENS_A_ROW = 16_384, 0.15, 2, 8
+STEP, RATE, ROUNDS, TASK_TOKENS_A_ROW = 4096, 0.15, 2, 12
 _PLACE = 20
 #: Features of whole words come first and share three quarters of the table; endings and the bias share the rest.
 WHOLE_WORDS = 3
-#: Low bits of a word's hash that are its ending's.
-ENDING = (1 << 16) - 1
+#: Low bits of a word's hash that are its ending's; the word's own are the high 32.
+ENDING = 255
 _BLOCK_ROWS, _TREE = 1 << 14, 32
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def word_hash(word: bytes) -> int:
-    """48 bits of the word's hash and 16 of its ending's; for features and classes, not for counts."""
-    return (xxhash.xxh3_64_intdigest(word) & ~ENDING) | (xxhash.xxh32_intdigest(word[-2:]) & ENDING)
+    """32 bits of the word's hash and 8 of its ending's; for features and classes, not for counts."""
+    return (xxhash.xxh32_intdigest(word) << 32) | (xxhash.xxh32_intdigest(word[-2:]) & ENDING)
 
 
 def held_out(doc_id) -> bool:
@@ -73,9 +73,9 @@ def word_classes(counts: np.ndarray, hashes: np.ndarray, end: np.ndarray | None
     """(n, LEVELS) classes. end: where the end of a text is; if not given, the first word is."""
     out = np.empty((len(counts), LEVELS), np.uint8)
     out[:, 0] = np.where(counts > 1, 1 + (hashes & np.uint64(ENDING)) % np.uint64(CLASSES - 2), 0)
-    mixed = (hashes >> np.uint64(16)) * _MIX[2]
+    mixed = (hashes >> np.uint64(32)) * _MIX[2]
     for k in range(1, LEVELS):
-        out[:, k] = mixed >> np.uint64(64 - 8 * k) & np.uint64(CLASSES - 1)
+        out[:, k] = (mixed >> np.uint64(64 - 16 * k) & np.uint64(0xFFFF)) % np.uint64(CLASSES)
     out[0 if end is None else end, 0] = CLASSES - 1
     return out
 
@@ -97,6 +97,16 @@ def _open(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
+def _squeeze_hashes(hashes: np.ndarray) -> bytes:
+    return _squeeze(np.frombuffer((hashes >> np.uint64(32)).astype("<u4").tobytes() + hashes.astype(np.uint8).tobytes(), np.uint8))
+
+
+def _open_hashes(data: bytes) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    n = len(raw) // 5
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, np.uint8, n, 4 * n)
+
+
 # Batches ---------------------------------------------------------------------
 
 _BATCH = "batch bigint, ids array<{}>, held binary, sizes binary, tokens binary, hashes binary"
@@ -120,7 +130,7 @@ class _Batch:
         tokens, sizes, held = np.concatenate(self.tokens), np.array([len(t) for t in self.tokens], np.uint32), np.array(self.held)
         hashes = np.fromiter(map(word_hash, self.known), np.uint64, len(self.known))
         counts = np.bincount(tokens[~np.repeat(held, sizes)], minlength=len(hashes))
-        return number, self.ids, held.tobytes(), _squeeze(sizes), _squeeze(tokens), _squeeze(hashes), list(self.known), counts
+        return number, self.ids, held.tobytes(), _squeeze(sizes), _squeeze(tokens), _squeeze_hashes(hashes), list(self.known), counts
 
 
 def batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -169,7 +179,7 @@ def with_counts(found: DataFrame, counts: DataFrame, total: int) -> DataFrame:
         for batch in arrow_batches:
             blobs = []
             for hashes, known in zip(batch.column("hashes"), batch.column("given")):
-                c = np.zeros(len(zstandard.decompress(hashes.as_py())) // 8, np.uint64)
+                c = np.zeros(len(_open_hashes(hashes.as_py())), np.uint64)
                 if known.is_valid:
                     c[known.values.field("place").to_numpy()] = known.values.field("c").to_numpy().view(np.uint64)
                 blobs.append(_squeeze(c))
@@ -295,7 +305,7 @@ def _read(batch, names):
     get = lambda n: batch.column(names.index(n))
     for k in range(batch.num_rows):
         held, sizes = np.frombuffer(get("held")[k].as_py(), bool), _open(get("sizes")[k].as_py(), np.uint32).astype(np.int64)
-        tokens, hashes, counts = _open(get("tokens")[k].as_py(), np.uint32), _open(get("hashes")[k].as_py(), np.uint64), _open(get("counts")[k].as_py(), np.uint64).astype(np.int64)
+        tokens, hashes, counts = _open(get("tokens")[k].as_py(), np.uint32), _open_hashes(get("hashes")[k].as_py()), _open(get("counts")[k].as_py(), np.uint64).astype(np.int64)
         yield get("ids")[k], held, sizes, tokens, hashes, counts
 
 

@@ -226,6 +226,7 @@ def test_score_of_given_weights():
 
     expected = [logs(t[:k], w) for t in texts for k, w in enumerate(t)]
     assert got == pytest.approx(expected, abs=1e-4)
+    assert maxent_lm._open_hashes(maxent_lm._squeeze_hashes(hashes)).tolist() == hashes.tolist()
 
 
 def test_learning_adds_gradients_of_a_row():
