@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -105,40 +106,44 @@ def _log(x: np.ndarray) -> np.ndarray:
         return np.log(x)
 
 
-def _steps(log_w: np.ndarray, width: int) -> np.ndarray:
-    """Row i: logs of the elementary symmetric polynomials of degree 0 to width - 1 of the first i odds."""
-    table = np.full((len(log_w) + 1, width), NEG)
-    table[0, 0] = 0.0
-    for i, w in enumerate(log_w):
-        table[i + 1] = table[i]
-        table[i + 1, 1:] = np.logaddexp(table[i, 1:], table[i, :-1] + w)
-    return table
+def _times(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Logs of the first coefficients of the product of two polynomials given by logs."""
+    out = np.full(min(len(a) + len(b) - 1, width), NEG)
+    for k, x in enumerate(a[: len(out)]):
+        n = min(len(b), len(out) - k)
+        out[k : k + n] = np.logaddexp(out[k : k + n], x + b[:n])
+    return out
+
+
+def _without_each(factors: list[np.ndarray], around: np.ndarray, width: int) -> list[np.ndarray]:
+    """The product of around and all factors but one, for each factor: halves multiply what goes down to the other half."""
+    if len(factors) == 1:
+        return [around]
+    half = len(factors) // 2
+    product_of = lambda xs: reduce(lambda a, b: _times(a, b, width), xs)
+    left, right = factors[:half], factors[half:]
+    return _without_each(left, _times(around, product_of(right), width), width) + _without_each(right, _times(around, product_of(left), width), width)
 
 
 def cardinality_scope(p: np.ndarray, low: int, high: int) -> tuple[float, list[list[float]], list[int] | None]:
-    """Binary cells with probabilities p of which low to high are on."""
-    n = len(p)
-    on = p >= 1.0
-    base = int(on.sum())
-    free = np.flatnonzero(~on)
-    low, high = max(low - base, 0), min(high - base, len(free))
+    """Binary cells with probabilities p of which low to high are on.
+
+    A cell is the polynomial (1 - p) + p x; the coefficients of a product are the chances of each count.
+    """
+    n, low, high = len(p), max(low, 0), min(high, len(p))
+    nothing = NEG, [[math.nan, math.nan]] * n, None
     if low > high:
-        return NEG, [[math.nan, math.nan]] * n, None
-    log_w = _log(p[free]) - np.log1p(-p[free])
-    before, after = _steps(log_w, high + 1), _steps(log_w[::-1], high + 1)[::-1]
-    total = float(np.logaddexp.reduce(before[-1, low : high + 1]))
-    log_qc = float(np.log1p(-p[free]).sum()) + total
+        return nothing
+    cells = list(np.stack([_log(1 - p), _log(p)], axis=1))
+    others = _without_each(cells, np.zeros(1), high + 1) if n else []
+    counts = _times(others[0], cells[0], high + 1) if n else np.zeros(1)
+    log_qc = float(np.logaddexp.reduce(counts[low:]))
     if log_qc == NEG:
-        return NEG, [[math.nan, math.nan]] * n, None
-    yes = np.ones(n)
-    for i, cell in enumerate(free):
-        # The others have low - 1 to high - 1 on; their polynomials are the product of both sides'.
-        others = [np.logaddexp.reduce(before[i, : k + 1] + after[i + 1, : k + 1][::-1]) for k in range(max(low - 1, 0), high)]
-        yes[cell] = math.exp(log_w[i] + np.logaddexp.reduce(others) - total) if others and log_w[i] > NEG else 0.0
-    order = np.argsort(-log_w, kind="stable")
-    count = min(max(int((log_w > 0).sum()), low), high)
-    chosen = on.astype(int)
-    chosen[free[order[:count]]] = 1
+        return nothing
+    yes = [math.exp(cell[1] + np.logaddexp.reduce(rest[max(low - 1, 0) : high]) - log_qc) if high else 0.0 for cell, rest in zip(cells, others)]
+    ranked = np.argsort(-p, kind="stable")
+    chosen = np.zeros(n, int)
+    chosen[ranked[: np.clip(np.count_nonzero(p > 0.5), low, high)]] = 1
     return log_qc, [[1 - x, x] for x in yes], chosen.tolist()
 
 
