@@ -9,9 +9,12 @@ Every further mention of a detected name in its document is an entity too, with
 a form of address and in any case. A given name has one gender in the whole corpus: that of
 most of its forms of address that tell one.
 
-Collisions are checked over the whole corpus, those of names over all kinds of names together: where two values have one surrogate, or a surrogate
-is itself a real value of its kind, all but the least value are drawn anew until none is left.
-The values are joined, never collected. Values of more than a share of all spans are dealt out by
+Collisions are checked over the whole corpus, those of names over all kinds of names together.
+Where two values have one surrogate, all but the least are drawn anew; so are those whose surrogate is
+a real value of their kind or one that is already given, until none is left. Only what is drawn anew
+is checked again. Values are joined, never collected. Should a kind have no free surrogates
+left after ROUNDS rounds, its remaining values are masked by asterisks, which keeps their
+format but not their distinctness. Values of more than a share of all spans are dealt out by
 salts; the list of those, at most 4 * shuffle partitions, is broadcast.
 
 Defined results: null and empty texts stay as they are; a text without entities is returned
@@ -24,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -229,7 +233,7 @@ def scanned(docs: DataFrame, text_col: str) -> DataFrame:
     return C.store(rows.mapInArrow(run, f"row {kind}, number bigint, text string, spans {_SPANS}"), "scanned")
 
 
-#: Rounds of drawing anew before the job fails: a kind then has no values left.
+#: Rounds of drawing anew before what is left is masked.
 ROUNDS = 64
 
 
@@ -244,8 +248,8 @@ def one_gender(values: DataFrame) -> DataFrame:
     return values.join(told, on, "left").select("kind", "value", F.when(F.col("gender").isNull(), F.col("kind")).otherwise(F.concat(F.lit("name:"), "script", F.lit(":"), "gender")).alias("drawn"))
 
 
-def surrogates(values: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, surrogate) of distinct (kind, value): distinct, and none of them a value itself."""
+def surrogates(values: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, value, surrogate) of distinct (kind, value): distinct, and none of them a value itself, but for masked ones."""
     schema = "kind string, value string, attempt int, surrogate string"
 
     def run(batches):
@@ -253,20 +257,23 @@ def surrogates(values: DataFrame, key: bytes) -> DataFrame:
             kinds, found, attempts = (batch.column(k).to_pylist() for k in range(3))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([surrogate(key, k, v, a) for k, v, a in zip(kinds, found, attempts)], pa.string())], ["kind", "value", "attempt", "surrogate"])
 
-    space = lambda kind: F.when(F.col(kind).startswith("name:"), "name").otherwise(F.col(kind))
-    real = values.select(space("kind").alias("rk"), F.col("value").alias("rv")).distinct()
-    now = C.store(values.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(run, schema), "surrogates")
-    for _ in range(ROUNDS):
-        drawn = now.withColumn("space", space("kind"))
-        taken = drawn.groupBy("space", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("value", "kind")).alias("keeps")).where("n > 1")
-        twice = drawn.join(taken, ["space", "surrogate"]).where(F.struct("value", "kind") != F.col("keeps")).select("kind", "value")
-        known = drawn.join(real, (F.col("space") == F.col("rk")) & (F.col("surrogate") == F.col("rv")), "left_semi").select("kind", "value")
-        bad = C.store(twice.union(known).distinct(), "clashes")
+    space = F.when(F.col("kind").startswith("name:"), "name").otherwise(F.col("kind"))
+    draw = lambda rows: C.store(rows.mapInArrow(run, schema).withColumn("space", space), "surrogates")
+    real = values.select(space.alias("space"), F.col("value").alias("surrogate")).distinct()
+    fresh, settled = draw(values.select("kind", "value", F.lit(0).alias("attempt"))), []
+    for _ in range(rounds):
+        taken = fresh.groupBy("space", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("value", "kind")).alias("keeps")).where("n > 1")
+        bad = fresh.join(taken, ["space", "surrogate"]).where(F.struct("value", "kind") != F.col("keeps")).select("kind", "value")
+        for given in [real, *settled]:
+            bad = bad.union(fresh.join(given, ["space", "surrogate"], "left_semi").select("kind", "value"))
+        bad = C.store(bad.distinct(), "clashes")
+        settled.append(C.store(fresh.join(bad, ["kind", "value"], "left_anti"), "settled"))
+        again = fresh.join(bad, ["kind", "value"], "left_semi").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        fresh = draw(again)
         if not bad.take(1):
-            return now.select("kind", "value", "surrogate")
-        again = now.join(bad.withColumn("bad", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"))
-        now = C.store(again.mapInArrow(run, schema), "surrogates")
-    raise RuntimeError("some kinds of values have no free surrogates left")
+            break
+    masked = fresh.withColumn("surrogate", F.regexp_replace("value", r"[\p{L}\p{N}]", "*"))
+    return reduce(DataFrame.unionByName, [*settled, masked]).select("kind", "value", "surrogate")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:

@@ -77,3 +77,14 @@ def test_names_collide_across_kinds(spark):
     assert across
     found = pii.surrogates(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()
     assert len({r.surrogate for r in found}) == len(found) == len(rows)
+
+
+def test_kinds_without_free_surrogates_are_masked(spark):
+    """Values of a kind that outnumber its surrogates: most get distinct ones, the others asterisks; nothing stays in clear."""
+    values = [("phone", f"+1{n:04d}") for n in range(6000)] + [("ip", "8.8.8.8")]
+    df = spark.createDataFrame(values, "kind string, value string")
+    got = {(r.kind, r.value): r.surrogate for r in pii.surrogates(df, b"k", rounds=4).collect()}
+    assert set(got) == set(values)
+    drawn = [s for s in got.values() if "*" not in s]
+    assert len(drawn) == len(set(drawn)) > 1000 and not set(drawn) & {v for _, v in values}
+    assert {s for s in got.values() if "*" in s} == {"+*****"} and pii.render("+1 23 45", "phone", "+*****") == "+* ** **"
