@@ -16,21 +16,20 @@ from pyspark.sql import functions as F
 from attestra.sources.shared import store
 
 
-def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataFrame:
-    """df with its rows numbered from 1 in ascending order; rows that agree in all of `order` are numbered anyhow."""
+def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank", total: str | None = None) -> DataFrame:
+    """df with its rows numbered from 1 in ascending order, and how many there are if a column is named for it.
+
+    Rows that agree in all of `order` are numbered anyhow.
+    """
     dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     dealt = store(dealt, "ranked")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    everything = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"), *([F.sum("_n").over(everything).alias(total)] if total else []))
     number = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     return dealt.withColumn("_number", number).join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_number")).drop("_part", "_number", "_before")
 
 
 def bucket_edges(n: int, k: int) -> list[float]:
     """The k - 1 inner quantiles of the ranks 1 to n, interpolated linearly."""
-    edges = []
-    for i in range(1, k):
-        at = i / k * (n - 1)
-        low = int(at)
-        edges.append(1 + low + (at - low))
-    return edges
+    return [1 + i / k * (n - 1) for i in range(1, k)]

@@ -329,19 +329,26 @@ class PairDisagreement(Constraint):
     def checked(self, tables: Tables) -> DataFrame:
         return self.pairs().checked(tables)
 
-    def counts(self, tables: Tables) -> DataFrame:
+    def group_counts(self, tables: Tables) -> DataFrame:
+        """A row for each group: its pairs (n_checked) and those that differ (n_violations).
+
+        Rows are dealt once by group and id; what meets by group alone are sums, so a hot group is small there.
+        """
         g, i, v = self.group_cols, self.id_col, self.value_col
         rows = nan_to_null(tables[self.table].select(*dict.fromkeys([*g, i, v])), [i, v]).where(F.col(i).isNotNull())
-        cells = rows.groupBy(*g, i, v).agg(F.count("*").alias("_n"))
         two = lambda n: n * (n - 1) / 2
-        # The pairs in a set of rows, less those of one id: once for each group, once for each value in it.
-        by_value = cells.groupBy(*g, v).agg(F.sum("_n").alias("_n"), F.sum(two(F.col("_n"))).alias("_own"))
-        by_id = cells.groupBy(*g, i).agg(F.sum("_n").alias("_n"))
-        everything = by_id.groupBy(*g).agg((two(F.sum("_n")) - F.sum(two(F.col("_n")))).alias("_pairs")).agg(F.sum("_pairs").alias("_pairs"))
-        agreeing = by_value.where(F.col(v).isNotNull()).agg(F.sum(two(F.col("_n")) - F.col("_own")).alias("_same"))
-        whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-        both = everything.select(whole(F.col("_pairs")).alias("p"), F.lit(0).cast("long").alias("s")).union(agreeing.select(F.lit(0).cast("long"), whole(F.col("_same"))))
-        return both.agg(F.sum("p").alias("n_checked"), (F.sum("p") - F.sum("s")).alias("n_violations"))
+        dealt = rows.repartition(*g, i).groupBy(*g, i, v).agg(F.count("*").alias("_n"))
+        # The pairs in a set of rows, less those of one id: in each group, and for each value in it.
+        by_id = dealt.groupBy(*g, i).agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col(v).isNotNull(), two(F.col("_n")))).alias("_own"))
+        by_value = dealt.groupBy(*g, v).agg(F.sum("_n").alias("_n"))
+        parts = by_id.select(*g, F.lit(0).alias("_n"), two(F.col("_n")).alias("_less"), (-F.coalesce("_own", F.lit(0))).alias("_same"))
+        parts = parts.union(by_value.select(*g, "_n", F.lit(0), F.when(F.col(v).isNotNull(), two(F.col("_n"))).otherwise(0)))
+        sums = parts.groupBy(*g).agg(*[F.sum(c).alias(c) for c in ("_n", "_less", "_same")])
+        pairs = two(F.col("_n")) - F.col("_less")
+        return sums.select(*g, pairs.cast("long").alias("n_checked"), (pairs - F.col("_same")).cast("long").alias("n_violations"))
+
+    def counts(self, tables: Tables) -> DataFrame:
+        return self.group_counts(tables).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_checked", "n_violations")])
 
 
 class MonotonicityConstraint(Constraint):

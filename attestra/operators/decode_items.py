@@ -85,6 +85,20 @@ def order_agreement_fd(items: DataFrame, g: Sequence[int], order: str = "order_i
     )
 
 
+def order_child_marginals(items: DataFrame, orders: DataFrame, g: Sequence[int], order: str = "order_id", lc: str = "log_child", lp: str = "log_parent") -> DataFrame:
+    """items with child_marginal: each child's probability, given that the order's items share one parent and fit it.
+
+    orders: what order_agreement_fd gives for the items. All zero where no joint values are coherent.
+    """
+    gs = _g(g)
+    own = f"transform({lp}, (x, c) -> x + {L.lse(f'filter({lc}, (y, s) -> element_at({gs}, s + 1) = c)')})"
+    rows = items.join(orders.select(order, "order_log_qc", "order_log_parent"), order).withColumn("_own", F.expr(own))
+    rest = f"zip_with(order_log_parent, _own, (t, x) -> CASE WHEN t > {L.NEG_INF} THEN t - x - order_log_qc END)"  # of the other items
+    p = f"coalesce(exp(y + element_at({lp}, greatest(element_at({gs}, s + 1), 0) + 1) + element_at(_rest, greatest(element_at({gs}, s + 1), 0) + 1)), 0D)"
+    rows = rows.withColumn("_rest", F.expr(rest)).withColumn("child_marginal", F.expr(f"transform({lc}, (y, s) -> CASE WHEN element_at({gs}, s + 1) < 0 THEN 0D ELSE {p} END)"))
+    return rows.select(*items.columns, "child_marginal")
+
+
 def best_child_of(parent: str, g: Sequence[int], lc: str = "log_child"):
     """The likeliest child class that belongs to a parent class."""
     return F.expr(L.arg_max(f"transform({lc}, (x, s) -> CASE WHEN element_at({_g(g)}, s + 1) = {parent} THEN x ELSE {L.NEG_INF} END)"))

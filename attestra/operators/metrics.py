@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.nulls import as_list, join_same
-from attestra.functions.ranks import bucket_edges, global_rank
+from attestra.functions.ranks import global_rank
 from attestra.operators.constraints import ViolationResult
 
 
@@ -36,13 +36,12 @@ def temporal_buckets(df: DataFrame, ts_col: str, tiebreak, n_bins: int = 4, out:
     Of equal times the tie-break decides. One row alone is in bucket 1.
     """
     known = df.where(F.col(ts_col).isNotNull())
-    ranked = global_rank(known, [ts_col, *as_list(tiebreak)], "_rank")
-    edges = bucket_edges(known.count(), n_bins)
+    ranked = global_rank(known, [ts_col, *as_list(tiebreak)], "_rank", "_total")
     bucket = F.lit(1)
-    for e in edges:
-        bucket = bucket + F.when(F.col("_rank") > e, 1).otherwise(0)
+    for k in range(1, n_bins):
+        bucket = bucket + F.when(F.col("_rank") > 1 + F.lit(k / n_bins) * (F.col("_total") - 1), 1).otherwise(0)
     missing = df.where(F.col(ts_col).isNull()).withColumn(out, F.lit(None).cast("int"))
-    return ranked.withColumn(out, bucket).drop("_rank").select(*df.columns, out).unionByName(missing)
+    return ranked.withColumn(out, bucket).select(*df.columns, out).unionByName(missing)
 
 
 def bucket_label(bucket: Column) -> Column:
@@ -141,9 +140,19 @@ class McNemar:
     p: float
 
 
+def discordant(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: a_only, b_only, the rows where just one of two boolean columns is true."""
+    return df.agg(F.count_if(F.col(a) & ~F.col(b)).alias("a_only"), F.count_if(~F.col(a) & F.col(b)).alias("b_only"))
+
+
+def top_counts(df: DataFrame, col: str, n: int = 5) -> DataFrame:
+    """The n commonest values with their counts; of equally common ones the least come first."""
+    return df.groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), col).limit(n)
+
+
 def mcnemar(df: DataFrame, a: str, b: str) -> McNemar:
     """McNemar's exact test of two boolean columns on the same rows."""
-    row = df.agg(F.count_if(F.col(a) & ~F.col(b)), F.count_if(~F.col(a) & F.col(b))).first()
+    row = discordant(df, a, b).first()
     return McNemar(row[0], row[1], binomial_two_sided(row[0], row[1]))
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import logs as L
@@ -14,36 +11,8 @@ from attestra.operators import decode_items as I
 from attestra.operators import decoding as D
 from attestra.operators import features as X
 from attestra.operators import metrics as M
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    return {n: table(spark, sf_dir, n) for n in names}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL can express it, its oracle."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def constraint(c: K.Constraint, names: tuple[str, ...], counts_sql: str) -> None:
-    """Register a constraint's counts; the SQL gives n_checked and n_violations."""
-    QUERIES[c.name] = lambda spark, sf_dir: c.check(tables(spark, sf_dir, *names)).counts
-    ORACLES[c.name] = counts_sql
-
+from attestra.plans import audit_queries  # noqa: F401  registers its own
+from attestra.plans.registry import ORACLES, QUERIES, constraint, query, table, tables  # noqa: F401
 
 # Referential integrity --------------------------------------------------------
 
@@ -113,8 +82,13 @@ _WEEK = """p AS (SELECT date_trunc('day', ts) AS day, event_id FROM events WHERE
 @query("window_events_7d", f"WITH {_WEEK} SELECT CAST(day AS DATE) AS day, n FROM w")
 def window_events_7d(spark, sf_dir):
     days = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"))
-    rows = _purchases(spark, sf_dir).withColumnRenamed("day", "at")
-    return X.windows_ahead(days, "day", rows, "at", 7, F.count("event_id").alias("n")).select(F.col("day").cast("date").alias("day"), "n")
+    return _week(days, _purchases(spark, sf_dir)).select(F.col("day").cast("date").alias("day"), "n")
+
+
+def _week(days, purchases):
+    """Purchases in the seven days after each; counted by day first, so days meet days."""
+    by_day = purchases.groupBy(F.col("day").alias("at")).agg(F.count("event_id").alias("n"))
+    return X.windows_ahead(days, "day", by_day, "at", 7, F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 @query(
@@ -126,7 +100,7 @@ def window_events_7d(spark, sf_dir):
 def card_purchases_bounds(spark, sf_dir):
     days = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"))
     rows = _purchases(spark, sf_dir)
-    w = X.windows_ahead(days, "day", rows.withColumnRenamed("day", "at"), "at", 7, F.count("event_id").alias("n"))
+    w = _week(days, rows)
     bounds = w.select("day", F.expr("CASE WHEN n = 0 THEN 0 END").alias("exact"), F.expr("CASE WHEN n > 0 THEN n div 7 END").alias("min"), F.expr("CASE WHEN n > 0 THEN n div 6 END").alias("max"))
     c = K.Cardinality("purchases", "rows", "day", universe_table="days", bounds_table="bounds")
     return c.check({"rows": rows, "days": days, "bounds": bounds}).counts
@@ -249,8 +223,9 @@ def bucket_orders(spark, sf_dir):
 )
 def flags_strata_orders(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    result = _DISAGREE.check(tables(spark, sf_dir, "lineitem"))
-    result = K.ViolationResult(result.name, result.kind, result.violations.select(F.col("l_orderkey").alias("o_orderkey")), result.counts)
+    groups = _DISAGREE.group_counts(tables(spark, sf_dir, "lineitem"))
+    violating = groups.where("n_violations > 0").select(F.col("l_orderkey").alias("o_orderkey"))
+    result = K.ViolationResult(_DISAGREE.name, _DISAGREE.kind, violating, groups.agg(F.sum("n_checked").alias("n_checked"), F.sum("n_violations").alias("n_violations")))
     flagged = M.instance_violation_flags(result, M.temporal_buckets(orders, "o_orderdate", "o_orderkey"), "o_orderkey")
     return M.stratified_rate(flagged, "violates", "bucket").withColumn("violation_rate", F.round("violation_rate", 6))
 
@@ -387,7 +362,13 @@ def ccd_temper(spark, sf_dir):
     return _cells(spark, sf_dir).select("vec_id", F.round(F.array_max(D.temper("log_parent", 2.0)), 6).alias("top"))
 
 
-@query("ccd_cardinality")
+@query(
+    "ccd_cardinality",
+    """WITH p AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: 1 / (1 + exp(-4 * x::DOUBLE))) AS p FROM embeddings WHERE len(embedding) >= 8),
+       s AS (SELECT unnest(range(256)) AS s), b AS (SELECT list_transform(range(8), lambda k: (s >> k) & 1) AS b FROM s),
+       j AS (SELECT vec_id, array_to_string(b, '') AS map, list_product(list_transform(range(1, 9), lambda k: CASE WHEN b[k] = 1 THEN p[k] ELSE 1 - p[k] END)) AS m FROM p, b WHERE list_sum(b) BETWEEN 2 AND 4)
+       SELECT vec_id, round(ln(sum(m)), 6) AS log_qc, arg_max(map, m) AS map FROM j GROUP BY 1""",
+)
 def ccd_cardinality(spark, sf_dir):
     """Conditioned numbers of positives among the first eight entries of each vector: two to four of them."""
     e = table(spark, sf_dir, "embeddings").where("size(embedding) >= 8")

@@ -263,3 +263,97 @@ def test_stream_checks(spark, tmp_path):
     q = violating_rows(stream, {"big": "a > 3", "odd": "a % 2 = 1"}).writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.a, r.violated) for r in spark.table("found").collect()) == [(1, "odd"), (5, "big"), (5, "odd")]
+
+
+def test_pair_disagreement_by_group(spark):
+    """Groups' counts against all pairs, with repeated ids, missing ids and values, and a hot group."""
+    rng = random.Random(17)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([*range(12), None]), rng.choice(["a", "b", None])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "g int, i int, v string")
+    expected = {}
+    for (g, i, v), (h, j, w) in ((a, b) for a in rows for b in rows):
+        if g == h and i is not None and j is not None and i < j:
+            n, bad = expected.get(g, (0, 0))
+            expected[g] = n + 1, bad + (v is None or w is None or v != w)
+    found = {r.g: (r.n_checked, r.n_violations) for r in K.PairDisagreement("p", "t", "g", "i", "v").group_counts({"t": df}).collect()}
+    assert {g: c for g, c in found.items() if c[0]} == expected
+
+
+def test_child_marginals_of_an_order(spark):
+    """Against enumeration over all joint values of two items that share a parent."""
+    rng, g = np.random.default_rng(11), [0, 1, 1, -1]
+    q = lambda n: rng.dirichlet(np.ones(n))
+    children, parents = [q(4), q(4)], [q(2), q(2)]
+    log = lambda x: [float(y) for y in np.log(x)]
+    items = spark.createDataFrame([(1, k, log(children[k]), log(parents[k])) for k in range(2)], "order_id int, item int, log_child array<double>, log_parent array<double>")
+    mass, marginals = 0.0, np.zeros((2, 4))
+    for a in range(4):
+        for b in range(4):
+            if g[a] == g[b] >= 0:
+                p = children[0][a] * children[1][b] * parents[0][g[a]] * parents[1][g[b]]
+                mass += p
+                marginals[0][a] += p
+                marginals[1][b] += p
+    out = I.order_child_marginals(items, I.order_agreement_fd(items, g), g)
+    for r in out.collect():
+        assert r.child_marginal == pytest.approx(list(marginals[r.item] / mass))
+
+
+def test_reports_runs_and_failed_tasks(spark):
+    good = spark.createDataFrame([(1, "a", "a"), (2, "b", "a"), (None, "c", "c")], "k int, y_true string, y_pred string")
+    other = spark.createDataFrame([(2, "b", "b"), (3, "b", "b"), (None, "c", None)], "k int, y_true string, y_pred string")
+    assert tuple(audit.compare_runs(good, other, "k").first()) == (2, 2, 1, 1)
+    done, failed = audit.run_tasks({"good": lambda: good, "bad": lambda: good.select("nothing")})
+    assert set(done) == {"good"} and "nothing" in failed["bad"]
+    summary = spark.createDataFrame([("x", "denial", 4, 1, 0.25), ("y", "denial", 2, 0, 0.0)], "name string, kind string, n_checked int, n_violations int, violation_rate double")
+    text = audit.tier_report("Audit", summary, ["y"], {"data": "a table"}, ["small"])
+    assert text.index("| x ") < text.index("## Conventions") < text.index("| y ") and "- data: a table" in text and "- small" in text
+
+
+def test_evaluation_reports_and_significance(spark):
+    """Decoders on items with a known answer: conditioning mends what the parent alone gets wrong."""
+    rng, g = np.random.default_rng(5), [0, 0, 1, 1]
+    rows = []
+    for k in range(80):
+        child = int(rng.integers(4))
+        lc, lp = np.full(4, 0.1), np.array([0.45, 0.45])
+        lc[child] = 0.7
+        lp[g[child]] += 0.1 if k % 3 else -0.1
+        rows.append((k // 2, [float(x) for x in np.log(lc)], [float(x) for x in np.log(lp / lp.sum())], child, g[child]))
+    items = spark.createDataFrame(rows, "order_id int, log_child array<double>, log_parent array<double>, true_child int, true_parent int")
+    found = I.evaluate(items, g, calibrate=True)
+    table = {r.method: r for r in found.item_table().collect()}
+    wrong = sum(k % 3 == 0 for k in range(80))
+    assert table["raw"].n_violations == wrong and table["conditioned"].n_violations == 0
+    assert table["raw"].exact_match == pytest.approx(1 - wrong / 80) and table["conditioned"].exact_match == 1
+    assert all(f["t_child"] > 0 and f["log_delta_item"] == -math.inf for f in found.folds)
+    tests = found.significance(n_boot=200)
+    first = next(t for t in tests if t["comparison"] == "conditioned vs raw")
+    assert (first["a_only"], first["b_only"]) == (wrong, 0) and first["ci_low"] <= first["difference"] == pytest.approx(wrong / 80)
+    report = audit.decoding_report(found, tests)
+    assert set(report) == {"items.csv", "orders.csv", "report.json", "report.md"} and report["items.csv"].startswith("method,") and "conditioned vs raw" in report["report.md"]
+
+
+def test_losses_strengths_and_mappings(spark):
+    """Closed forms against their definitions: joint loss, soft marginals, the strength's fit, mappings and class indices."""
+    df = spark.createDataFrame([(2.0, False, math.log(0.4)), (3.0, True, math.log(0.4)), (2.5, False, math.log(0.9))], "nll double, v boolean, log_qc double")
+    soft = [r[0] for r in df.select(D.joint_nll("nll", "v", "log_qc", math.log(0.5))).collect()]
+    assert soft == pytest.approx([2 + math.log(0.4 + 0.5 * 0.6), 3 + math.log(0.7) - math.log(0.5), 2.5 + math.log(0.95)])
+    assert [r[0] for r in df.select(D.joint_nll("nll", "v", "log_qc", -math.inf)).collect()] == pytest.approx([2 + math.log(0.4), math.inf, 2.5 + math.log(0.9)])
+    t = D.fit_log_strength(df, "v", "log_qc")
+    share = lambda t: sum(math.exp(t) * (1 - q) / (q + math.exp(t) * (1 - q)) for q in (0.4, 0.4, 0.9)) / 3
+    assert share(t) == pytest.approx(1 / 3, abs=1e-6)
+    best = D.strength_objective(df, "v", "log_qc", [t - 0.1, t, t + 0.1])
+    assert best[1] == min(best)
+    one = spark.createDataFrame([([0.2, 0.8], [0.0, 1.0], 0.8)], "raw array<double>, hard array<double>, qc double")
+    assert one.select(D.soft_marginal("raw", "hard", "qc", "0.5D")).first()[0] == pytest.approx([0.1 / 0.9, 0.8 / 0.9])
+    pairs = spark.createDataFrame([("s", "p"), ("s", "p"), ("s", "q"), ("t", "q"), (None, "q")], "c string, p string")
+    learned = {r.c: (r.p, r.n, r.share) for r in I.learn_mapping(pairs, "c", "p").collect()}
+    assert learned == {"s": ("p", 2, pytest.approx(2 / 3)), "t": ("q", 1, 1.0)}
+    assert I.child_to_parent(pairs.groupBy("c").agg(F.min("p").alias("p")), "c", "p", ["t", "s", "u"], ["p", "q"]) == [1, 0, -1]
+    assert [r.k for r in I.class_index(pairs, "p", ["q", "p"], "k").collect()] == [1, 1, 0, 0, 0]
+    cells = spark.createDataFrame([([math.log(0.7), math.log(0.3)], [math.log(0.4), math.log(0.6)])], "log_child array<double>, log_parent array<double>")
+    fixed = I.greedy_repair(cells.selectExpr("*", "0 AS c", "1 AS p"), [0, 1], "c", "p").first()
+    assert (fixed.greedy_child, fixed.greedy_parent) == (0, 0)  # the parent is less sure
+    near = I.hamming_repair(cells.selectExpr("*", "1 AS c", "0 AS p"), [0, 1], "c", "p").first()
+    assert (near.hamming_child, near.hamming_parent) == (1, 1)
