@@ -31,7 +31,10 @@ is for training, N and V are zero and all words are unknown. Other columns don't
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
+from collections.abc import Collection
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +63,19 @@ _BLOCK_ROWS, _TREE = 1 << 14, 32
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def word_hash(word: bytes) -> int:
-    """32 bits of the word's hash and 8 of its ending's; for features and classes, not for counts."""
-    return (xxhash.xxh32_intdigest(word) << 32) | (xxhash.xxh32_intdigest(word[-2:]) & ENDING)
+class _Endings(dict):
+    def __missing__(self, ending: bytes) -> int:
+        self[ending] = out = xxhash.xxh32_intdigest(ending) & ENDING
+        return out
+
+
+_ENDINGS = _Endings()
+
+
+def word_hashes(words: Collection[bytes]) -> np.ndarray:
+    """32 bits of each word's hash and 8 of its ending's; for features and classes, not for counts."""
+    own = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint64, len(words))
+    return own << np.uint64(32) | np.fromiter((_ENDINGS[w[-2:]] for w in words), np.uint64, len(words))
 
 
 def held_out(doc_id) -> bool:
@@ -97,6 +110,11 @@ def _open(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
+def _open_tokens(data: bytes) -> np.ndarray:
+    low, high = _open(data, "<u2").reshape(2, -1)
+    return low | high.astype(np.uint32) << 16
+
+
 def _squeeze_hashes(hashes: np.ndarray) -> bytes:
     return _squeeze(np.frombuffer((hashes >> np.uint64(32)).astype("<u4").tobytes() + hashes.astype(np.uint8).tobytes(), np.uint8))
 
@@ -114,23 +132,23 @@ _BATCH = "batch bigint, ids array<{}>, held binary, sizes binary, tokens binary,
 
 class _Batch:
     def __init__(self):
-        self.known: dict[bytes, int] = {b"": 0}  # the end is word 0; no word is empty
+        self.known: dict[bytes, int] = defaultdict(count().__next__)  # each new word gets the next number
+        self.known[b""]  # the end is word 0; no word is empty
         self.ids, self.held, self.tokens, self.size = [], [], [], 0
 
     def add(self, doc_id, text: str | None) -> None:
-        known = self.known
-        add = known.setdefault
         words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        words.append(b"")
         self.ids.append(doc_id)
         self.held.append(held_out(doc_id))
-        self.tokens.append(np.array([*[add(w, len(known)) for w in words], 0], np.uint32))
+        self.tokens.append(np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words)))
         self.size += len(text or "") + 1
 
     def row(self, number: int):
         tokens, sizes, held = np.concatenate(self.tokens), np.array([len(t) for t in self.tokens], np.uint32), np.array(self.held)
-        hashes = np.fromiter(map(word_hash, self.known), np.uint64, len(self.known))
+        hashes = word_hashes(self.known)
         counts = np.bincount(tokens[~np.repeat(held, sizes)], minlength=len(hashes))
-        return number, self.ids, held.tobytes(), _squeeze(sizes), _squeeze(tokens), _squeeze_hashes(hashes), list(self.known), counts
+        return number, self.ids, held.tobytes(), _squeeze(sizes), _squeeze(np.stack([tokens & 0xFFFF, tokens >> 16]).astype("<u2")), _squeeze_hashes(hashes), list(self.known), counts
 
 
 def batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -216,7 +234,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             words = batch.column(0).to_pylist()
             c = batch.column(1).to_numpy()
             end = np.array([not w for w in words], bool)
-            leaf = leaves(word_classes(c, np.fromiter(map(word_hash, words), np.uint64, len(words)), end))
+            leaf = leaves(word_classes(c, word_hashes(words), end))
             kinds, place = np.unique(leaf, return_inverse=True)
             columns = [np.bincount(place, weights=w, minlength=len(kinds)).astype(np.int64) for w in (c, np.ones(len(c)), c == 2)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kinds, *columns)], ["leaf", "n", "v", "twice"])
@@ -236,10 +254,12 @@ def table_bits(tokens: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, (tokens // TOKENS_A_ROW).bit_length()))
 
 
-def histories(hashes: np.ndarray, tokens: np.ndarray, starts: np.ndarray, low: int, high: int) -> np.ndarray:
-    """(features, n) hashes of the histories of the tokens from low to high; before a text's first word stands nothing."""
-    at = np.arange(low, high)
-    place = at - starts[np.searchsorted(starts, at, "right") - 1]
+def histories(hashes: np.ndarray, tokens: np.ndarray, places: np.ndarray, low: int, high: int) -> np.ndarray:
+    """(features, n) hashes of the histories of the tokens from low to high; before a text's first word stands nothing.
+
+    places: each token's place in its text.
+    """
+    at, place = np.arange(low, high), places[low:high]
     one = np.where(place < 1, np.uint64(1), hashes[tokens[at - 1]])
     two = np.where(place < 2, np.uint64(1), hashes[tokens[at - 2]])
     ends = (one & np.uint64(ENDING)) << np.uint64(16) | (two & np.uint64(ENDING))
@@ -247,12 +267,16 @@ def histories(hashes: np.ndarray, tokens: np.ndarray, starts: np.ndarray, low: i
     return out ^ out >> np.uint64(29)
 
 
+def _places(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def level_rows(history: np.ndarray, classes: np.ndarray, bits: int):
     """For each softmax: which tokens have it, (features, n) rows of the table, and the classes chosen."""
     node = np.full(len(classes), _MIX[3])
     inner = (classes[:, 0] > 0) & (classes[:, 0] < CLASSES - 1)
     for k in range(LEVELS):
-        which = np.flatnonzero(inner) if k else np.arange(len(classes))
+        which = np.flatnonzero(inner) if k else slice(None)
         rows = ((history[:, which] + node[which]) * _MIX[0] >> np.uint64(64 - bits)).astype(np.int64)
         rows[:WHOLE_WORDS] = (rows[:WHOLE_WORDS] * 3 >> 2) + (1 << bits - 2)
         rows[WHOLE_WORDS:] >>= 2
@@ -283,42 +307,43 @@ def learn(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, own: np.nd
     g[np.arange(len(g)), own] -= 1
 
     def move(at: np.ndarray, by: np.ndarray) -> None:
-        squares[at] += np.einsum("ij,ij->i", by, by) / CLASSES
-        by *= (np.float32(RATE) / np.sqrt(squares[at] + np.float32(1e-8)))[:, None]
-        weights[at] -= by
+        now = squares.take(at) + np.einsum("ij,ij->i", by, by) / np.float32(CLASSES)
+        squares[at] = now
+        by *= (np.float32(RATE) / np.sqrt(now + np.float32(1e-8)))[:, None]
+        weights[at] = np.subtract(weights.take(at, axis=0), by, out=by)
 
     for r in rows:
         packed = np.sort(r << _PLACE | np.arange(len(r)))
         row, order = packed >> _PLACE, packed & (1 << _PLACE) - 1
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        alone = np.diff(np.r_[first, len(row)]) == 1
-        move(row[first[alone]], g[order[first[alone]]])
-        if not alone.all():  # gradients of the same row are added up first
-            many = np.ones(len(row), bool)
-            many[first[alone]] = False
-            row, order = row[many], order[many]
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            move(row[first], np.add.reduceat(g[order], first, axis=0))
+        new = np.empty(len(row) + 1, bool)
+        new[0] = new[-1] = True
+        np.not_equal(row[1:], row[:-1], out=new[1:-1])
+        alone = new[1:] & new[:-1]
+        move(row[alone], g.take(order[alone], axis=0))
+        many = ~alone
+        if many.any():  # gradients of the same row are added up first
+            first = np.flatnonzero(new[:-1][many])
+            move(row[many][first], np.add.reduceat(g.take(order[many], axis=0), first, axis=0))
 
 
 def _read(batch, names):
     get = lambda n: batch.column(names.index(n))
     for k in range(batch.num_rows):
         held, sizes = np.frombuffer(get("held")[k].as_py(), bool), _open(get("sizes")[k].as_py(), np.uint32).astype(np.int64)
-        tokens, hashes, counts = _open(get("tokens")[k].as_py(), np.uint32), _open_hashes(get("hashes")[k].as_py()), _open(get("counts")[k].as_py(), np.uint64).astype(np.int64)
+        tokens, hashes, counts = _open_tokens(get("tokens")[k].as_py()), _open_hashes(get("hashes")[k].as_py()), _open(get("counts")[k].as_py(), np.uint64).astype(np.int64)
         yield get("ids")[k], held, sizes, tokens, hashes, counts
 
 
 def learn_batch(weights: np.ndarray, squares: np.ndarray, held, sizes, tokens, hashes, counts) -> None:
     """All gradient steps over the training texts of a batch."""
     bits = len(weights).bit_length() - 1
-    starts, train = np.cumsum(sizes) - sizes, ~np.repeat(held, sizes)
+    places, train = _places(sizes), ~np.repeat(held, sizes)
     classes = word_classes(counts - 1, hashes)
     for low in range(0, len(tokens), STEP):
         high = min(low + STEP, len(tokens))
         taken = np.flatnonzero(train[low:high])
         if len(taken):
-            history = histories(hashes, tokens, starts, low, high)[:, taken]
+            history = histories(hashes, tokens, places, low, high)[:, taken]
             for _, rows, own in level_rows(history, classes[tokens[low:high][taken]], bits):
                 if len(own):
                     learn(weights, squares, rows, own)
@@ -389,13 +414,14 @@ def train(counted: DataFrame, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
 def score_batch(weights: np.ndarray, facts: Vocabulary, sizes, tokens, hashes, counts) -> np.ndarray:
     """The model's log10 probability of each token."""
     bits = len(weights).bit_length() - 1
-    starts, classes = np.cumsum(sizes) - sizes, word_classes(counts, hashes)
+    places, classes = _places(sizes), word_classes(counts, hashes)
     out = facts.within(counts, classes)[tokens]
     for low in range(0, len(tokens), STEP):
         high = min(low + STEP, len(tokens))
-        history = histories(hashes, tokens, starts, low, high)
+        history = histories(hashes, tokens, places, low, high)
+        here = out[low:high]
         for which, rows, own in level_rows(history, classes[tokens[low:high]], bits):
-            out[low + which] += logs(weights, rows, own) / np.log(10)
+            here[which] += logs(weights, rows, own) / np.log(10)
     return out
 
 

@@ -195,7 +195,7 @@ def test_score_of_given_weights():
     rng = np.random.default_rng(0)
     weights = rng.normal(size=(1 << 8, maxent_lm.CLASSES)).astype(np.float32)
     words = [b"", b"the", b"cat", b"sat", b"rare", b"new"]
-    hashes = np.array([maxent_lm.word_hash(w) for w in words], np.uint64)
+    hashes = maxent_lm.word_hashes(words)
     counts, texts = np.array([3, 5, 2, 4, 1, 0]), [[1, 2, 3, 0], [0], [4, 1, 5, 1, 0]]
     tokens, sizes = np.concatenate(texts).astype(np.uint32), np.array([len(t) for t in texts])
     classes = maxent_lm.word_classes(counts, hashes)
