@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only where the session names no folder, as in local tests.
+#: Only where one machine does everything and the session names no folder, as in local tests.
 OWN_FOLDER = "/tmp/attestra-checkpoints"
+#: The paths stored within each scratch() that is open.
+_OPEN: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Without one a local session gets one of its own; a cluster can't."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(OWN_FOLDER)
         found = context.getCheckpointDir().get()
     return found.rstrip("/")
@@ -22,6 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: what is read no longer hangs on executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if _OPEN:
+        _OPEN[-1].append((spark, path))
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a stored table that nothing reads any more."""
+    if path := getattr(df, "_stored_at", None):
+        remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is stored within is removed at the end: for results that have been written or collected by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _OPEN.pop():
+            remove(spark, path)

@@ -357,3 +357,16 @@ def test_losses_strengths_and_mappings(spark):
     assert (fixed.greedy_child, fixed.greedy_parent) == (0, 0)  # the parent is less sure
     near = I.hamming_repair(cells.selectExpr("*", "1 AS c", "0 AS p"), [0, 1], "c", "p").first()
     assert (near.hamming_child, near.hamming_parent) == (1, 1)
+
+
+def test_scratch_removes_what_it_stored(spark):
+    from pathlib import Path
+
+    from attestra.sources.shared import scratch, shared_dir, store
+
+    with scratch():
+        kept = store(spark.range(5), "numbers")
+        assert kept.count() == 5
+        path = kept._stored_at.removeprefix("file:")
+        assert path.startswith(shared_dir(spark).removeprefix("file:")) and Path(path).exists()
+    assert not Path(path).exists()
