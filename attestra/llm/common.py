@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.sources.shared import discard, scratch, shared_dir, store  # noqa: F401  the operators' own use
+
 #: White space that separates words: the ASCII blank and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
 _BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -30,37 +30,6 @@ def word_chars(text: Column) -> Column:
     return F.length(without(F.coalesce(text, F.lit("")), _BLANKS)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only if none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jsc.isEmpty():
-            spark.sparkContext.setCheckpointDir("/tmp/attestra-checkpoints")
-            jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jsc.get()
-    return found.rstrip("/")
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._stored_at = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a stored table that nothing reads any more."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
