@@ -29,6 +29,12 @@ def log_softmax(array: str) -> str:
     return f"transform({array}, z -> z - {lse(array)})"
 
 
+def log_softmax_binary(logit: str) -> str:
+    """[log P(0), log P(1)] of a single logit, exact for large ones."""
+    log_sigmoid = lambda z: f"(least({z}, 0D) - log1p(exp(-abs({z}))))"
+    return f"array({log_sigmoid(f'(-({logit}))')}, {log_sigmoid(f'({logit})')})"
+
+
 def temper(log_q: str, temperature: str) -> str:
     """Log probabilities at a temperature, normalised anew."""
     scaled = f"transform({log_q}, l -> l / {temperature})"

@@ -72,6 +72,30 @@ def windows_ahead(dates: DataFrame, date_col: str, rows: DataFrame, row_date: st
     return everything.groupBy(F.col("_d").alias(date_col)).agg(*aggregates)
 
 
+def aligned(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """df with other's columns by a key that both hold once each; a key of df that other lacks, or that either repeats, fails the job."""
+    alone = df.groupBy(key).agg(F.count("*").alias("_n"))
+    repeated = alone.where("_n > 1").select(key, F.lit(True).alias("_repeated"))
+    out = join_same(lookup(df, other, key, required=True), repeated, [key])
+    return _guard(out, F.col("_repeated").isNotNull(), f"more than one row for a {key}").drop("_repeated")
+
+
+def sample_rows(df: DataFrame, n: int, keys, seed: int = 0) -> DataFrame:
+    """n rows by the least hashes of their keys: the same ones however the table is dealt out."""
+    keys = as_list(keys)
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+def flag_errors(df: DataFrame, truth: str, predicted: str, out: str = "error") -> DataFrame:
+    """df with 1.0 where truth and prediction differ; where either is missing they do."""
+    return df.withColumn(out, (~F.coalesce(F.col(truth) == F.col(predicted), F.lit(False))).cast("double"))
+
+
+def thresholded(df: DataFrame, score: str, out: str, threshold: float = 0.5) -> DataFrame:
+    """df with a score as 0 or 1; a missing score stays missing."""
+    return df.withColumn(out, (F.col(score) >= threshold).cast("int"))
+
+
 def majority(df: DataFrame, key: str, value: str) -> DataFrame:
     """The commonest value of each key with its support n and share; of equally common ones the least. Missing ones don't count."""
     counts = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))

@@ -85,6 +85,13 @@ def run_tasks(tasks: Mapping[str, Callable[[], DataFrame]]) -> tuple[dict[str, D
     return done, failed
 
 
+def write_failed(failed: Mapping[str, str], spark, folder: str) -> str | None:
+    """A CSV of the failed tasks, if any failed."""
+    if not failed:
+        return None
+    return write_csv(spark.createDataFrame(sorted(failed.items()), "task string, error string"), folder, "failed tasks")
+
+
 def compare_runs(a: DataFrame, b: DataFrame, keys) -> DataFrame:
     """Two runs of one task on their common keys: n, n_changed, a_right, b_right. Runs: the keys, y_true, y_pred."""
     keys = as_list(keys)

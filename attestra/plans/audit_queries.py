@@ -306,6 +306,40 @@ def top_types(spark, sf_dir):
     return M.top_counts(table(spark, sf_dir, "part"), "p_type", 5)
 
 
+_RANKED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1"
+
+
+@query(
+    "races_of_sessions",
+    f"""WITH s AS ({_RANKED}) SELECT p.o_orderstatus, count(*) AS n, count(s.o_orderkey) AS n_found, CAST(sum(s.o_orderkey) AS BIGINT) AS total
+        FROM orders p LEFT JOIN (SELECT * FROM s WHERE o_orderkey % 3 = 0) s ON s.o_custkey = p.o_custkey AND s.o_orderdate = p.o_orderdate GROUP BY 1""",
+)
+def races_of_sessions(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("driverId"), F.col("o_orderdate").alias("date"), "o_orderstatus")
+    sessions = orders.groupBy("driverId", "date").agg(F.min("o_orderkey").alias("raceId")).where("raceId % 3 = 0")
+    out = specs.with_race_id(orders.select("driverId", "date", "o_orderstatus"), sessions, "driverId")
+    return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("raceId").alias("n_found"), F.sum("raceId").cast("long").alias("total"))
+
+
+@query(
+    "errors_and_thresholds",
+    """SELECT event_type, CAST(sum(CASE WHEN coalesce(event_type = 'click', false) THEN 0 ELSE 1 END) AS DOUBLE) AS errors, CAST(sum((value >= 40)::INT) AS BIGINT) AS above,
+              round(avg(-ln(1 + exp(-(value - 50) / 10))), 6) AS log_p FROM events GROUP BY 1""",
+)
+def errors_and_thresholds(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("y_true", F.lit("click"))
+    out = X.thresholded(X.flag_errors(events, "y_true", "event_type"), "value", "above", 40.0)
+    log_p = F.expr(f"element_at({L.log_softmax_binary('((value - 50) / 10)')}, 2)")
+    return out.groupBy("event_type").agg(F.sum("error").alias("errors"), F.sum("above").cast("long").alias("above"), F.round(F.avg(log_p), 6).alias("log_p"))
+
+
+@query("aligned_totals", "SELECT count(*) AS n, CAST(sum(c_nationkey) AS BIGINT) AS nations FROM customer")
+def aligned_totals(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    out = X.aligned(customer.select("c_custkey", "c_name"), customer.select("c_custkey", "c_nationkey"), "c_custkey")
+    return out.agg(F.count("*").alias("n"), F.sum("c_nationkey").cast("long").alias("nations"))
+
+
 # Decoders ---------------------------------------------------------------------------------
 
 _G = [0, 0, 1, 1, 2, 2, 3, 3, 4, -1]

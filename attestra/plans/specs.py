@@ -66,6 +66,11 @@ def positions_without_duplicates(name: str = "qualifying_position_no_duplicates_
     return K.Cardinality(name, "predictions", ["raceId", "position_pred"], max=1)
 
 
+def with_race_id(predictions: DataFrame, sessions: DataFrame, entity_col: str) -> DataFrame:
+    """predictions with the race of their entity's session on that date, null where there is none."""
+    return X.lookup(predictions, sessions.select(entity_col, "date", "raceId"), [entity_col, "date"])
+
+
 def rounded(df: DataFrame, col: str) -> DataFrame:
     """Predictions as whole numbers, halves to even."""
     return df.withColumn(col, F.bround(col, 0))

@@ -11,7 +11,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, NumericType, StructType
 
 from attestra.functions.nulls import nan_to_null
 
@@ -38,6 +38,34 @@ def read_predictions(spark: SparkSession, folder: str, task: str, entity_col: st
     return nan_to_null(df.select(*expected))
 
 
+def read_split(spark: SparkSession, folder: str, task: str, split: str) -> DataFrame:
+    """One split (train, val or test) of a task's instances with their true labels; NaN is missing."""
+    return nan_to_null(spark.read.parquet(f"{folder}/{task}/{split}.parquet"))
+
+
+def read_labelled(df: DataFrame, target: str, positive: str, out: str = "label") -> DataFrame:
+    """Numeric features whose negative codes stand for missing values, and the target as 0 or 1 (null if missing)."""
+    numeric = [f.name for f in df.schema if f.name != target and isinstance(f.dataType, NumericType)]
+    known = df.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in numeric})
+    return known.withColumn(out, (F.col(target) == positive).cast("int")).drop(*([target] if out != target else []))
+
+
+def read_log_probabilities(spark: SparkSession, folder: str, task: str, key: str, classes: Sequence[str]) -> DataFrame:
+    """(key, log_q as doubles) of a task's stored log probabilities; rows with another number of classes fail the job."""
+    path = f"{folder}/{task}_log_proba.parquet"
+    df = spark.read.parquet(path)
+    missing = [c for c in (key, "log_proba") if c not in df.columns]
+    if missing or not isinstance(df.schema["log_proba"].dataType, ArrayType):
+        raise ValueError(f"{path} needs {key} and log_proba, an array of numbers")
+    wrong = F.size("log_proba") != len(classes)
+    checked = df.where(F.when(wrong, F.raise_error(F.lit(f"{path} holds rows without {len(classes)} classes")).cast("boolean")).otherwise(F.lit(True)))
+    return checked.select(key, F.col("log_proba").cast("array<double>").alias("log_q"))
+
+
+def write_log_probabilities(df: DataFrame, folder: str, task: str, key: str, log_q: str = "log_q") -> None:
+    df.select(key, F.col(log_q).cast("array<float>").alias("log_proba")).write.mode("overwrite").parquet(f"{folder}/{task}_log_proba.parquet")
+
+
 def read_nanosecond_times(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Times read as whole nanoseconds (spark.sql.legacy.parquet.nanosAsLong) as timestamps."""
     return df.withColumns({c: F.timestamp_micros(F.expr(f"{c} div 1000")).cast("timestamp_ntz") for c in cols})

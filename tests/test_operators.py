@@ -370,3 +370,28 @@ def test_scratch_removes_what_it_stored(spark):
         path = kept._stored_at.removeprefix("file:")
         assert path.startswith(shared_dir(spark).removeprefix("file:")) and Path(path).exists()
     assert not Path(path).exists()
+
+
+def test_splits_log_probabilities_samples(spark, tmp_path):
+    from attestra.sources import tables as T
+
+    rows = frame(spark, "ID long, log_q array<double>", (1, [-0.5, -1.0]), (2, [-2.0, -0.1]))
+    T.write_log_probabilities(rows, str(tmp_path), "plant", "ID")
+    back = T.read_log_probabilities(spark, str(tmp_path), "plant", "ID", ["a", "b"])
+    assert {r.ID: r.log_q for r in back.collect()} == {1: pytest.approx([-0.5, -1.0]), 2: pytest.approx([-2.0, -0.1])}
+    with pytest.raises(Exception, match="3 classes"):
+        T.read_log_probabilities(spark, str(tmp_path), "plant", "ID", ["a", "b", "c"]).collect()
+    rows.write.parquet(f"{tmp_path}/bad_log_proba.parquet")
+    with pytest.raises(ValueError, match="log_proba"):
+        T.read_log_probabilities(spark, str(tmp_path), "bad", "ID", ["a", "b"])
+    rows.write.parquet(f"{tmp_path}/task/test.parquet")
+    assert T.read_split(spark, str(tmp_path), "task", "test").count() == 2
+    credit = frame(spark, "age int, score double, risk string", (30, -9.0, "Good"), (-7, 0.0, "Bad"), (1, 2.0, None))
+    assert sorted(map(tuple, T.read_labelled(credit, "risk", "Good").collect()), key=repr) == sorted([(30, None, 1), (None, 0.0, 0), (1, 2.0, None)], key=repr)
+    many = spark.range(200)
+    taken = {r.id for r in X.sample_rows(many, 20, "id", 3).collect()}
+    assert len(taken) == 20 and taken == {r.id for r in X.sample_rows(many.repartition(7), 20, "id", 3).collect()} != {r.id for r in X.sample_rows(many, 20, "id", 4).collect()}
+    twice = frame(spark, "k int, v int", (1, 1), (1, 2))
+    with pytest.raises(Exception, match="more than one row"):
+        X.aligned(twice, frame(spark, "k int, w int", (1, 5)), "k").collect()
+    assert audit.write_failed({}, spark, str(tmp_path)) is None and audit.write_failed({"t": "wrong"}, spark, str(tmp_path)).endswith("failed_tasks")
