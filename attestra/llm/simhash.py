@@ -17,8 +17,8 @@ bands of ROWS minima over the set, which misses a pair of similarity 0.8 with a
 100,000; each candidate's similarity is then computed from the whole sets. Equal sets are
 one from the start. Up to PAIRS sets that share a band are all compared. More of them are linked by
 rounds of leaders: all are compared with the least, and those not similar to it go on.
-What two rounds leave is dealt out by a second shared band, and goes through rounds until none is
-left; a pair of similarity 0.8 shares two bands but for a chance of 4 in 10,000. So the work
+What two rounds leave is dealt out by a second shared band, and goes through rounds of twice as many
+leaders each until none is left; a pair of similarity 0.8 shares two bands but for a chance of 4 in 10,000. So the work
 stays in proportion to the sets, and a link is lost only if in each of the bands that its
 texts share (8 of 20 on average) one of them has left with a leader that the other isn't similar to.
 
@@ -145,27 +145,33 @@ def similar(docs: DataFrame, text_col: str, shingle: int, similarity: float) ->
         few = groups.where(F.col("n") <= PAIRS).select("s", "key")
         return few.join(few.withColumnRenamed("s", "t"), "key").where("s < t").select("s", "t")
 
-    def by_leaders(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """A round: the links to the least of each group, and what isn't linked to it."""
-        groups = left.groupBy("key").agg(F.min("s").alias("t"), F.count("*").alias("n"))
-        led = C.store(C.salted_join(left, groups.select("key", "t"), "key", "s", groups).where("s <> t"), "led")
+    def by_leaders(left: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
+        """A round: the links to so many least ones of each group, and what isn't linked to any of them."""
+        place = F.row_number().over(W.partitionBy("key").orderBy("s"))
+        leaders = C.store(left.withColumn("place", place).where(F.col("place") <= many).select("key", F.col("s").alias("t")), "leaders")
+        led = C.store(C.salted_join(left, leaders, "key", "s", left.groupBy("key").agg(F.count("*").alias("n"))).where("t < s"), "led")
         found = verified(led.select("s", "t"))
-        return found, C.store(led.join(found, ["s", "t"], "left_anti").select("s", "key"), "left")
+        gone = led.join(found, ["s", "t"], "left_semi").select("s", "key").union(leaders.select(F.col("t").alias("s"), "key"))
+        rest = C.store(left.join(gone, ["s", "key"], "left_anti"), "left")
+        C.discard(led)
+        return found, rest
 
     links_ = [verified(all_pairs(shared))]
     left = shared.where(F.col("n") > PAIRS).select("s", "key")
     for _ in range(2):
         if left.take(1):
-            found, left = by_leaders(left)
+            found, left = by_leaders(left, 1)
             links_.append(found)
     if left.take(1):
         second = left.join(keyed.select("s", F.col("key").alias("second")), "s").where("key <> second")
         finer = _shared(second.select("s", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")).distinct())
         links_.append(verified(all_pairs(finer)))
         left = finer.where(F.col("n") > PAIRS).select("s", "key")
-        while left.take(1):  # each round takes one from each group at least
-            found, left = by_leaders(left)
+        many = 2
+        while left.take(1):  # twice as many leaders each time, so the rounds are few
+            found, left = by_leaders(left, many)
             links_.append(found)
+            many = min(2 * many, 512)
     out = reduce(DataFrame.union, links_)
     named = lambda c, to: one.select(F.col("s").alias(c), F.col("least").alias(to))
     return C.store(out.join(named("s", "a"), "s").join(named("t", "b"), "t").select("a", "b").union(same).where("a <> b").distinct(), "linked")
