@@ -40,22 +40,65 @@ def lag_mean(instances: DataFrame, history: DataFrame, key, time_col: str, value
 
     History and instances are sorted once by key and time, instances before history of the same
     time; each history row knows the last n up to itself, and an instance takes those of
-    the latest one.
+    the latest one. A key with more than a share of all rows is cut into SLICES by time, each of
+    which takes over the last n values of those before it; the list of such keys, at
+    most 4 * shuffle partitions, is broadcast.
     """
     key, tie = as_list(key), as_list(tiebreak)
     asked = instances.select(F.struct("*").alias("_row"), *key, F.col(time_col).alias("_t"), F.lit(0).alias("_side"), *[F.lit(None).cast(history.schema[c].dataType).alias(f"_tie_{c}") for c in tie])
     known = history.select(*key, F.col(history_time or time_col).alias("_t"), F.lit(1).alias("_side"), F.struct(F.col(value_col).cast("double").alias("v")).alias("_v"), *[F.col(c).alias(f"_tie_{c}") for c in tie])
-    both = asked.unionByName(known.where(F.col("_t").isNotNull()), allowMissingColumns=True).repartition(*key)
+    known = known.where(F.col("_t").isNotNull())
+    both = asked.unionByName(known, allowMissingColumns=True)
     order = ["_t", "_side", *[f"_tie_{c}" for c in tie]]
-    last = W.partitionBy(*key, "_side").orderBy(*order).rowsBetween(-(n - 1), W.currentRow)
+    edges = _time_slices(both, known, key)
+    part, before = key, None
+    if edges is not None:
+        part = [*key, "_slice"]
+        sliced = lambda df: join_same(df, F.broadcast(edges), key).withColumn("_slice", F.expr("coalesce(size(filter(_edges, e -> e < _t)), 0)")).drop("_edges")
+        both = sliced(both)
+        before = _carried(sliced(known), edges, key, order, n)
+    both = both.repartition(*part)
+    last = W.partitionBy(*part, "_side").orderBy(*order).rowsBetween(-(n - 1), W.currentRow)
     both = both.withColumn("_last", F.when(F.col("_side") == 1, F.collect_list("_v").over(last)))
-    so_far = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    so_far = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     both = both.withColumn("_seen", F.last("_last", ignorenulls=True).over(so_far)).where("_side = 0")
-    values = F.filter(F.col("_seen.v"), lambda x: x.isNotNull() & ~F.isnan(x))
+    seen = "_seen"
+    if before is not None:
+        both = join_same(both, F.broadcast(before), part)
+        seen = f"slice(reverse(concat(coalesce(_before, array()), coalesce(_seen, array()))), 1, {n})"
+    values = F.filter(F.expr(f"transform({seen}, x -> x.v)"), lambda x: x.isNotNull() & ~F.isnan(x))
     mean = F.when(F.col("_t").isNotNull() & (F.size(values) > 0), F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
     return both.select("_row.*", mean.alias(out))
 
 
+#: Parts that a hot key's history is cut into, and rows from which on a key is hot.
+SLICES, HOT = 32, 100_000
+
+
+def _time_slices(both: DataFrame, known: DataFrame, key: list[str]) -> DataFrame | None:
+    """(key, _edges): times that cut the history of each hot key; None if no key is hot."""
+    width = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = both.groupBy(*key).agg(F.count("*").alias("_n"))
+    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    if not total or most * 4 * width <= total or most < HOT:
+        return None
+    hot = sizes.where(F.col("_n") * 4 * width > total).select(*key)
+    shares = [k / SLICES for k in range(1, SLICES)]
+    return join_same(known, F.broadcast(hot), key, how="inner").groupBy(*key).agg(F.percentile_approx("_t", shares).alias("_edges"))
+
+
+def _carried(known: DataFrame, edges: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
+    """(key, _slice, _before): the last n values before each slice of the hot keys."""
+    late = F.row_number().over(W.partitionBy(*key, "_slice").orderBy(*[F.desc(c) for c in order]))
+    tails = known.withColumn("_late", late).where(F.col("_late") <= n)
+    tails = tails.groupBy(*key, "_slice").agg(F.array_sort(F.collect_list(F.struct((-F.col("_late")).alias("place"), "_v"))).alias("_tail"))
+    every = edges.select(*key, F.explode(F.sequence(F.lit(0), F.size("_edges"))).alias("_slice"))
+    earlier = W.partitionBy(*key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    lists = join_same(every, tails, [*key, "_slice"]).withColumn("_all", F.flatten(F.collect_list(F.coalesce("_tail", F.array().cast(tails.schema["_tail"].dataType))).over(earlier)))
+    kept = F.expr(f"reverse(slice(reverse(transform(_all, x -> x._v)), 1, {n}))")
+    return lists.select(*key, "_slice", kept.alias("_before"))
+
+
 def windows_ahead(dates: DataFrame, date_col: str, rows: DataFrame, row_date: str, days: int, *aggregates: Column) -> DataFrame:
     """For each distinct date d: aggregates over the rows in (d, d + days]; a date without rows stays.
 

@@ -62,7 +62,10 @@ def test_paired_statistics(spark):
 # Features -------------------------------------------------------------------
 
 
-def test_lag_mean_against_brute_force(spark):
+@pytest.mark.parametrize("hot,slices", [(10**9, 32), (1, 4), (1, 32)])
+def test_lag_mean_against_brute_force(spark, monkeypatch, hot, slices):
+    monkeypatch.setattr(X, "HOT", hot)
+    monkeypatch.setattr(X, "SLICES", slices)
     rng = random.Random(2)
     history = [(rng.randrange(3), rng.randrange(12), i, rng.choice([None, 1.0, 2.0, 3.0])) for i in range(60)]
     asked = [(j, rng.choice([0, 1, 2, 9, None]), rng.choice([None, *range(13)])) for j in range(40)]
