@@ -18,8 +18,9 @@ bands of ROWS minima over the set, which misses a pair of similarity 0.8 with a
 one from the start. Up to PAIRS sets that share a band are all compared. More of them are linked by
 rounds of leaders: all are compared with the least, and those not similar to it go on.
 What two rounds leave is dealt out by a second shared band, and goes through rounds of twice as many
-leaders each until none is left; a pair of similarity 0.8 shares two bands but for a chance of 4 in 10,000. So the work
-stays in proportion to the sets, and a link is lost only if in each of the bands that its
+leaders each until none is left; a pair of similarity 0.8 shares two bands but for a chance of 4 in 10,000. The first
+two rounds stay in proportion to the sets; what is dealt out by second bands grows up to 19 times,
+which very large groups of near copies reach. A link is lost only if in each of the bands that its
 texts share (8 of 20 on average) one of them has left with a leader that the other isn't similar to.
 
 Defined results: null and empty texts have fingerprint zero and link like any other.
