@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,8 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Only where one machine does everything and the session names no folder, as in local tests.
 OWN_FOLDER = "/tmp/attestra-checkpoints"
-#: The paths stored within each scratch() that is open.
-_OPEN: list[list[tuple[SparkSession, str]]] = []
+#: open: the paths stored within each scratch() that this thread has open.
+_OWN = threading.local()
+
+
+def _open() -> list[list[tuple[SparkSession, str]]]:
+    if not hasattr(_OWN, "open"):
+        _OWN.open = []
+    return _OWN.open
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,13 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; an open scratch() removes it at its end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if opened := _open():
+        opened[-1].append((spark, path))
+    return path
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: what is read no longer hangs on executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if _OPEN:
-        _OPEN[-1].append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
@@ -54,9 +67,9 @@ def discard(df: DataFrame) -> None:
 @contextmanager
 def scratch() -> Iterator[None]:
     """What is stored within is removed at the end: for results that have been written or collected by then."""
-    _OPEN.append([])
+    _open().append([])
     try:
         yield
     finally:
-        for spark, path in _OPEN.pop():
+        for spark, path in _open().pop():
             remove(spark, path)
