@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.sources.shared import discard, scratch, shared_dir, store  # noqa: F401  the operators' own use
+from attestra.sources.shared import discard, new_path, scratch, shared_dir, store  # noqa: F401  the operators' own use
 
 #: White space that separates words: the ASCII blank and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestra.llm import bpe, html_text, maxent_lm, packing, pii, quality_rules, secrets, simhash, topk, url_filters
+from attestra.llm import bpe, hard_negatives, html_text, maxent_lm, packing, pii, quality_rules, secrets, simhash, token_files, topk, url_filters, vector_codes
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_secrets": secrets.op9_secrets,
     "op10_simhash": simhash.op10_simhash,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_token_files": token_files.op12_token_files,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op4_url_filters": url_filters.ORACLE,
     "op8_topk": topk.ORACLE,
     "op9_secrets": secrets.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
