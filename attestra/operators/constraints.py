@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestra.functions.nulls import Condition, as_list, condition, holds, join_same, nan_to_null
+from attestra.operators.pairs import order_denial_counts, tiled_pairs
 
 Tables = Mapping[str, DataFrame]
 #: The boolean column that tells violations from the rest of what is checked.
@@ -274,7 +275,7 @@ class DenialConstraint(Constraint):
 
     With right and join_on, pairs are checked; columns of both sides besides the keys get the
     suffixes. dedupe_cols names the two id columns (with suffixes) of which the left one is less, for
-    pairs within one table. columns limits what the pairs carry.
+    pairs within one table; a large group's pairs are then spread over tiles. columns limits what the pairs carry.
     """
 
     kind = "denial"
@@ -288,10 +289,22 @@ class DenialConstraint(Constraint):
         self.join_on = as_list(join_on) if join_on is not None else []
         self.dedupe_cols, self.columns = dedupe_cols, columns
 
+    def _own_id(self) -> str | None:
+        """The id column of pairs within one table, if their columns get suffixes by the plain rule."""
+        if self.left != self.right or not self.dedupe_cols:
+            return None
+        a, b = (c.removesuffix(s) for c, s in zip(self.dedupe_cols, self.suffixes))
+        whole = (a + self.suffixes[0], b + self.suffixes[1]) == tuple(self.dedupe_cols)
+        return a if a == b and whole and a not in self.join_on else None
+
     def checked(self, tables: Tables) -> DataFrame:
         left = nan_to_null(tables[self.left])
         if self.right is None:
             return left.withColumn(VIOLATES, holds(condition(left, self.predicate)))
+        if i := self._own_id():
+            columns = left.columns if self.columns is None else [*self.join_on, *self.columns]
+            pairs = tiled_pairs(left.select(*dict.fromkeys([*columns, i])), self.join_on, i, self.suffixes)
+            return pairs.withColumn(VIOLATES, holds(condition(pairs, self.predicate)))
         right = nan_to_null(tables[self.right])
         if self.columns is not None:
             kept = lambda df: df.select(*dict.fromkeys([*self.join_on, *(c for c in self.columns if c in df.columns)]))
@@ -351,6 +364,35 @@ class PairDisagreement(Constraint):
         return self.group_counts(tables).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_checked", "n_violations")])
 
 
+class OrderDenial(Constraint):
+    """In no pair of rows of one group with order_l < order_r stands value_l in the relation to value_r.
+
+    It counts what a DenialConstraint over the pairs counts, but by two sorts, without making them; a
+    missing value is in no relation. violations() gives the pairs themselves.
+    """
+
+    kind = "denial"
+
+    def __init__(self, name: str, table: str, group_cols, order_col: str, value_col: str, relation: str = ">"):
+        super().__init__(name)
+        if relation not in _RELATIONS:
+            raise ValueError(f"{name}: the relation is one of {', '.join(_RELATIONS)}")
+        self.table, self.group_cols, self.order_col, self.value_col, self.relation = table, as_list(group_cols), order_col, value_col, relation
+
+    def pairs(self) -> DenialConstraint:
+        o, v = self.order_col, self.value_col
+        return DenialConstraint(
+            self.name, self.table, lambda df: _RELATIONS[self.relation](F.col(f"{v}_l"), F.col(f"{v}_r")), right=self.table, join_on=self.group_cols,
+            dedupe_cols=(f"{o}_l", f"{o}_r"), columns=[o, v],
+        )
+
+    def checked(self, tables: Tables) -> DataFrame:
+        return self.pairs().checked(tables)
+
+    def counts(self, tables: Tables) -> DataFrame:
+        return order_denial_counts(tables[self.table], self.group_cols, self.order_col, self.value_col, self.relation)
+
+
 class MonotonicityConstraint(Constraint):
     """y_pred of the table perturbed moves in one direction from that of original, within a tolerance."""
 

@@ -11,7 +11,7 @@ from attestra.operators import decode_items as I
 from attestra.operators import decoding as D
 from attestra.operators import features as X
 from attestra.operators import metrics as M
-from attestra.plans import audit_queries  # noqa: F401  registers its own
+from attestra.plans import audit_queries, scale_queries  # noqa: F401  register their own
 from attestra.plans.registry import ORACLES, QUERIES, constraint, query, table, tables  # noqa: F401
 
 # Referential integrity --------------------------------------------------------
