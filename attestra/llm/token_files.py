@@ -41,6 +41,16 @@ _AT_ONCE = 4_000_000
 COLUMNS = ["doc_id", "part", "start", "n_tokens", "tokens"]
 
 
+def ids_of(path: str, text: str, end: int) -> np.ndarray:
+    """A text's ids and the end id. Texts without very long words or gaps go straight to the encoder."""
+    words = text.split() if len(text) >= bpe._LONG else []
+    if words and max(map(len, words)) < bpe._LONG and len(text) - sum(map(len, words)) - len(words) < bpe._LONG - 1 or len(text) < bpe._LONG:
+        found = bpe._encoding(path).encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    else:
+        found = bpe._encode(path, text.encode("utf-8", "surrogatepass"))
+    return np.append(found, end).astype(np.int32)
+
+
 def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) in ascending order of id over the partitions; a hot id is spread by its texts, a hot text by its place."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -60,7 +70,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             held, ids, size = 0, [], 0
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_py() or ""
-                ids.append(np.array([*bpe._encode(path, text.encode("utf-8", "surrogatepass")), end], np.int32))
+                ids.append(ids_of(path, text, end))
                 size += len(text)
                 if size < _AT_ONCE and k + 1 < batch.num_rows:
                     continue
