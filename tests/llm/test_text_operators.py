@@ -535,3 +535,76 @@ def test_unique_links_similar_texts(spark):
     jaccard = lambda a, b: len(np.intersect1d(first[a], first[b])) / len(np.union1d(first[a], first[b]))
     assert all(jaccard(10 * i, 10 * i + 1) >= 0.8 > jaccard(10 * i, 10 * i + 2) for i in range(60))
     assert {r.doc_id for r in simhash.unique(df).collect()} == expected | {10_000}
+
+
+def near_copies(n, edits, seed, words=300):
+    rng = random.Random(seed)
+    base, out = [f"w{rng.randrange(10**6)}" for _ in range(words)], []
+    for _ in range(n):
+        text = list(base)
+        for _ in range(rng.randint(0, edits)):
+            text[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(text))
+    return out
+
+
+def removed_by_all_pairs(texts):
+    """How many texts go if one of each component of links stays: similarity 0.8 or more, or fingerprints within two bits. All pairs, by slabs."""
+    found = {x.tobytes(): (x, simhash.fingerprint(t, 5)) for t in texts for x in [simhash.shingles(t)]}
+    sets, prints = [x for x, _ in found.values()], np.array([p for _, p in found.values()], np.uint64)
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.float32)
+    of = np.repeat(np.arange(n), sizes.astype(int))
+    _, code, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = (np.cumsum(counts > 1) - 1)[code]
+    both = np.zeros((n, n), np.float32)
+    for a in range(0, int((counts > 1).sum()), 8192):
+        here = (counts[code] > 1) & (column >= a) & (column < a + 8192)
+        table = np.zeros((n, 8192), np.float32)
+        table[of[here], column[here] - a] = 1
+        both += table @ table.T
+    linked = both >= 0.8 * (sizes[:, None] + sizes - both)
+    linked |= np.bitwise_count(prints[:, None] ^ prints) <= 2
+    left, components = np.ones(n, bool), 0
+    while left.any():
+        components += 1
+        reach = np.zeros(n, bool)
+        reach[left.argmax()] = True
+        while True:
+            more = reach | linked[reach].any(axis=0)
+            if (more == reach).all():
+                break
+            reach = more
+        left &= ~reach
+    return len(texts) - components
+
+
+@pytest.mark.parametrize("n", [500, 5000])
+def test_large_groups_of_near_copies(spark, n, monkeypatch):
+    """Three seeds, spread around 0.8: of what all pairs would remove at least 99 %, and never more."""
+    groups = [near_copies(n, edits, seed) for seed, edits in ((1, 7), (2, 5), (3, 9))]
+    if n == 500:
+        monkeypatch.setattr(simhash, "BLOCK", 128)  # so that these are beyond a block, too
+    df = spark.createDataFrame([(1000 * n * g + i, t) for g, texts in enumerate(groups) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    kept = [r.doc_id // (1000 * n) for r in simhash.unique(df).select("doc_id").collect()]
+    for g, texts in enumerate(groups):
+        expected = removed_by_all_pairs(texts)
+        assert 0.99 * expected <= len(texts) - kept.count(g) <= expected, (g, expected, len(texts) - kept.count(g))
+
+
+def test_links_of_a_block():
+    rng = np.random.default_rng(4)
+    base = np.arange(100)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(60, 100)], rng.integers(1000, 1100, rng.integers(0, 30))])).astype(np.uint64) for _ in range(80)]
+    sets += [np.array([7], np.uint64), np.array([7], np.uint64), np.array([], np.uint64)]
+    true = {(i, j) for i in range(len(sets)) for j in range(i) if (b := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - b) and b}
+    found = {(max(p), min(p)) for p in simhash.block_links(sets, 0.8)}
+    assert found <= true
+
+    def parts(links):
+        root = list(range(len(sets)))
+        for _ in range(len(sets)):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert parts(found) == parts(true)
