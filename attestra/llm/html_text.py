@@ -4,18 +4,20 @@ A page is read into blocks of text and the element subtrees over them, and every
 hashed with its text and its inner structure, whatever the markup says of it. Spark counts the distinct
 pages of a host that have each hash. Subtrees on more than `min_pages` pages and `min_share` of
 the host's are its template and go; so are, on small hosts, those on `few_pages` pages at
-least and more than half of the host's. Pages alike in all that the markup leaves of them
+least and more than half of the host's. What stands within an article or main element is only taken for
+template if more than half of the host's pages have it, since articles share passages, such as a
+closing paragraph, that are their own text. Pages alike in all that the markup leaves of them
 count as one, so copies of a page make no template.
 
 What the markup names goes too: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments. A class or id alone doesn't take away the main element, nor
-the page's only article. Of the rest the article or main element is taken if there is one.
+scripts, styles and comments, those in articles of their own too. A class or id alone doesn't take away the main
+element, nor the page's only article. Of the rest the article or main element is taken if there is one.
 
 Reading takes time in proportion to the page, however deep its markup.
 
 Defined results: null and empty html have an empty text; a page without html markup is one
 text. A url without :// has an empty host, a host like any other. Repeated rows count as
-one page and come back as often. Other columns don't matter.
+one page and come back as often. A column named text gives way to the result; others don't matter.
 """
 
 from __future__ import annotations
@@ -74,6 +76,8 @@ _DROP_NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ad|ads|adv|advert|adverts|advertisement|advertising|banner|promo|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comment|comments|reply|replies|disqus|breadcrumb|breadcrumbs|pagination|pager|toolbar|widget|skip-link|form)(?:$|[\s_-])",
     re.I,
 )
+#: Of an article's names: those of readers' comments.
+_COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies|disqus)(?:$|[\s_-])", re.I)
 
 
 @dataclass
@@ -90,7 +94,7 @@ class _Element:
 @dataclass
 class Page:
     blocks: list[str]
-    subtrees: list[tuple[int, int, int]]  # hash, first block, block after the last
+    subtrees: list[tuple[int, int, int, bool]]  # hash, first block, block after the last, whether within an article
     hashes: list[int] = field(default_factory=list)  # of all subtrees, those without blocks too
 
 
@@ -111,12 +115,13 @@ def _named(a: dict[str, str]) -> bool:
 def parse(html: str) -> Page:
     """Blocks of the article in page order, and the subtrees of block elements over them."""
     blocks: list[tuple[str, bool, int]] = []  # text, in a main element, region
-    subtrees: list[tuple[int, int, int]] = []
+    subtrees: list[tuple[int, int, int, bool]] = []
     root = _Element("", False, False, 0, 0)
     stack, block_stack = [root], [root]
     places: dict[str, list[int]] = {}  # of the open elements of each tag
     regions: list[list] = [[0, True]]  # the region around, whether it stays
     articles: list[int] = []  # regions of the page's articles
+    comments: list[int] = []  # and of those named as comments
     inline: list[str] = []
     at, size = 0, len(html)
 
@@ -144,7 +149,7 @@ def parse(html: str) -> Page:
                 block_stack.pop()
                 if not e.empty:
                     digest = e.hash.intdigest()
-                    subtrees.append((digest - (1 << 64) if digest >> 63 else digest, e.first, len(blocks)))
+                    subtrees.append((digest - (1 << 64) if digest >> 63 else digest, e.first, len(blocks), e.main))
                     block_stack[-1].hash.update(b"\1" + e.tag.encode() + digest.to_bytes(8, "big"))
                     block_stack[-1].empty = False
             elif e.dropped and len(stack) > 1 and not stack[-2].dropped:
@@ -205,9 +210,12 @@ def parse(html: str) -> Page:
             main, region = tag == "main" or a.get("role", "").lower() == "main", top.region
             if not gone:
                 named = bool(a) and _named(a)
-                if named and tag not in ("html", "body", "article", "main"):
+                remark = named and tag == "article" and bool(_COMMENT_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}"))
+                if remark or named and tag not in ("html", "body", "article", "main"):
                     regions.append([region, False])
                     region = len(regions) - 1
+                if remark:
+                    comments.append(region)
                 if main:
                     stays(region)
                 if tag == "article" and not named:
@@ -222,6 +230,8 @@ def parse(html: str) -> Page:
     flush()
     if len(articles) == 1:
         stays(articles[0])
+    elif not articles and len(comments) == 1:
+        stays(comments[0])
     for r in regions[1:]:
         r[1] = r[1] and regions[r[0]][1]
     kept = [b for b in blocks if regions[b[2]][1]]
@@ -231,16 +241,16 @@ def parse(html: str) -> Page:
         number.append(n)
         n += regions[region][1] and (main or not any_main)
     number.append(n)
-    hashes = sorted({h for h, _, _ in subtrees})
-    subtrees = [(h, number[a], number[b]) for h, a, b in subtrees if number[a] < number[b]]
+    hashes = sorted({h for h, _, _, _ in subtrees})
+    subtrees = [(h, number[a], number[b], inner) for h, a, b, inner in subtrees if number[a] < number[b]]
     return Page([b for b, main, _ in kept if main or not any_main], subtrees, hashes)
 
 
-def without(page: Page, template: set[int]) -> str:
-    """The page's text without the template's subtrees."""
+def without(page: Page, template: dict[int, bool]) -> str:
+    """The page's text without the template's subtrees; within articles without those alone that most pages have."""
     gone: set[int] = set()
-    for h, a, b in page.subtrees:
-        if h in template:
+    for h, a, b, inner in page.subtrees:
+        if h in template and (template[h] or not inner):
             gone.update(range(a, b))
     return "\n".join(x for k, x in enumerate(page.blocks) if k not in gone)
 
@@ -275,28 +285,28 @@ def parsed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def templates(found: DataFrame, min_pages: int, min_share: float, few_pages: int) -> DataFrame:
-    """(host, h): subtrees on so many distinct pages of a host and so large a share of them."""
+    """(host, h, most): subtrees on so many distinct pages of a host and so large a share of them; most: on more than half."""
     distinct = found.select("host", "same", "hashes").dropDuplicates(["host", "same"])
     counts = distinct.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min(few_pages, min_pages + 1))
     pages = found.select("host", "same").distinct().groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("pages"))
     wide = (F.col("n") > min_pages) & (F.col("n") > min_share * F.col("pages"))
     most = (F.col("n") >= few_pages) & (2 * F.col("n") > F.col("pages"))
-    return counts.join(pages, F.col("host") == F.col("of_host")).where(wide | most).select("host", "h")
+    return counts.join(pages, F.col("host") == F.col("of_host")).where(wide | most).select("host", "h", most.alias("most"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_share: float = 0.01, few_pages: int = 3) -> DataFrame:
     """The input's columns but html, and text: the main text, a line for each block."""
-    spark, names = pages.sparkSession, [c for c in pages.columns if c != html_col]
+    names = [c for c in pages.columns if c != html_col]
     found = parsed(pages, url_col, html_col)
-    salts = C.shuffle_width(spark)
-    rows = found.select("key", "host", F.explode("hashes").alias("h")).withColumn("salt", C.salt("key", into=salts))
-    template = C.salted(templates(found, min_pages, min_share, few_pages), salts)
-    gone = C.store(rows.join(template, ["host", "h", "salt"]).groupBy("key").agg(F.collect_list("h").alias("gone")), "templates")
+    recurring = C.store(templates(found, min_pages, min_share, few_pages).withColumn("of", F.struct("host", "h")), "recurring")
+    asked = found.select("key", F.explode("hashes").alias("h"), "host").withColumn("of", F.struct("host", "h")).select("key", "of")
+    met = C.salted_join(asked, recurring.select("of", "h", "most"), "of", "key", asked.join(recurring, "of", "left_semi").groupBy("of").agg(F.count("*").alias("n")))
+    gone = C.store(met.groupBy("key").agg(F.collect_list(F.struct("h", "most")).alias("gone")), "templates")
     both = found.join(gone, "key", "left").select("row", "page", "gone")
 
     def run(batches):
         for batch in batches:
-            texts = [without(_unpack(p.as_py()), set(g.as_py() or ())) for p, g in zip(batch.column(1), batch.column(2))]
+            texts = [without(_unpack(p.as_py()), {x["h"]: x["most"] for x in g.as_py() or ()}) for p, g in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
     kind = found.schema["row"].dataType.simpleString()

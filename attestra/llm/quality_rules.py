@@ -104,7 +104,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str, limits:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
     for name, column in statistics(F.col("text"), limits):
         rows = rows.withColumn(name, column)
-    return C.store(rows.select("id", F.xxhash64("text").alias("text_key"), "host", *BASE, "lines"), "measured")
+    return C.store(rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "host", *BASE, "lines"), "measured")
 
 
 def frequent_lines(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -157,7 +157,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     passed = measured.where(~F.col("base_failed")).select("id", "text_key", "host", "n_words", F.lit(None).cast("array<bigint>").alias("gone"))
     facts = passed.unionByName(gone, allowMissingColumns=True).groupBy("id", "text_key", "host").agg(F.max("n_words").alias(p + "n"), F.first("gone", ignorenulls=True).alias(p + "gone"))
     facts = facts.where(F.col(p + "n").isNotNull()).withColumnsRenamed({"id": p + "id", "text_key": p + "of_key", "host": p + "host"})
-    rows = docs.withColumn(p + "key", F.xxhash64(text_col))
+    rows = docs.withColumn(p + "key", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     out = rows.join(facts, rows[id_col].eqNullSafe(F.col(p + "id")) & (F.col(p + "key") == F.col(p + "of_key")) & rows[host_col].eqNullSafe(F.col(p + "host")))
     stays = lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(p + "gone", _hash(_line_words(x))))
     text = F.when(F.col(p + "gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(F.col(text_col), "\n"), stays), "\n"))

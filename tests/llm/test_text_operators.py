@@ -45,7 +45,7 @@ def test_quality_counts_distinct_documents(spark):
     own = lambda n: " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(rng.randrange(10**6)) + "".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
     shared = [own(30) for _ in range(6)]
     texts = [("h", own(60) + "\n" + shared[0] + "\n" + shared[1]) for _ in range(15)]
-    texts += [("h", "\n".join(rng.sample(shared[2:], 2)) + "\n" + own(1)) for _ in range(20)]
+    texts += [("h", "\n".join(rng.sample(shared[2:], 2)) + "\n" + own(1)) for _ in range(40)]
     copy = own(70)
     texts += [("h", copy)] * 30 + [("g", t) for _, t in texts[:5]] + [("g", own(60) + "\n" + shared[0])] * 3 + [(None, shared[0])]
     rows = [(i, t, h) for i, (h, t) in enumerate(texts)] + [(0, texts[0][1], "g"), (0, texts[0][1], "h")]
@@ -80,7 +80,7 @@ def test_quality_removes_frequent_lines(spark):
     assert quality_rules.clean(df.limit(0)).count() == quality_rules.judge(df.limit(0)).count() == 0
 
 
-def test_quality_counts_distinct_documents(spark):
+def test_quality_clean_counts_distinct_texts(spark):
     """Two template lines, one of the least hash, hide each other if documents are known by their least other line."""
     rng = random.Random(11)
     text = lambda: "\n".join(" ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(35)) for _ in range(2))
@@ -163,11 +163,27 @@ def test_names_keep_the_main_element():
     assert text("<div class='content-sidebar'><main><p>one</p></main><div class='sidebar'>two</div></div>") == ["one"]
     assert text("<div class='share-wrap'><article><p>one</p></article></div><div class='comments'><article class='comment'>two</article></div>") == ["one"]
     assert text("<div><p>one</p></div><div class='related'><article>two</article><article>three</article></div>") == ["one"]
+    assert text("<article>one</article><article class='comment'>two</article><article id='replies'>three</article>") == ["one"]
+    assert text("<div><article class='comment'>two</article></div>") == ["two"]
     deep = "<b>" * 30_000 + "<p>x" * 3_000
     assert text(deep) == ["x"] * 3_000
     assert len(text("<p><table>" + "<i>" * 30_000 + "<div>y" * 3_000)) == 3_000
 
 
+def test_articles_keep_what_they_share(spark):
+    """A closing paragraph on a tenth of the host's articles stays; the same outside of articles, or on most of them, goes."""
+    rng = random.Random(31)
+    own = lambda: " ".join(f"w{rng.randrange(9999)}" for _ in range(30))
+    closing, notice, most = "This text may be shared with its source.", "Our office is open on weekdays.", "All rights are reserved by us."
+    texts = [own() for _ in range(200)]
+    inner = lambda i: f"<p>{texts[i]}</p>" + (f"<p>{closing}</p>" if i % 10 == 0 else "") + (f"<p>{most}</p>" if i % 3 else "")
+    rows = [(i, f"http://a.com/{i}", f"<body><article>{inner(i)}</article><div class='x'>{notice}</div><article class='comment'>nice {i}</article></body>") for i in range(100)]
+    rows += [(i, f"http://b.com/{i}", f"<body><div>{inner(i)}</div></body>") for i in range(100, 200)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == texts[i] + (f"\n{closing}" if i % 10 == 0 else "") for i in range(100))
+    assert all(got[i] in (texts[i], f"{texts[i]}\n{closing}") for i in range(100, 200))  # ten pages are no template, more would be
+
+
 # 3 language model ------------------------------------------------------------------
 
 
