@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.nulls import Condition, as_list, condition, holds, join_same, nan_to_null
 from attestra.operators.pairs import order_denial_counts, tiled_pairs
+from attestra.operators.reducers import Reducer, reduce_by
 
 Tables = Mapping[str, DataFrame]
 #: The boolean column that tells violations from the rest of what is checked.
@@ -221,20 +222,21 @@ class AggregateConsistency(Constraint):
     """A parent's value equals an aggregate of its children, within a tolerance.
 
     A parent key given more than once counts with its least value; children without a key
-    don't count; a parent without children is compared with zero.
+    don't count; a parent without children is compared with zero. The aggregate is one of AGGREGATES by name, or a
+    Reducer of one's own.
     """
 
     kind = "aggregate_consistency"
 
     def __init__(self, name: str, parent: str, parent_key, parent_val: str, child: str, child_key, child_val: str,
-                 agg: str = "sum", tol: float = 1e-6, child_filter: Condition | None = None):
+                 agg: str | Reducer = "sum", tol: float = 1e-6, child_filter: Condition | None = None):
         super().__init__(name)
         self.parent, self.parent_key, self.parent_val = parent, as_list(parent_key), parent_val
         self.child, self.child_key, self.child_val = child, as_list(child_key), child_val
         self.agg, self.tol, self.child_filter = agg, tol, child_filter
         if len(self.parent_key) != len(self.child_key):
             raise ValueError(f"{name}: the keys differ in their number of columns")
-        if agg not in AGGREGATES:
+        if not isinstance(agg, Reducer) and agg not in AGGREGATES:
             raise ValueError(f"{name}: unknown aggregate {agg}")
 
     def checked(self, tables: Tables) -> DataFrame:
@@ -242,7 +244,11 @@ class AggregateConsistency(Constraint):
         parent = parent.groupBy(*self.parent_key).agg(F.min(self.parent_val).alias(self.parent_val))
         child = nan_to_null(tables[self.child], [*self.child_key, self.child_val])
         child = child if self.child_filter is None else child.where(holds(condition(child, self.child_filter)))
-        sums = child.na.drop(subset=self.child_key).groupBy(*self.child_key).agg(AGGREGATES[self.agg](self.child_val).alias("agg_value"))
+        child = child.na.drop(subset=self.child_key)
+        if isinstance(self.agg, Reducer):
+            sums = reduce_by(child, self.child_key, self.child_val, self.agg, "agg_value")
+        else:
+            sums = child.groupBy(*self.child_key).agg(AGGREGATES[self.agg](self.child_val).alias("agg_value"))
         out = join_same(parent, sums, self.parent_key, self.child_key).withColumn("agg_value", F.coalesce("agg_value", F.lit(0)))
         return out.withColumn(VIOLATES, holds(F.abs(F.col(self.parent_val) - F.col("agg_value")) > self.tol))
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attestra.functions.nulls import as_list, join_same
+from attestra.functions.hot import join_facts
+from attestra.functions.nulls import as_list, holds, join_same
+from attestra.sources.shared import store
 
 
 def _guard(df: DataFrame, broken: Column, message: str) -> DataFrame:
@@ -123,10 +125,36 @@ def aligned(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return _guard(out, F.col("_repeated").isNotNull(), f"more than one row for a {key}").drop("_repeated")
 
 
+#: Buckets of hashes that a quota's threshold is looked for in; their counts are what meets.
+BUCKETS = 1 << 16
+
+
+def _least_hashes(df: DataFrame, stratum: Column, quota: Column, keys: Sequence[str], seed: int, out: str) -> DataFrame:
+    """df with the boolean out: the rows of the least hashes of their keys in each stratum, exactly as many as its quota.
+
+    quota is a column over the stratum's size _n. Counts by bucket of the hash tell the bucket in which the
+    quota is reached; only that bucket's rows, some 1 in BUCKETS, are ranked. Nothing is sorted as a whole. Rows
+    that agree in all keys are taken in any order.
+    """
+    hashed = df.select("*", stratum.alias("_s"), F.xxhash64(F.lit(seed), *keys).alias("_h"))
+    hashed = hashed.withColumn("_b", F.shiftright(F.col("_h"), 48))  # signed: buckets in the order of the hashes
+    counts = store(hashed.groupBy("_s", "_b").agg(F.count("*").alias("_in")), "buckets")
+    sizes = counts.groupBy("_s").agg(F.sum("_in").alias("_n"))
+    before = F.coalesce(F.sum("_in").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    filled = join_same(counts.withColumn("_before", before), sizes.withColumn("_quota", quota.cast("long")).drop("_n"), ["_s"])
+    # The last bucket that is taken whole, and the one that isn't, with the rows it still gives.
+    whole, rest = F.col("_before") + F.col("_in") <= F.col("_quota"), F.col("_quota") - F.col("_before")
+    edges = filled.groupBy("_s").agg(F.max(F.when(whole, F.col("_b"))).alias("_upto"), F.min(F.when(~whole & (rest > 0), F.struct("_b", rest.alias("n")))).alias("_edge"))
+    marked = join_facts(hashed, edges, ["_s"], sizes).withColumn("_at_edge", holds(F.col("_b") == F.col("_edge._b")))
+    inside = marked.where("NOT _at_edge").withColumn(out, holds(F.col("_b") <= F.col("_upto")))
+    place = F.row_number().over(W.partitionBy("_s").orderBy("_h", *keys))
+    border = marked.where("_at_edge").withColumn(out, place <= F.col("_edge.n"))
+    return inside.unionByName(border).select(*df.columns, out)
+
+
 def sample_rows(df: DataFrame, n: int, keys, seed: int = 0) -> DataFrame:
-    """n rows by the least hashes of their keys: the same ones however the table is dealt out."""
-    keys = as_list(keys)
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """n rows by the least hashes of their keys: the same ones however the table is dealt out, and no more than a bucket is sorted."""
+    return _least_hashes(df, F.lit(0), F.least(F.lit(n), F.col("_n")), as_list(keys), seed, "_taken").where("_taken").drop("_taken")
 
 
 def flag_errors(df: DataFrame, truth: str, predicted: str, out: str = "error") -> DataFrame:
@@ -184,6 +212,5 @@ def known_categories(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> Da
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_share: float = 0.2, seed: int = 0) -> DataFrame:
-    """df with the boolean is_test: the share of each label's rows, chosen by a hash of the id, whatever the partitions."""
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(label)), F.lit(1_000_000)) / 1_000_000.0
-    return df.withColumn("is_test", place < test_share)
+    """df with the boolean is_test: of each label's n rows those of the least hashes, test_share * n rounded half up, whatever the partitions."""
+    return _least_hashes(df, F.col(label), F.floor(F.col("_n") * test_share + 0.5), [id_col], seed, "is_test")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from attestra.functions.nulls import as_list, join_same
 from attestra.functions.ranks import global_rank
 from attestra.operators.constraints import ViolationResult
+from attestra.sources.shared import store
 
 
 def instance_violation_flags(result: ViolationResult, instances: DataFrame, join_cols, flag: str = "violates") -> DataFrame:
@@ -66,18 +67,8 @@ def violation_error_correlation(df: DataFrame, flag: str, error: str) -> DataFra
 
 # Paired comparisons ----------------------------------------------------------
 
-#: Cumulative probabilities of the Poisson distribution with mean 1, up to where they are 1 in double precision.
-_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(19)])
-
-
-def _weights(hashes: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
-    """Poisson(1) weights (clusters, replicates), from the cluster's hash alone: however rows are dealt, they stay."""
-    with np.errstate(over="ignore"):
-        x = hashes.astype(np.uint64)[:, None] + (replicates.astype(np.uint64) + np.uint64(seed * 1_000_003 + 1))[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right").astype(np.float64)
+#: Clusters of a bucket, on average: their draws for all replicates are one matrix.
+_BUCKET = 512
 
 
 @dataclass(frozen=True)
@@ -85,36 +76,64 @@ class Interval:
     estimate: float
     low: float
     high: float
+    n_clusters: int = 0
+
+
+def bucket_draws(sizes: np.ndarray, bucket: int, n_boot: int, seed: int) -> np.ndarray:
+    """How many of a replicate's draws fall into a bucket, for each replicate.
+
+    A replicate draws as many clusters as there are, with replacement. Its draws are split over a tree of buckets (a
+    power of two of them) by binomials, each seeded by its node, so every task finds the same split on its own way down.
+    """
+    draws = np.full(n_boot, int(sizes.sum()), np.int64)
+    first, last, node = 0, len(sizes), 1
+    while last - first > 1:
+        middle = (first + last) // 2
+        whole, left = sizes[first:last].sum(), sizes[first:middle].sum()
+        taken = np.random.default_rng([seed, 0, node]).binomial(draws, left / whole if whole else 0.0)
+        if bucket < middle:
+            draws, last, node = taken, middle, 2 * node
+        else:
+            draws, first, node = draws - taken, middle, 2 * node + 1
+    return draws
+
+
+def cluster_draws(draws: np.ndarray, n: int, bucket: int, seed: int) -> np.ndarray:
+    """(replicates, clusters): a bucket's draws dealt to its n clusters."""
+    return np.random.default_rng([seed, 1, bucket]).multinomial(draws, np.full(n, 1 / n)) if n else np.zeros((len(draws), 0), np.int64)
 
 
 def cluster_bootstrap_ci(df: DataFrame, diff: str, cluster, n_boot: int = 2000, seed: int = 0, level: float = 0.95) -> Interval:
-    """Mean of diff with a percentile interval from resampling whole clusters.
+    """Mean of diff with a percentile interval from resampling whole clusters with replacement.
 
-    Each replicate weighs clusters by Poisson(1) draws, which approaches resampling with
-    replacement as clusters grow in number and needs no list of them: sums for all
-    replicates are built where the clusters are. n_boot sums reach the driver.
+    Each replicate draws exactly as many clusters as there are, those without a known diff included. Clusters are
+    dealt to buckets by a hash and ordered in them by it, so the same draws come on any partitioning. The driver gets the buckets'
+    sizes, one number for each _BUCKET clusters, and n_boot sums; no list of clusters.
     """
-    sums = df.where(F.col(diff).isNotNull()).groupBy(*as_list(cluster)).agg(F.sum(F.col(diff).cast("double")).alias("_s"), F.count("*").cast("double").alias("_c"))
-    rows = sums.select(F.xxhash64(*as_list(cluster)).alias("h"), "_s", "_c")
-    reps = np.arange(n_boot)
-
-    def run(batches):
-        top, below = np.zeros(n_boot), np.zeros(n_boot)
-        for batch in batches:
-            h, s, c = (batch.column(k).to_numpy() for k in range(3))
-            for at in range(0, len(h), 512):
-                w = _weights(h[at : at + 512].view(np.uint64), reps, seed)
-                top += s[at : at + 512] @ w
-                below += c[at : at + 512] @ w
-        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int32()), pa.array(top), pa.array(below)], ["r", "s", "c"])
-
-    found = rows.mapInArrow(run, "r int, s double, c double").groupBy("r").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).where("c > 0").toArrow()
-    whole = sums.agg(F.sum("_s"), F.sum("_c")).first()
-    if not whole[1]:
-        return Interval(math.nan, math.nan, math.nan)
+    value = F.col(diff).cast("double")
+    keys = as_list(cluster)
+    sums = df.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_s"), F.count(value).cast("double").alias("_c"), F.xxhash64(*keys).alias("_h"))
+    sums = store(sums.select("_h", "_s", "_c"), "clusters")
+    n, total, count = sums.agg(F.count("*"), F.sum("_s"), F.sum("_c")).first()
+    if not count:
+        return Interval(math.nan, math.nan, math.nan, n)
+    buckets = 1 << max(0, math.ceil(math.log2(max(1, n / _BUCKET))))
+    dealt = sums.withColumn("_bucket", F.pmod("_h", F.lit(buckets)).cast("int"))
+    sizes = np.zeros(buckets, np.int64)
+    for r in dealt.groupBy("_bucket").agg(F.count("*").alias("n")).collect():  # a row for each bucket
+        sizes[r["_bucket"]] = r["n"]
+
+    def resample(table: pa.Table) -> pa.Table:
+        bucket = table.column("_bucket")[0].as_py()
+        h, s, c = (table.column(k).to_numpy() for k in ("_h", "_s", "_c"))
+        order = np.lexsort((c, s, h))
+        weights = cluster_draws(bucket_draws(sizes, bucket, n_boot, seed), len(h), bucket, seed)
+        return pa.Table.from_arrays([pa.array(np.arange(n_boot), pa.int32()), pa.array(weights @ s[order]), pa.array(weights @ c[order])], ["r", "s", "c"])
+
+    found = dealt.groupBy("_bucket").applyInArrow(resample, "r int, s double, c double").groupBy("r").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).where("c > 0").toArrow()  # n_boot rows
     ratios = found.column("s").to_numpy() / found.column("c").to_numpy()
     low, high = np.quantile(ratios, [(1 - level) / 2, (1 + level) / 2]) if len(ratios) else (math.nan, math.nan)
-    return Interval(whole[0] / whole[1], float(low), float(high))
+    return Interval(total / count, float(low), float(high), n)
 
 
 def binomial_two_sided(a: int, b: int) -> float:

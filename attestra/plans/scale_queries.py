@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.operators import constraints as K
+from attestra.operators import features as X
+from attestra.operators import scans as N
+from attestra.operators.reducers import Reducer, reduce_by
 from attestra.operators.suite import summarize_suite
 from attestra.plans.registry import query, table, tables
 
@@ -79,3 +83,43 @@ def denial_near_events_rows(spark, sf_dir):
     near = "event_type_l = event_type_r AND abs(value_l - value_r) < 0.02"
     c = K.DenialConstraint("near", "events", near, right="events", join_on="user_id", dedupe_cols=("event_id_l", "event_id_r"), columns=["event_type", "value"])
     return c.violations(tables(spark, sf_dir, "events")).select("user_id", "event_id_l", "event_id_r")
+
+
+# Running aggregates, exact splits, reducers ---------------------------------------------
+
+
+@query(
+    "running_events",
+    """SELECT event_id, event_type, sum(CAST(value AS DECIMAL(18, 2))) OVER w::DOUBLE AS total, max(value) OVER w AS most, arg_max(event_id, (value, -event_id)) OVER w AS most_at,
+              sum(CAST(value AS DECIMAL(18, 2))) OVER (ORDER BY ts, event_id)::DOUBLE AS total_of_all FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
+)
+def running_events(spark, sf_dir):
+    """Running sums and maxima of five event types, and of the whole table as one group."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    value = F.col("value")
+    exact = N.running_sum(value.cast("decimal(18,2)"))
+    by_type = N.scan(events, ["event_type"], ["ts", "event_id"], total=exact, most=N.running_max(value), at=N.running_max_at(value, F.col("event_id")))
+    out = N.scan(by_type, [], ["ts", "event_id"], total_of_all=exact)
+    return out.select("event_id", "event_type", F.col("total").cast("double").alias("total"), "most", F.col("at.place").alias("most_at"), F.col("total_of_all").cast("double").alias("total_of_all"))
+
+
+@query("split_shares", "SELECT o_orderstatus, count(*) AS n, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS n_test FROM orders GROUP BY 1")
+def split_shares(spark, sf_dir):
+    split = X.stratified_split(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey", 0.2, seed=1)
+    return split.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if("is_test").alias("n_test"))
+
+
+def _second(state, values):
+    return np.unique(np.concatenate([state, values]))[-2:]
+
+
+_SECOND_GREATEST = Reducer(lambda: np.zeros(0), _second, _second, lambda s: float(s[0]) if len(s) == 2 else None)
+
+
+@query(
+    "reducer_second_price",
+    "SELECT l_suppkey, list_sort(list(DISTINCT l_extendedprice), 'DESC')[2] AS second_price FROM lineitem GROUP BY 1",
+)
+def reducer_second_price(spark, sf_dir):
+    """The second greatest price of each supplier, by a reducer of one's own."""
+    return reduce_by(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", _SECOND_GREATEST, "second_price")
