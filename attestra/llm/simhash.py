@@ -18,7 +18,7 @@ bands of ROWS minima over the set, which misses a pair of similarity 0.8 with a
 one from the start. Up to PAIRS sets that share a band are joined in pairs. Larger groups meet as
 blocks, one for each task call: up to BLOCK sets are compared with the most central one, and those not
 similar to it with all others, by products of incidence matrices; a block gives a spanning forest of its links.
-A group beyond a block is dealt out by further bands that its sets may share, by three others first, then two, then
+A group beyond a block is dealt out by further bands that its sets may share, by two others first, then
 by one at a time, until its parts are blocks; what is still too large after all TURNS is cut
 by hashes. So each set goes to a bounded number of blocks, however large its group. A pair of
 similarity 0.8 shares eight bands on average, and a link that no block shows is mostly made up for by others:
@@ -53,7 +53,7 @@ SIMILARITY = {5: 0.8}
 #: Bands of minima, and minima in each; sets of a band that are joined in pairs.
 BANDS, ROWS, PAIRS = 20, 4, 6
 #: Sets of a block and hashes in them; by how many further bands each turn deals out.
-BLOCK, BLOCK_HASHES, TURNS = 512, 4_000_000, (3, 2, 1, 1, 1, 1)
+BLOCK, BLOCK_HASHES, TURNS = 1024, 4_000_000, (2, 1, 1, 1, 1, 1)
 _KEYS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.int64).astype(np.uint64)
 #: Names that this operator adds start so.
 _P = "_sh_"

@@ -599,7 +599,7 @@ def test_large_groups_of_near_copies(spark, n, monkeypatch):
     """Three seeds, spread around 0.8: of what all pairs would remove at least 99 %, and never more."""
     groups = [near_copies(n, edits, seed) for seed, edits in ((1, 7), (2, 5), (3, 9))]
     if n == 500:
-        monkeypatch.setattr(simhash, "BLOCK", 128)  # so that these are beyond a block, too
+        monkeypatch.setattr(simhash, "BLOCK", 256)  # so that these are beyond a block, too
     df = spark.createDataFrame([(1000 * n * g + i, t) for g, texts in enumerate(groups) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     kept = [r.doc_id // (1000 * n) for r in simhash.unique(df).select("doc_id").collect()]
     for g, texts in enumerate(groups):
