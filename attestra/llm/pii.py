@@ -6,7 +6,9 @@ one surrogate from a keyed hash, everywhere (coreference); digits stay digits, s
 and case stay, card numbers pass or fail their checksum as before, account numbers keep country
 and a right checksum, names keep script, gender and whether they are given or family names.
 Every further mention of a detected name in its document is an entity too, with or without
-a form of address and in any case. A given name has one gender in the whole corpus: that of
+a form of address and in any case; but a mention of one that is also an ordinary word counts only if it is capitalised within
+a sentence, and such a word alone behind a form of address is the next sentence's. A name that a document uses both as
+given and as family name is one person's, and given. A given name has one gender in the whole corpus: that of
 most of its forms of address that tell one.
 
 Collisions are checked over the whole corpus, those of names over all kinds of names together.
@@ -42,6 +44,14 @@ TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Madame", "Mademoiselle", "Doña", "Госпожа", "Κυρία"],
     "n": ["Dr", "Prof", "Professor", "Doctor"],
 }
+#: Words that are seldom names. In lower case, or where a sentence begins, they mean themselves.
+ORDINARY = frozenset("""
+a an and are as at be been but by can could did do does for from had has have he her here his how i if in into is it its just may me might more must my no not
+now of on one or our out she should so some than that the their them then there they this to too up us was we were what when where which who why will with would yes you your
+das dem den der des die ein eine er es im ist mit nicht sich sie und von wie wir zu
+al como con de del el ella en es la las lo los muy no para pero por que se si sin su un una y
+au aux avec ce ces cette dans de des du elle en est et il ils je la le les mais ne nous on ou par pas pour que qui sa se ses son sur un une vous
+""".split())
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -95,6 +105,8 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             if kind == "name":
                 parts = [p for p in re.finditer(_NAME, m["names"])]
                 upper = next((k for k, p in enumerate(parts) if not p[0][0].isupper()), len(parts))
+                if upper == 1 and parts[0][0].lower() in ORDINARY:  # the title ended a sentence
+                    continue
                 for k, p in enumerate(parts[:upper]):
                     given = k < upper - 1
                     role = _GENDER[m["title"]] if given else "family"
@@ -109,16 +121,25 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 add(m.start(), m.end(), kind, m[0])
             else:
                 add(m.start(), m.end(), kind, ("+" if m[0][0] == "+" else "") + _digits(m[0]))
+    # One value is one person's in a document: given, if it is so anywhere, else a family name.
     names: dict[str, str] = {}
-    for _, _, kind, value in sorted(taken):
+    for _, _, kind, value in sorted(taken, key=lambda s: (s[2].endswith(":family"), s[0])):
         if kind.startswith("name:"):
             names.setdefault(value, kind)
     if names:
+        taken = [(a, b, names[v] if k.startswith("name:") else k, v) for a, b, k, v in taken]
         for start, end, value in _mentions(text, names):
-            add(start, end, names[value], value)
+            if value not in ORDINARY or _amid(text, start, end):
+                add(start, end, names[value], value)
     return sorted(taken)
 
 
+def _amid(text: str, start: int, end: int) -> bool:
+    """Whether an ordinary word is written as a name: capitalised within a sentence."""
+    before = text[:start].rstrip(" \"'(«„“")
+    return text[start].isupper() and (end - start == 1 or text[start + 1 : end].islower()) and bool(before) and before[-1] not in ".!?…:\n\t\r"
+
+
 def _mentions(text: str, names: dict[str, str]):
     """(start, end, value) of the names among the words of a text and the parts of words joined by hyphens or apostrophes, longest first."""
     for m in _WORD.finditer(text):

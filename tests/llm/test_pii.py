@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -88,3 +89,47 @@ def test_kinds_without_free_surrogates_are_masked(spark):
     drawn = [s for s in got.values() if "*" not in s]
     assert len(drawn) == len(set(drawn)) > 1000 and not set(drawn) & {v for _, v in values}
     assert {s for s in got.values() if "*" in s} == {"+*****"} and pii.render("+1 23 45", "phone", "+*****") == "+* ** **"
+
+
+def test_ordinary_words_are_no_names():
+    shown = lambda t: [(t[a:b], k) for a, b, k, _ in pii.detect(t)]
+    assert shown("I saw the Dr. The clinic was closed and the door shut, then the rain") == []
+    assert shown("Mr Will May said he will go. It may rain. Will it? Then Will left.") == [("Will", "name:latin:m"), ("May", "name:latin:family"), ("Will", "name:latin:m")]
+    assert shown("Monsieur Le Blanc a vu le chat. Le chat dort; le blanc aussi.") == [("Le", "name:latin:m"), ("Blanc", "name:latin:family"), ("blanc", "name:latin:family")]
+    assert shown("Mr John Smith came. Mr John left, and so did Mr Smith.") == [("John", "name:latin:m"), ("Smith", "name:latin:family"), ("John", "name:latin:m"), ("Smith", "name:latin:family")]
+    assert shown("Mr John left. Mr John Smith came.") == [("John", "name:latin:m"), ("John", "name:latin:m"), ("Smith", "name:latin:family")]
+
+
+def test_spans_of_generated_texts():
+    """Texts built of known pieces: the spans are those of the pieces, whatever stands around them."""
+    rng = random.Random(17)
+    given, family, filler = ["Anna", "Bela", "Carl", "Dora"], ["Kovač", "Stein", "Moreau", "O'Neil"], ["walked", "home", "slowly", "the", "and", "rain", "over", "green"]
+    for _ in range(200):
+        text, spans, known = "", [], {}
+
+        def put(piece: str) -> None:
+            nonlocal text
+            text += ("" if not text else " ") + piece
+
+        def name(word: str, kind: str) -> None:
+            put(word)
+            spans.append((len(text) - len(word), len(text), word.casefold()))
+            known.setdefault(word, kind)
+
+        for _ in range(rng.randrange(1, 25)):
+            match rng.randrange(5):
+                case 0:
+                    put(rng.choice(["Mr", "Frau", "Dr", "Señora"]))
+                    name(rng.choice(given), "given")
+                    name(rng.choice(family), "family")
+                    put(rng.choice(filler))
+                case 1 if known:
+                    word = rng.choice(list(known))
+                    name(rng.choice([word, word.upper(), word.lower()]), "")
+                    put(rng.choice(filler))
+                case 2:
+                    put("Mr. The")
+                    put(rng.choice(filler))
+                case _:
+                    put(rng.choice(filler))
+        assert [(a, b, v) for a, b, _, v in pii.detect(text)] == spans, text
