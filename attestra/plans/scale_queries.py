@@ -12,6 +12,7 @@ from attestra.operators import constraints as K
 from attestra.operators import features as X
 from attestra.operators import scans as N
 from attestra.operators.reducers import Reducer, reduce_by
+from attestra.operators.series import isotonic_series
 from attestra.operators.suite import summarize_suite
 from attestra.plans.registry import query, table, tables
 
@@ -123,3 +124,19 @@ _SECOND_GREATEST = Reducer(lambda: np.zeros(0), _second, _second, lambda s: floa
 def reducer_second_price(spark, sf_dir):
     """The second greatest price of each supplier, by a reducer of one's own."""
     return reduce_by(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", _SECOND_GREATEST, "second_price")
+
+
+# A long series ------------------------------------------------------------------------------
+
+
+@query(
+    "isotonic_customers",
+    """WITH c AS (SELECT c_custkey, row_number() OVER o AS i, sum(1 + c_nationkey) OVER o AS w, sum((1 + c_nationkey) * c_acctbal) OVER o AS s FROM customer WINDOW o AS (ORDER BY c_custkey)),
+       p AS (SELECT 0 AS i, 0 AS w, 0.0 AS s UNION ALL SELECT i, w, s FROM c),
+       m AS (SELECT a.i AS j, b.i AS k, min((b.s - a.s) / (b.w - a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least FROM p a JOIN p b ON a.i < b.i)
+       SELECT c_custkey, round(max(least), 4) AS fitted FROM c JOIN m ON m.k = c.i GROUP BY 1""",
+)
+def isotonic_customers(spark, sf_dir):
+    """Balances by customer, weighted, as one series that never falls; the SQL takes the greatest of the least means."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", (1 + F.col("c_nationkey")).alias("weight"))
+    return isotonic_series(customers, ["c_custkey"], "c_acctbal", "weight").select("c_custkey", F.round("fitted", 4).alias("fitted"))
