@@ -32,8 +32,8 @@ from attestra.llm import common as C
 
 #: Rows of a block; rows that pivots are chosen from; pivots. None changes a result.
 CANDIDATES, QUERIES, SAMPLE, PIVOTS = 8192, 2048, 1024, 64
-#: Candidates of a tile; queries whose candidates are bounded at once.
-_TILE, _AT_ONCE = 256, 64
+#: Candidates of a tile; queries whose candidates are bounded at once; steps that distances to pivots are told in there.
+_TILE, _AT_ONCE, _STEPS = 256, 256, 30_000
 _LEAST = np.iinfo(np.int64).min
 
 
@@ -116,6 +116,13 @@ class Tiles:
         self.square = np.maximum.reduceat(self.squares, cuts)
         self.low, self.high = (f.reduceat(self.pivots, cuts, axis=0) for f in (np.minimum, np.maximum))
         self.parts = [slice(a, a + _TILE) for a in cuts]
+        self.step, self.whole = 1.0, np.zeros((0, len(ids)), np.int16)
+
+    def whole_steps(self, query_pivots: np.ndarray) -> np.ndarray:
+        """The queries' distances in whole steps, a row for each pivot; the candidates' are kept beside them."""
+        self.step = max(self.pivots.max(initial=0), query_pivots.max(initial=0)) / _STEPS or 1.0
+        self.whole, asked = (np.ascontiguousarray(np.floor(x / self.step).astype(np.int16).T) for x in (self.pivots, query_pivots))
+        return asked
 
     def bounds(self, squares: np.ndarray, query_pivots: np.ndarray) -> np.ndarray:
         """(queries, tiles): no inner product with a tile's candidates is above. squares: of the queries' lengths."""
@@ -125,12 +132,17 @@ class Tiles:
             np.maximum(apart, np.maximum(self.low[:, p] - d, d - self.high[:, p]), out=apart)
         return _above(squares[:, None] + self.square, apart)
 
-    def own_bounds(self, part: slice, squares: np.ndarray, query_pivots: np.ndarray) -> np.ndarray:
-        """(queries, candidates of a tile): the same for each candidate, by all pivots."""
-        out = np.empty((len(query_pivots), len(self.ids[part])))
+    def own_bounds(self, part: slice, squares: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """(queries, candidates of a tile): the same for each candidate, by all pivots. Rounding down to steps widens a bound by a step at most."""
+        out = np.empty((len(squares), len(self.ids[part])))
         for a in range(0, len(out), _AT_ONCE):
-            apart = np.abs(query_pivots[a : a + _AT_ONCE, None] - self.pivots[part]).max(axis=2, initial=0)
-            out[a : a + _AT_ONCE] = _above(squares[a : a + _AT_ONCE, None] + self.squares[part], apart)
+            some = slice(a, min(a + _AT_ONCE, len(out)))
+            apart, gap = (np.zeros((some.stop - a, out.shape[1]), np.int16) for _ in range(2))
+            for own, theirs in zip(asked[:, some], self.whole[:, part]):
+                np.subtract(own[:, None], theirs, out=gap)
+                np.abs(gap, out=gap)
+                np.maximum(apart, gap, out=apart)
+            out[some] = _above(squares[some, None] + self.squares[part], np.maximum(apart - 1.0, 0.0) * self.step)
         return out
 
 
@@ -141,7 +153,7 @@ def _above(both: np.ndarray, apart: np.ndarray) -> np.ndarray:
 def best(query_ids: np.ndarray, queries: np.ndarray, query_pivots: np.ndarray, floor: np.ndarray, tiles: Tiles, k: int, plain: bool):
     """For each query the (ids, scores) of its k best in a block, as far as they reach its floor, and how many were evaluated."""
     squares = np.square(queries.astype(np.float64)).sum(axis=1)
-    bounds = tiles.bounds(squares, query_pivots)
+    bounds, asked = tiles.bounds(squares, query_pivots), tiles.whole_steps(query_pivots)
     order = np.argsort(-bounds, axis=1, kind="stable")
     none = np.zeros(0, np.int64)
     found = [(none, none)] * len(queries)
@@ -155,7 +167,7 @@ def best(query_ids: np.ndarray, queries: np.ndarray, query_pivots: np.ndarray, f
         for group in np.split(going, np.flatnonzero(np.diff(tile[going])) + 1):
             part = tiles.parts[tile[group[0]]]
             ids = tiles.ids[part]
-            left = (tiles.own_bounds(part, squares[group], query_pivots[group]) >= limit[group, None]) & (ids != query_ids[group, None])
+            left = (tiles.own_bounds(part, squares[group], asked[:, group]) >= limit[group, None]) & (ids != query_ids[group, None])
             evaluated[group] += left.sum(axis=1)
             some, any_ = left.any(axis=0), left.any(axis=1)
             if not any_.any():
