@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestra.functions.nulls import holds
 from attestra.operators import constraints as K
+from attestra.operators import decoding as D
 from attestra.operators import features as X
 from attestra.operators import scans as N
 from attestra.operators.reducers import Reducer, reduce_by
@@ -140,3 +142,40 @@ def isotonic_customers(spark, sf_dir):
     """Balances by customer, weighted, as one series that never falls; the SQL takes the greatest of the least means."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", (1 + F.col("c_nationkey")).alias("weight"))
     return isotonic_series(customers, ["c_custkey"], "c_acctbal", "weight").select("c_custkey", F.round("fitted", 4).alias("fitted"))
+
+
+# Small forms that other queries don't reach -------------------------------------------------
+
+
+@query("first_line_of_order", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) = 1")
+def first_line_of_order(spark, sf_dir):
+    """The line of each order that ships first."""
+    lines = table(spark, sf_dir, "lineitem")
+    return K.first_rows(lines, ["l_orderkey"], [F.col(c) for c in ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+_CELL = "[l_discount, l_tax, 0.05 + l_quantity / 500]"
+
+
+@query(
+    "restricted_cells",
+    f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, {_CELL} AS x, [l_quantity < 40, l_returnflag <> 'R', l_linestatus = 'O'] AS ok FROM lineitem),
+        q AS (SELECT *, list_transform(x, lambda v: v / list_sum(x)) AS q FROM r), k AS (SELECT *, list_transform(list_zip(q, ok), lambda z: CASE WHEN z[2] THEN z[1] ELSE 0 END) AS kept FROM q)
+        SELECT l_returnflag, count(*) AS n, count(*) FILTER (list_sum(kept) = 0) AS n_impossible, round(avg(ln(list_sum(kept))) FILTER (list_sum(kept) > 0), 6) AS mean_log_qc,
+               round(avg(kept[3] / list_sum(kept)) FILTER (list_sum(kept) > 0), 6) AS mean_last, count(*) FILTER (list_sum(kept) BETWEEN 1e-9 AND 1 - 1e-9 AND ln(1 - list_sum(kept)) - 0.5 > ln(list_sum(kept))) AS n_incoherent
+        FROM k GROUP BY 1""",
+)
+def restricted_cells(spark, sf_dir):
+    """One cell of three values under what is admissible for it, and whether soft conditioning prefers the rest."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("x", F.expr("array(l_discount, l_tax, 0.05D + l_quantity / 500)"))
+    lines = lines.withColumns({"q": F.expr("transform(x, v -> v / aggregate(x, 0D, (a, y) -> a + y))"), "ok": F.expr("array(l_quantity < 40, l_returnflag <> 'R', l_linestatus = 'O')")})
+    log_qc, kept = D.restrict("q", "ok")
+    out = lines.withColumns({"log_qc": log_qc, "kept": kept})
+    mass = F.exp("log_qc")
+    both = out.withColumns({"mass": mass, "inside": F.col("kept").isNotNull(), "log_out": F.when((mass >= 1e-9) & (mass <= 1 - 1e-9), F.log(1 - mass))})
+    soft = holds(D.prefers_incoherent("log_qc", "log_out", -0.5))
+    known = lambda c: F.round(F.avg(F.when(F.col("inside"), c)), 6)
+    return both.groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("inside")).alias("n_impossible"), known(F.col("log_qc")).alias("mean_log_qc"),
+        known(F.get("kept", 2)).alias("mean_last"), F.count_if(soft).alias("n_incoherent"),
+    )
