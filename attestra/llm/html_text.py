@@ -285,22 +285,23 @@ def parsed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def templates(found: DataFrame, min_pages: int, min_share: float, few_pages: int) -> DataFrame:
-    """(host, h, most): subtrees on so many distinct pages of a host and so large a share of them; most: on more than half."""
-    distinct = found.select("host", "same", "hashes").dropDuplicates(["host", "same"])
-    counts = distinct.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min(few_pages, min_pages + 1))
+    """(host, h, most, rows): subtrees on so many distinct pages of a host and so large a share of them; most: on more than half. rows counts copies too."""
+    distinct = found.groupBy("host", "same").agg(F.first("hashes").alias("hashes"), F.count("*").alias("copies"))
+    counts = distinct.select("host", "copies", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).where(F.col("n") >= min(few_pages, min_pages + 1))
     pages = found.select("host", "same").distinct().groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("pages"))
     wide = (F.col("n") > min_pages) & (F.col("n") > min_share * F.col("pages"))
     most = (F.col("n") >= few_pages) & (2 * F.col("n") > F.col("pages"))
-    return counts.join(pages, F.col("host") == F.col("of_host")).where(wide | most).select("host", "h", most.alias("most"))
+    return counts.join(pages, F.col("host") == F.col("of_host")).where(wide | most).select("host", "h", most.alias("most"), "rows")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_share: float = 0.01, few_pages: int = 3) -> DataFrame:
     """The input's columns but html, and text: the main text, a line for each block."""
     names = [c for c in pages.columns if c != html_col]
     found = parsed(pages, url_col, html_col)
-    recurring = C.store(templates(found, min_pages, min_share, few_pages).withColumn("of", F.struct("host", "h")), "recurring")
-    asked = found.select("key", F.explode("hashes").alias("h"), "host").withColumn("of", F.struct("host", "h")).select("key", "of")
-    met = C.salted_join(asked, recurring.select("of", "h", "most"), "of", "key", asked.join(recurring, "of", "left_semi").groupBy("of").agg(F.count("*").alias("n")))
+    of = F.xxhash64("host", "h").alias("of")  # h is a hash already
+    recurring = C.store(templates(found, min_pages, min_share, few_pages).select(of, "h", "most", "rows"), "recurring")
+    asked = found.select("key", "host", F.explode("hashes").alias("h")).select("key", of)
+    met = C.salted_join(asked, recurring.select("of", "h", "most"), "of", "key", recurring.select("of", F.col("rows").alias("n")))
     gone = C.store(met.groupBy("key").agg(F.collect_list(F.struct("h", "most")).alias("gone")), "templates")
     both = found.join(gone, "key", "left").select("row", "page", "gone")
 
