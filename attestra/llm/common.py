@@ -9,7 +9,6 @@ from attestra.sources.shared import discard, new_path, scratch, shared_dir, stor
 
 #: White space that separates words: the ASCII blank and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
-_BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +20,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
-def word_chars(text: Column) -> Column:
-    """Code points outside white space."""
-    return F.length(without(F.coalesce(text, F.lit("")), _BLANKS)).cast("long")
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
