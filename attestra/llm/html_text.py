@@ -264,7 +264,7 @@ def _unpack(data: bytes) -> Page:
 
 
 def parsed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """Stored: every row with a key of its own, its host, its packed page, the page's hash and its subtree hashes; without the html."""
+    """Stored: every row with a key of its own, its host, its packed page, the page's hash and its subtree hashes, and of those with text the ones outside and within articles; without the html."""
     names = [c for c in pages.columns if c != html_col]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
 
@@ -278,10 +278,11 @@ def parsed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             plain = [_plain(p) for p in found]
             same = pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in plain], np.uint64).view(np.int64))
             packed = pa.array([zstandard.compress(x, 3) for x in plain], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, packed, same, hashes], ["row", "host", "key", "page", "same", "hashes"])
+            holding = [pa.array([sorted({h for h, _, _, inner in p.subtrees if inner == wanted}) for p in found], pa.list_(pa.int64())) for wanted in (False, True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, packed, same, hashes, *holding], ["row", "host", "key", "page", "same", "hashes", "outer", "inner"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return C.store(rows.mapInArrow(run, f"row {kind}, host string, key bigint, page binary, same bigint, hashes array<bigint>"), "parsed")
+    return C.store(rows.mapInArrow(run, f"row {kind}, host string, key bigint, page binary, same bigint, hashes array<bigint>, outer array<bigint>, inner array<bigint>"), "parsed")
 
 
 def templates(found: DataFrame, min_pages: int, min_share: float, few_pages: int) -> DataFrame:
@@ -300,9 +301,11 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_
     found = parsed(pages, url_col, html_col)
     of = F.xxhash64("host", "h").alias("of")  # h is a hash already
     recurring = C.store(templates(found, min_pages, min_share, few_pages).select(of, "h", "most", "rows"), "recurring")
-    asked = found.select("key", "host", F.explode("hashes").alias("h")).select("key", of)
-    met = C.salted_join(asked, recurring.select("of", "h", "most"), "of", "key", recurring.select("of", F.col("rows").alias("n")))
-    gone = C.store(met.groupBy("key").agg(F.collect_list(F.struct("h", "most")).alias("gone")), "templates")
+    # Only what a template would take away is looked for, so pages without it aren't shuffled for it.
+    held = lambda c, inner: found.select("key", "host", F.explode(c).alias("h")).select("key", of, F.lit(inner).alias("inside"))
+    asked = held("outer", False).unionByName(held("inner", True))
+    met = C.salted_join(asked, recurring.select("of", "h", "most"), "of", "key", recurring.select("of", F.col("rows").alias("n"))).where("most OR NOT inside")
+    gone = C.store(met.groupBy("key").agg(F.collect_set(F.struct("h", "most")).alias("gone")), "templates")
     both = found.join(gone, "key", "left").select("row", "page", "gone")
 
     def run(batches):
