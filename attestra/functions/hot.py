@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 from attestra.functions.nulls import join_same
 
+#: Rows of a task whose hash tables hold most of them.
+TASK_ROWS = 500_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Shuffle partitions for all rows of df, so many that a task's memory doesn't grow with the table. Counts df at once."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
+
 
 def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], sizes: DataFrame, how: str = "left") -> DataFrame:
     """rows joined with facts, of which a key has at most one row; missing keys match.

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestra.functions.hot import tasks_for
 from attestra.functions.nulls import Condition, as_list, condition, holds, join_same, nan_to_null
 from attestra.operators.pairs import order_denial_counts, tiled_pairs
 from attestra.operators.reducers import Reducer, reduce_by
@@ -351,18 +352,24 @@ class PairDisagreement(Constraint):
     def group_counts(self, tables: Tables) -> DataFrame:
         """A row for each group: its pairs (n_checked) and those that differ (n_violations).
 
-        Rows are dealt once by group and id; what meets by group alone are sums, so a hot group is small there.
+        Rows are dealt by buckets of group and id, then the counts of values by buckets of group and value; what meets
+        by group alone are sums, one from each bucket, so a hot group is small there. The buckets are so many that each holds a bounded
+        number of rows, which are counted for that at once.
         """
         g, i, v = self.group_cols, self.id_col, self.value_col
         rows = nan_to_null(tables[self.table].select(*dict.fromkeys([*g, i, v])), [i, v]).where(F.col(i).isNotNull())
         two = lambda n: n * (n - 1) / 2
-        dealt = rows.repartition(*g, i).groupBy(*g, i, v).agg(F.count("*").alias("_n"))
+        n = tasks_for(tables[self.table])
+        bucket = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(64 * n)).cast("int")  # noqa: E731  many for each task, so that all have as much
+        # The bucket stays a key, so all counts within it are made where it lies.
+        dealt = rows.withColumn("_d", bucket(*g, i)).repartition(n, "_d").groupBy("_d", *g, i, v).agg(F.count("*").alias("_n"))
         # The pairs in a set of rows, less those of one id: in each group, and for each value in it.
-        by_id = dealt.groupBy(*g, i).agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col(v).isNotNull(), two(F.col("_n")))).alias("_own"))
-        by_value = dealt.groupBy(*g, v).agg(F.sum("_n").alias("_n"))
-        parts = by_id.select(*g, F.lit(0).alias("_n"), two(F.col("_n")).alias("_less"), (-F.coalesce("_own", F.lit(0))).alias("_same"))
-        parts = parts.union(by_value.select(*g, "_n", F.lit(0), F.when(F.col(v).isNotNull(), two(F.col("_n"))).otherwise(0)))
-        sums = parts.groupBy(*g).agg(*[F.sum(c).alias(c) for c in ("_n", "_less", "_same")])
+        by_id = dealt.groupBy("_d", *g, i).agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col(v).isNotNull(), two(F.col("_n")))).alias("_own"))
+        by_id = by_id.groupBy("_d", *g).agg(F.sum(two(F.col("_n"))).alias("_less"), F.sum(-F.coalesce("_own", F.lit(0))).alias("_same"))
+        by_value = dealt.groupBy("_d", *g, v).agg(F.sum("_n").alias("_n")).withColumn("_d", bucket(*g, v)).repartition(n, "_d").groupBy("_d", *g, v).agg(F.sum("_n").alias("_n"))
+        by_value = by_value.groupBy("_d", *g).agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col(v).isNotNull(), two(F.col("_n"))).otherwise(0)).alias("_same"))
+        parts = by_id.select(*g, F.lit(0).alias("_n"), "_less", "_same").union(by_value.select(*g, "_n", F.lit(0), "_same"))
+        sums = parts.repartition(n, *g).groupBy(*g).agg(*[F.sum(c).alias(c) for c in ("_n", "_less", "_same")])
         pairs = two(F.col("_n")) - F.col("_less")
         return sums.select(*g, pairs.cast("long").alias("n_checked"), (pairs - F.col("_same")).cast("long").alias("n_violations"))
 

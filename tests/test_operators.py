@@ -282,6 +282,17 @@ def test_pair_disagreement_by_group(spark):
     assert {g: c for g, c in found.items() if c[0]} == expected
 
 
+def test_pair_disagreement_takes_tasks_by_its_rows(spark, monkeypatch):
+    """More rows, more tasks: none holds a fixed share of a table's groups."""
+    from attestra.functions import hot
+
+    monkeypatch.setattr(hot, "TASK_ROWS", 10)
+    df = spark.range(200).selectExpr("id % 50 AS g", "id AS i", "id % 3 AS v")
+    found = K.PairDisagreement("p", "t", "g", "i", "v").group_counts({"t": df})
+    assert found.rdd.getNumPartitions() >= 20
+    assert {(r.n_checked, r.n_violations) for r in found.collect()} == {(6, 5)}
+
+
 def test_child_marginals_of_an_order(spark):
     """Against enumeration over all joint values of two items that share a parent."""
     rng, g = np.random.default_rng(11), [0, 1, 1, -1]
