@@ -16,11 +16,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestra.functions.codes import codes_of
 from attestra.functions.hot import join_facts
 from attestra.functions.nulls import join_same, nan_to_null
 from attestra.sources.shared import store
@@ -71,19 +71,6 @@ def inversions(values: np.ndarray, weights: np.ndarray) -> int:
     return total
 
 
-def _codes(column: pa.ChunkedArray | pa.Array, ordered: bool = False) -> np.ndarray:
-    """Equal whole numbers for equal values, null among them; with ordered, in the order of the values."""
-    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    found = pc.dictionary_encode(whole, null_encoding="encode")
-    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
-    indices = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    if not ordered:
-        return indices
-    rank = np.empty(len(found.dictionary), np.int64)
-    rank[pc.array_sort_indices(found.dictionary).to_numpy()] = np.arange(len(rank))
-    return rank[indices]
-
-
 def _counted(rows: DataFrame, by: Sequence[Column], keys: Sequence[str], value: str, descending: bool, place: str) -> DataFrame:
     """rows by ranges of `by` and in its order, stored, with two more columns.
 
@@ -102,10 +89,10 @@ def _counted(rows: DataFrame, by: Sequence[Column], keys: Sequence[str], value:
         t = pa.Table.from_batches(held)
         group = np.zeros(t.num_rows, np.int64)
         for k in keys:
-            codes = _codes(t.column(k))
+            codes = codes_of(t.column(k))
             group = np.unique(group * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
         number = np.cumsum(np.diff(group, prepend=group[0]) != 0)  # a later group's values are all greater
-        codes = _codes(t.column(value), ordered=True)
+        codes = codes_of(t.column(value), ordered=True)
         codes = int(codes.max()) - codes if descending else codes
         n = inversions(number * (int(codes.max()) + 1) + codes, t.column("_n").to_numpy())
         for b in held:

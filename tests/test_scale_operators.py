@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.operators import constraints as K
 from attestra.operators import features as X
@@ -108,3 +109,18 @@ def test_reducers(spark):
     r = K.AggregateConsistency("trimmed", "parent", ["g", "h"], "total", "child", ["g", "h"], "v", agg=trimmed_reducer()).check({"parent": parent, "child": df})
     assert (r.n_checked, r.n_violations) == (parent.count(), 1) and r.violations.first().g == "hot"
     assert reduce_by(df.limit(0), ["g"], "v", trimmed_reducer()).count() == 0
+
+
+def test_reducers_of_many_keys_take_each_keys_values_together(spark):
+    """With many keys, in no order, a state is told once for each key and range, not for each row."""
+    told = spark.sparkContext.accumulator(0)
+
+    def add(state, values):
+        told.add(1)
+        return state + values.sum()
+
+    total = Reducer(lambda: 0.0, add, lambda a, b: a + b, float)
+    rows = spark.range(60_000).selectExpr("IF(id % 2 = 0, -1, id * 7919 % 3001) AS g", "double(id % 11) AS v").repartition(6)
+    expected = {r.g: r.v for r in rows.groupBy("g").agg(F.sum("v").alias("v")).collect()}
+    assert {r.g: r.value for r in reduce_by(rows, ["g"], "v", total).collect()} == expected
+    assert told.value < 2 * len(expected)
