@@ -55,6 +55,8 @@ MIN_BITS, MAX_BITS, TOKENS_A_ROW = 18, 21, 512
 #: Tokens of a gradient step (at most 2**_PLACE); its scale; rounds; tokens of a training task for each row.
 STEP, RATE, ROUNDS, TASK_TOKENS_A_ROW = 4096, 0.15, 2, 12
 _PLACE = 20
+#: Tokens of a slice of whole texts: what a task holds of a batch beside the batch itself.
+SLICE = 1 << 18
 #: Features of whole words come first and share three quarters of the table; endings and the bias share the rest.
 WHOLE_WORDS = 3
 #: Low bits of a word's hash that are its ending's; the word's own are the high 32.
@@ -260,8 +262,8 @@ def histories(hashes: np.ndarray, tokens: np.ndarray, places: np.ndarray, low: i
     places: each token's place in its text.
     """
     at, place = np.arange(low, high), places[low:high]
-    one = np.where(place < 1, np.uint64(1), hashes[tokens[at - 1]])
-    two = np.where(place < 2, np.uint64(1), hashes[tokens[at - 2]])
+    one = np.where(place < 1, np.uint64(1), hashes[tokens[np.maximum(at - 1, 0)]])
+    two = np.where(place < 2, np.uint64(1), hashes[tokens[np.maximum(at - 2, 0)]])
     ends = (one & np.uint64(ENDING)) << np.uint64(16) | (two & np.uint64(ENDING))
     out = np.stack([one * _MIX[0], (one * _MIX[1] + two) * _MIX[2], (two ^ np.uint64(2)) * _MIX[3], (ends + np.uint64(3)) * _MIX[1], np.full(len(at), _MIX[2])])
     return out ^ out >> np.uint64(29)
@@ -271,6 +273,17 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def slices(sizes: np.ndarray):
+    """(first text, last text, first token, last token) of slices of whole texts; a longer text is one alone."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        start = int(ends[first] - sizes[first])
+        last = max(first + 1, int(np.searchsorted(ends, start + SLICE, "right")))
+        yield first, last, start, int(ends[last - 1])
+        first = last
+
+
 def level_rows(history: np.ndarray, classes: np.ndarray, bits: int):
     """For each softmax: which tokens have it, (features, n) rows of the table, and the classes chosen."""
     node = np.full(len(classes), _MIX[3])
@@ -337,16 +350,17 @@ def _read(batch, names):
 def learn_batch(weights: np.ndarray, squares: np.ndarray, held, sizes, tokens, hashes, counts) -> None:
     """All gradient steps over the training texts of a batch."""
     bits = len(weights).bit_length() - 1
-    places, train = _places(sizes), ~np.repeat(held, sizes)
     classes = word_classes(counts - 1, hashes)
-    for low in range(0, len(tokens), STEP):
-        high = min(low + STEP, len(tokens))
-        taken = np.flatnonzero(train[low:high])
-        if len(taken):
-            history = histories(hashes, tokens, places, low, high)[:, taken]
-            for _, rows, own in level_rows(history, classes[tokens[low:high][taken]], bits):
-                if len(own):
-                    learn(weights, squares, rows, own)
+    for first, last, start, end in slices(sizes):
+        own, places, train = tokens[start:end], _places(sizes[first:last]), ~np.repeat(held[first:last], sizes[first:last])
+        for low in range(0, len(own), STEP):
+            high = min(low + STEP, len(own))
+            taken = np.flatnonzero(train[low:high])
+            if len(taken):
+                history = histories(hashes, own, places, low, high)[:, taken]
+                for _, rows, chosen in level_rows(history, classes[own[low:high][taken]], bits):
+                    if len(chosen):
+                        learn(weights, squares, rows, chosen)
 
 
 _PART = "block int, part int, w binary"
@@ -411,11 +425,17 @@ def train(counted: DataFrame, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
     return weights
 
 
-def score_batch(weights: np.ndarray, facts: Vocabulary, sizes, tokens, hashes, counts) -> np.ndarray:
-    """The model's log10 probability of each token."""
+def words(facts: Vocabulary, hashes, counts) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's words: their classes, and log10 of their shares within the innermost one."""
+    classes = word_classes(counts, hashes)
+    return classes, facts.within(counts, classes)
+
+
+def score_batch(weights: np.ndarray, facts: Vocabulary, sizes, tokens, hashes, counts, of_words=None) -> np.ndarray:
+    """The model's log10 probability of each token. of_words: what words() gives, if it is known."""
     bits = len(weights).bit_length() - 1
-    places, classes = _places(sizes), word_classes(counts, hashes)
-    out = facts.within(counts, classes)[tokens]
+    places, (classes, within) = _places(sizes), of_words or words(facts, hashes, counts)
+    out = within[tokens]
     for low in range(0, len(tokens), STEP):
         high = min(low + STEP, len(tokens))
         history = histories(hashes, tokens, places, low, high)
@@ -433,15 +453,13 @@ def scored(counted: DataFrame, weights: np.ndarray, facts: Vocabulary, id_col: s
     def run(arrow_batches):
         for batch in arrow_batches:
             for ids, held, sizes, tokens, hashes, counts in _read(batch, names):
-                starts = np.cumsum(sizes) - sizes
-                base = (np.log10(counts + 1.0) - scale)[tokens]
-                model = score_batch(shared.value, facts, sizes, tokens, hashes, counts)
-                known = np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts)
-                n = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.values, pa.array(held), pa.array(sizes), pa.array(known), pa.array(np.full(n, facts.tokens)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(model, starts))],
-                    [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                of_words, base, known = words(facts, hashes, counts), np.log10(counts + 1.0) - scale, counts > 0
+                for first, last, low, high in slices(sizes):
+                    n, own = sizes[first:last], tokens[low:high]
+                    starts = np.cumsum(n) - n
+                    sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731  used at once
+                    columns = [held[first:last], n, sums(known[own].astype(np.int64)), np.full(len(n), facts.tokens), sums(base[own]), sums(score_batch(shared.value, facts, n, own, hashes, counts, of_words))]
+                    yield pa.RecordBatch.from_arrays([ids.values.slice(first, last - first), *map(pa.array, columns)], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return counted.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 

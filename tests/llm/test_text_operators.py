@@ -624,3 +624,18 @@ def test_links_of_a_block():
         return root
 
     assert parts(found) == parts(true)
+
+
+def test_maxent_takes_a_batch_by_slices(monkeypatch):
+    """Slices are whole texts of bounded size, and scores don't depend on them."""
+    monkeypatch.setattr(maxent_lm, "SLICE", 10)
+    sizes = np.array([4, 6, 1, 25, 3, 3])
+    assert list(maxent_lm.slices(sizes)) == [(0, 2, 0, 10), (2, 3, 10, 11), (3, 4, 11, 36), (4, 6, 36, 42)]
+    assert list(maxent_lm.slices(sizes[:0])) == []
+    rng = np.random.default_rng(3)
+    counts, tokens = np.array([6, 3, 1, 0, 5]), rng.integers(0, 5, sizes.sum())
+    hashes = maxent_lm.word_hashes([b"", b"a", b"b", b"c", b"d"])
+    facts = maxent_lm.Vocabulary(15, 5, np.zeros(maxent_lm.CLASSES**maxent_lm.LEVELS), -0.1, -0.2)
+    weights = rng.normal(size=(1 << 8, maxent_lm.CLASSES)).astype(np.float32)
+    parts = [maxent_lm.score_batch(weights, facts, sizes[a:b], tokens[low:high], hashes, counts, maxent_lm.words(facts, hashes, counts)) for a, b, low, high in maxent_lm.slices(sizes)]
+    assert np.concatenate(parts).tolist() == maxent_lm.score_batch(weights, facts, sizes, tokens, hashes, counts).tolist()
