@@ -20,9 +20,9 @@ blocks, one for each task call: up to BLOCK sets are compared with the most cent
 similar to it with all others, by products of incidence matrices; a block gives a spanning forest of its links.
 A group beyond a block is dealt out by further bands that its sets may share, by two others first, then
 by one at a time, until its parts are blocks; what is still too large after all TURNS is cut
-by hashes. So each set goes to a bounded number of blocks, however large its group. A pair of
-similarity 0.8 shares eight bands on average, and a link that no block shows is mostly made up for by others:
-of generated groups of 5,000 texts with 5 to 12 edits, more than 99 % of what all pairs would remove is removed.
+by hashes. What that doesn't show is found exactly: in each group beyond a block the sets that aren't linked to most of
+it are compared with all others of the group, in tiles of two blocks each. So every two sets that share a band and are similar
+are linked in the end; the tiles are few if most are linked, and grow with the square of a group only where few are.
 
 Defined results: null and empty texts have fingerprint zero and link like any other.
 Rows with a null id link too, but give no name to a component; a component of null ids alone
@@ -37,7 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -145,6 +145,28 @@ def block_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, in
     return out
 
 
+def tile_links(asks: list[np.ndarray], others: list[np.ndarray], asks_roots: list[int], others_roots: list[int], similarity: float) -> list[tuple[int, int]]:
+    """(asking, other): links of that Jaccard similarity between sets of different roots, one for each asking set and root."""
+    sizes = [np.array([len(x) for x in side]) for side in (asks, others)]
+    _, code = np.unique(np.concatenate([*asks, *others]), return_inverse=True)
+    of = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    codes = code[: sizes[0].sum()], code[sizes[0].sum() :]
+    common = np.zeros(int(code.max()) + 1, bool)
+    common[np.intersect1d(*codes)] = True
+    column = np.cumsum(common) - 1
+    both = np.zeros((len(asks), len(others)), np.float32)
+    for a in range(0, int(common.sum()), 8192):
+        tables = []
+        for rows, c, n in zip(of, codes, sizes):
+            here = common[c] & (column[c] >= a) & (column[c] < a + 8192)
+            tables.append(np.zeros((len(n), 8192), np.float32))
+            tables[-1][rows[here], column[c[here]] - a] = 1
+        both += tables[0] @ tables[1].T
+    roots = [np.array(r, np.int64) for r in (asks_roots, others_roots)]
+    near = (both >= similarity * (sizes[0][:, None] + sizes[1] - both)) & (roots[0][:, None] != roots[1])
+    return [(i, int(k)) for i in range(len(asks)) for k in np.flatnonzero(near[i])[np.unique(roots[1][near[i]], return_index=True)[1]]]
+
+
 def similar(docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(a, b): links between fingerprints of texts whose sets of shingles are so similar."""
 
@@ -220,8 +242,35 @@ def similar(docs: DataFrame, text_col: str, shingle: int, similarity: float) ->
 
     blocks_ = _blocks(shared.where(F.col("n") > PAIRS).select("s", "key", "band", "n", "total"), sets)
     met = C.store(blocks_.join(whole, "s").select("block", "s", "hashes").repartition("block").sortWithinPartitions("block").mapInArrow(within, "s bigint, t bigint"), "met")
-    links_ = [verified(all_pairs(shared)), met]
-    out = reduce(DataFrame.union, links_)
+    out = verified(all_pairs(shared)).union(met)
+
+    def across(batches):
+        """Links of the tiles, which come one after the other: of sets that ask to sets of other roots."""
+        held: list[tuple] = []
+        now = None
+
+        def told() -> pa.RecordBatch:
+            asks, others = [r for r in held if r[1]], [r for r in held if not r[1]]
+            found = tile_links([r[3] for r in asks], [r[3] for r in others], [r[2] for r in asks], [r[2] for r in others], similarity) if asks and others else []
+            return pa.RecordBatch.from_arrays([pa.array([asks[i][0] for i, _ in found], pa.int64()), pa.array([others[k][0] for _, k in found], pa.int64())], ["s", "t"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tile, name, asking, root, hashes = (c[k].as_py() for c in batch.columns)
+                if tile != now and held:
+                    yield told()
+                    held = []
+                now = tile
+                held.append((name, asking, root, np.frombuffer(hashes, np.uint64)))
+        if held:
+            yield told()
+
+    # What the parts of a large group don't show: sets that they left apart from most meet all of the group.
+    large = shared.where(~_fits())
+    if large.take(1):
+        tiles = _tiles(large, components(out.select(F.col("s").alias("a"), F.col("t").alias("b"))))
+        whole_tiles = tiles.join(whole, "s").select("tile", "s", "asks", "root", "hashes").repartition("tile").sortWithinPartitions("tile")
+        out = out.union(C.store(whole_tiles.mapInArrow(across, "s bigint, t bigint"), "across"))
     named = lambda c, to: one.select(F.col("s").alias(c), F.col("least").alias(to))
     return C.store(out.join(named("s", "a"), "s").join(named("t", "b"), "t").select("a", "b").union(same).where("a <> b").distinct(), "linked")
 
@@ -232,9 +281,32 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return C.store(C.salted_join(keyed, sizes.where("n > 1"), "key", "s", sizes.select("key", "n")), "shared")
 
 
+def _fits() -> Column:
+    """Groups that are compared whole."""
+    return (F.col("n") <= PAIRS) | ((F.col("n") <= BLOCK) & (F.col("total") <= BLOCK_HASHES))
+
+
+def _tiles(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tile, s, asks, root): in each group (s, size, key, n, total) what isn't of the commonest root asks all sets of the group.
+
+    Two sets of a group with different roots can't both be of the commonest one, so they meet. Both sides are dealt into parts of a block's
+    size, and each two parts are a tile. No two sets of one root are in question.
+    """
+    rooted = large.join(roots, F.col("s") == F.col("node"), "left").select("s", "size", "key", F.coalesce("root", "s").alias("root"))
+    by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    most = by_root.groupBy("key").agg(F.max(F.struct("n", "total", "root")).alias("most"), F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > most.n")
+    parts = lambda n, total: F.ceil(F.greatest(n / BLOCK, total / BLOCK_HASHES)).cast("int")
+    cuts = most.select("key", F.col("most.root").alias("main"), parts(F.col("n"), F.col("total")).alias("a"), parts(F.col("n") - F.col("most.n"), F.col("total") - F.col("most.total")).alias("b"))
+    known = C.store(C.salted_join(rooted, cuts, "key", "s", most.select("key", "n")), "rooted")
+    place = lambda cut: F.pmod(F.xxhash64("s"), F.col(cut)).cast("int")
+    all_of_them = known.select("s", "root", F.lit(False).alias("asks"), "key", F.explode(F.expr("sequence(0, b - 1)")).alias("i"), place("a").alias("j"))
+    asking = known.where("root <> main").select("s", "root", F.lit(True).alias("asks"), "key", place("b").alias("i"), F.explode(F.expr("sequence(0, a - 1)")).alias("j"))
+    return all_of_them.union(asking).select(F.xxhash64("key", "i", "j").alias("tile"), "s", "asks", "root")
+
+
 def _blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """(block, s): the groups (s, key, band, n, total) as blocks; sets: (s, bands, size)."""
-    fits = (F.col("n") <= PAIRS) | ((F.col("n") <= BLOCK) & (F.col("total") <= BLOCK_HASHES))
+    fits = _fits()
     out = [groups.where(fits).select(F.col("key").alias("block"), "s")]
     bit = lambda b: F.call_function("shiftleft", F.lit(1), b)
     large = groups.where(~fits).withColumn("used", bit(F.col("band")))
